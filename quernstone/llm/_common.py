@@ -64,3 +64,40 @@ def ranked(store: Store, df: DataFrame, keys: list[Column], name: str, weight: C
     before = W.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = local.groupBy("_part").agg(F.sum("_w").alias("_w")).select("_part", F.coalesce(F.sum("_w").over(before), F.lit(0).cast("long")).alias("_offset"))
     return local.join(offsets, "_part").withColumn(out, F.col("_offset") + F.col("_local") + 1).drop("_part", "_w", "_local", "_offset")
+
+
+def components(store: Store, edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
+    """(node, root) of every node of ``edges``; root is the smallest node of its component.
+
+    Rounds of contraction: every node points to its smallest neighbour, pointers
+    are followed to their ends by doubling, and edges are redrawn between the ends.
+    Minima are combined before each shuffle, each round at least halves the nodes
+    that still have edges, and its tables are stored, so lineage stays short.
+    Null ends are dropped.
+    """
+    pair = [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+    live = store.put(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(*pair).distinct(), f"{name}-0")
+    roots, step = None, 0
+    while not live.isEmpty():
+        step += 1
+        ends = live.select("u", "v").union(live.select("v", "u"))
+        point = store.put(ends.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), f"{name}-{step}-0")
+        jump, moved = 0, True
+        while moved:
+            jump += 1
+            ahead = point.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+            further = store.put(point.join(ahead, "root", "left").select("node", F.coalesce("_to", "root").alias("root"), (F.col("_to") != F.col("root")).alias("_moved")), f"{name}-{step}-{jump}")
+            moved = not further.where("_moved").isEmpty()
+            point = further.drop("_moved")
+        there = point.select(F.col("node").alias("u"), F.col("root").alias("_u"))
+        back = point.select(F.col("node").alias("v"), F.col("root").alias("_v"))
+        drawn = live.join(there, "u").join(back, "v").where("_u != _v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct()
+        live = store.put(drawn, f"{name}-{step}-edges")
+        if roots is None:
+            roots = point
+        else:
+            roots = roots.join(point.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+            roots = store.put(roots, f"{name}-{step}-roots")
+    if roots is None:
+        return live.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots

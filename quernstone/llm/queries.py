@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import embedding, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_near_vectors": (op2_near_vectors, None),
     "op7_best_two_fit": (op7_best_two_fit, None),
 }
