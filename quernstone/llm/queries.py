@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding, packing
+from . import embedding, media, packing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +15,33 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_media_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH r AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), h AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS head FROM r
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to
+FROM h
+"""
+
 QUERIES = {
     "op2_near_vectors": (op2_near_vectors, None),
+    "op6_media_documents": (op6_media_documents, None),
     "op7_best_two_fit": (op7_best_two_fit, None),
+    "op8_warc_index": (op8_warc_index, OP8_SQL),
 }
