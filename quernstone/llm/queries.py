@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding, media, packing, warc
+from . import embedding, lines, media, packing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,29 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Shortest runs of 50 words by sums over pairs of lines of a document, their texts compared as they are.
+OP3_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM d),
+w AS (SELECT doc_id, pos, len(list_filter(string_split(ls[pos], ' '), lambda x: x <> '')) AS words FROM l),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w),
+p AS (SELECT a.doc_id, a.pos AS s, b.pos AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= 50),
+r AS (SELECT doc_id, s, min(e) AS e FROM p GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM p GROUP BY doc_id, e),
+t AS (SELECT r.doc_id, s, e, array_to_string(ls[s:e], chr(10)) AS run FROM r JOIN d USING (doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM t),
+x AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM (SELECT doc_id, unnest(range(s, e + 1)) AS pos FROM k WHERE nth > 1) GROUP BY doc_id)
+SELECT doc_id,
+       CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda v, i: NOT list_contains(gone, i)), chr(10)), '') END AS text,
+       CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS n_lines,
+       coalesce(len(gone), 0) AS n_deleted
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+
 def op6_media_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_documents(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +64,7 @@ FROM h
 
 QUERIES = {
     "op2_near_vectors": (op2_near_vectors, None),
+    "op3_line_dedup": (op3_line_dedup, OP3_SQL),
     "op6_media_documents": (op6_media_documents, None),
     "op7_best_two_fit": (op7_best_two_fit, None),
     "op8_warc_index": (op8_warc_index, OP8_SQL),
