@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding, lines, media, minhash, packing, warc
+from . import embedding, langid, lines, media, minhash, packing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents declare a language and have a source as host; pages are alike, see ``langid.page_evidence``."""
+    return langid.identify_documents(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
 
@@ -72,5 +77,6 @@ QUERIES = {
     "op6_media_documents": (op6_media_documents, None),
     "op7_best_two_fit": (op7_best_two_fit, None),
     "op8_warc_index": (op8_warc_index, OP8_SQL),
+    "op9_language_id": (op9_language_id, None),
     "op10_probminhash": (op10_probminhash, None),
 }
