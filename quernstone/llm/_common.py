@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,11 @@ class Store:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished jobs now, not at the driver's next collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def ranked(store: Store, df: DataFrame, keys: list[Column], name: str, weight: Column | None = None, out: str = "rn") -> DataFrame:
     """Adds ``out``: 1 + the sum of ``weight`` (default 1) of the rows sorted before by ``keys``.

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding, langid, lines, media, minhash, packing, warc
+from . import embedding, katz, langid, lines, media, minhash, packing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ FROM h
 """
 
 QUERIES = {
+    "op1_katz": (op1_katz, None),
     "op2_near_vectors": (op2_near_vectors, None),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
     "op6_media_documents": (op6_media_documents, None),
