@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding, katz, langid, lines, media, minhash, packing, warc
+from . import embedding, katz, langid, lines, media, minhash, packing, pieces, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ FROM d LEFT JOIN x USING (doc_id)
 """
 
 
+def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_and_decoded(_table(spark, sf_dir, "documents"))
+
+
 def op6_media_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_documents(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op1_katz": (op1_katz, None),
     "op2_near_vectors": (op2_near_vectors, None),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
+    "op5_merge_dropout": (op5_merge_dropout, None),
     "op6_media_documents": (op6_media_documents, None),
     "op7_best_two_fit": (op7_best_two_fit, None),
     "op8_warc_index": (op8_warc_index, OP8_SQL),
