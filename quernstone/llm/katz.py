@@ -34,7 +34,7 @@ _FIELDS = [("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()),
 
 
 def squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def loosen(packed: bytes) -> bytes:
@@ -56,6 +56,22 @@ def unpack(packed: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+def places(at: np.ndarray, size: int) -> bytes:
+    """Token places as ranks by frequency, which pack better, after the frequencies."""
+    often = np.bincount(at, minlength=size)
+    rank = np.empty(size, np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(size)
+    first = pack(often)
+    return len(first).to_bytes(4, "little") + first + pack(rank[at])
+
+
+def unplaced(packed: bytes) -> tuple[np.ndarray, int]:
+    """(token places, number of words) from ``places``."""
+    cut = 4 + int.from_bytes(packed[:4], "little")
+    often = unpack(packed[4:cut])
+    return np.argsort(-often, kind="stable")[unpack(packed[cut:])], len(often)
+
+
 def tokens(text: str) -> list[bytes]:
     """Words between ASCII white space, with A-Z in lower case."""
     return text.encode().lower().split()
@@ -134,21 +150,21 @@ def backoff(bigrams: Discounts, words: Unigrams, count: np.ndarray, sums: np.nda
 
 
 def _chunks(id_type: pa.DataType, chunk_bytes: int):
-    """Texts to chunks: a = distinct words in order, the end of a text being the empty word; b = tokens as their places; c = tokens of each text; d = ids."""
+    """Texts to chunks: a = distinct words by their hash, the end of a text, the empty word, first; b = tokens as their places; c = tokens of each text; d = ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out() -> pa.RecordBatch:
             flat = [w for _, own in held for w in (*own, b"")]
-            words = sorted({*flat, b""})
+            words = sorted({*flat, b""}, key=lambda w: (zlib.crc32(w), w))
             place = {w: k for k, w in enumerate(words)}
             at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
             ids = pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], id_type)], ["id"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as writer:
                 writer.write_batch(ids)
-            row = [CHUNK, task << 32 | nth, -1, squeeze(b"\n".join(words)), pack(at), pack(np.asarray([len(own) + 1 for _, own in held])), squeeze(sink.getvalue().to_pybytes())]
+            row = [CHUNK, task << 32 | nth, -1, squeeze(b"\n".join(words)), places(at, len(words)), pack(np.asarray([len(own) + 1 for _, own in held])), squeeze(sink.getvalue().to_pybytes())]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(row, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
 
         for batch in batches:
@@ -167,26 +183,20 @@ def _chunks(id_type: pa.DataType, chunk_bytes: int):
 class Chunk:
     """A chunk's tokens, opened."""
 
-    def __init__(self, a: bytes, b: bytes, c: bytes, d: bytes):
-        self.words, self.at, self.n = loosen(a).split(b"\n"), unpack(b), unpack(c)
+    def __init__(self, b: bytes, c: bytes, d: bytes):
+        (self.at, self.size), self.n = unplaced(b), unpack(c)
         self.ids = pa.ipc.open_stream(loosen(d)).read_all().column(0).combine_chunks()
         self.held = np.asarray([held_out(i) for i in self.ids.to_pylist()], bool)
         self.trained = np.repeat(~self.held, self.n)
 
-    def word_order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the words by bucket, bucket of each in that order)."""
-        bucket = np.fromiter(map(zlib.crc32, self.words), np.int64, len(self.words)) % buckets
-        order = np.argsort(bucket, kind="stable")
-        return order, bucket[order]
-
     def pairs(self, gid: np.ndarray, count: np.ndarray, buckets: int, hot: int) -> tuple[np.ndarray, ...]:
         """Distinct (context, word) places by bucket and then by ids, their buckets, and the pair of each token (-1 if its context is unknown).
 
         The context of a text's first word is the end of the text before.
         """
         before = np.concatenate([[0], self.at[:-1]])
-        key, inverse = np.unique(before * len(self.words) + self.at, return_inverse=True)
-        v, w = key // len(self.words), key % len(self.words)
+        key, inverse = np.unique(before * self.size + self.at, return_inverse=True)
+        v, w = key // self.size, key % self.size
         spread = np.maximum(1, -(-count[v] // hot)).astype(np.uint64)
         bucket = (mix(gid[v].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(gid[w].astype(np.uint64)) % spread) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((gid[w], gid[v], bucket))
@@ -211,18 +221,21 @@ def _rows(rows: list[tuple]) -> pa.Table:
 def _ask_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = Chunk(*parts)
-                n = np.bincount(own.at[own.trained], minlength=len(own.words))
-                order, bucket = own.word_order(buckets)
-                rows = [(WORDS, chunk, k, squeeze(b"\n".join([own.words[i] for i in order[s:e]])), pack(n[order[s:e]]), None, None) for k, s, e in _runs(bucket)]
+            for chunk, a, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, words = Chunk(*parts), loosen(a).split(b"\n")
+                n = np.bincount(own.at[own.trained], minlength=own.size)
+                bucket = np.fromiter(map(zlib.crc32, words), np.int64, own.size) * buckets >> 32
+                rows = [(WORDS, chunk, k, squeeze(b"\n".join(words[s:e])), pack(n[s:e]), None, None) for k, s, e in _runs(bucket)]
                 yield from _rows(rows).to_batches()
 
     return run
 
 
 def _answer_words(buckets: int):
-    """Counts of a partition's words over all chunks; ids are unique over all partitions."""
+    """Counts of a partition's words over all chunks.
+
+    Ids are unique over all partitions; frequent words get small ones, which pack better.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
@@ -233,6 +246,10 @@ def _answer_words(buckets: int):
         total = np.zeros(len(words), np.int64)
         for k, b in zip(at, table.column("b").to_pylist(), strict=True):
             total[k] += unpack(b)
+        order = np.argsort(-total, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, total, at = [words[k] for k in order], total[order], [rank[k] for k in at]
         rows = [(WORDS, c, bucket, pack(k * buckets + bucket), pack(total[k]), None, None) for c, k in zip(chunks, at, strict=True)]
         seen = [int((total == r).sum()) for r in range(1, K + 2)]
         figures = [int(total.sum()), int((total > 0).sum()), *seen, int(total[total > K].sum())]
@@ -241,32 +258,31 @@ def _answer_words(buckets: int):
     return run
 
 
-def _opened(table: pa.Table, buckets: int) -> tuple[Chunk, np.ndarray, np.ndarray]:
+def _opened(table: pa.Table) -> tuple[Chunk, np.ndarray, np.ndarray]:
     """The chunk among the rows gathered for it, with the ids and the training counts of its words."""
     kind = np.asarray(table.column("kind").to_pylist())
     parts = [c.to_pylist() for c in table.select(["bucket", "a", "b", "c", "d"]).columns]
     pick = lambda k: [tuple(p[i] for p in parts) for i in np.flatnonzero(kind == k)]
-    own = Chunk(*pick(CHUNK)[0][1:])
-    order, _ = own.word_order(buckets)
-    answers = sorted(pick(WORDS))
-    gid, count = np.zeros((2, len(own.words)), np.int64)
-    gid[order], count[order] = (np.concatenate([unpack(x[k]) for x in answers]) for k in (1, 2))
+    own, answers = Chunk(*pick(CHUNK)[0][2:]), sorted(pick(WORDS))
+    gid, count = (np.concatenate([unpack(x[k]) for x in answers]) for k in (1, 2))
     return own, gid, count
 
 
-def _ask_pairs(buckets: int, pair_buckets: int, hot: int):
+def _ask_pairs(pair_buckets: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
-        own, gid, count = _opened(table, buckets)
+        own, gid, count = _opened(table)
         chunk = table.column("chunk")[0].as_py()
         v, w, bucket, at = own.pairs(gid, count, pair_buckets, hot)
         n = np.bincount(at[(at >= 0) & own.trained], minlength=len(v))
-        rows = [(PAIRS, chunk, k, pack(np.diff(gid[v[s:e]], prepend=0)), pack(gid[w[s:e]]), pack(n[s:e]), pack(np.stack([count[v[s:e]], count[w[s:e]]]).ravel())) for k, s, e in _runs(bucket)]
+        # d: the words' own counts where the pair is seen here in training, and which contexts are spread
+        flags, own_count = count[v] > hot, np.where(n > 0, count[w], 0)
+        rows = [(PAIRS, chunk, k, pack(np.diff(gid[v[s:e]], prepend=0)), pack(gid[w[s:e]]), pack(n[s:e]), pack(own_count[s:e] * 2 + flags[s:e])) for k, s, e in _runs(bucket)]
         return _rows(rows)
 
     return run
 
 
-def _answer_pairs(limit: int):
+def _answer_pairs():
     """Counts of a partition's pairs and sums for its contexts, over all chunks.
 
     Sums of contexts that are spread over partitions go out by context, to be
@@ -278,23 +294,23 @@ def _answer_pairs(limit: int):
         parts = [[unpack(x) for x in table.column(c).to_pylist()] for c in "abcd"]
         sizes = np.asarray([len(x) for x in parts[0]])
         v, w, n = np.concatenate([np.cumsum(x) for x in parts[0]]), np.concatenate(parts[1]), np.concatenate(parts[2])
-        cv, cw = (np.concatenate([x.reshape(2, -1)[k] for x in parts[3]]) for k in (0, 1))
+        cw, spread = np.divmod(np.concatenate(parts[3]), 2)
         del parts
         order = np.lexsort((w, v))
         new = np.concatenate([[True], (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])])
         pair = np.empty(len(order), np.int64)
         pair[order] = np.cumsum(new) - 1
-        first = order[new]
+        first, cw = order[new], np.maximum.reduceat(cw[order], np.flatnonzero(new))
         total = np.bincount(pair, weights=n).astype(np.int64)
         context, at = np.unique(v[first], return_inverse=True)
         seen = total > 0
         sums = np.zeros((len(context), 2 * K + 2), np.int64)
-        for k, value in enumerate((total, cw[first])):
+        for k, value in enumerate((total, cw)):
             for r in range(1, K + 1):
                 sums[:, k * (K + 1) + r - 1] = np.bincount(at[seen & (value == r)], minlength=len(context))
             sums[:, k * (K + 1) + K] = np.bincount(at, weights=np.where(seen & (value > K), value, 0), minlength=len(context))
         hot = np.zeros(len(context), bool)
-        hot[at[cv[first] > limit]] = True
+        hot[at[spread[first] > 0]] = True
         rows = []
         for chunk, s, e in zip(chunks, np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
             own = at[pair[s:e]]
@@ -321,16 +337,16 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array([chunk] * len(v), pa.int64()), flat], ["v", "chunk", "sums"])
 
 
-def _score(buckets: int, pair_buckets: int, hot: int, words: Unigrams, bigrams: Discounts, id_col: str, id_type: pa.DataType):
+def _score(pair_buckets: int, hot: int, words: Unigrams, bigrams: Discounts, id_col: str, id_type: pa.DataType):
     def run(table: pa.Table) -> pa.Table:
-        own, gid, count = _opened(table, buckets)
+        own, gid, count = _opened(table)
         v, w, bucket, at = own.pairs(gid, count, pair_buckets, hot)
         kind = np.asarray(table.column("kind").to_pylist())
         parts = [c.to_pylist() for c in table.select(["bucket", "a", "b", "d"]).columns]
         answers = sorted(tuple(p[i] for p in parts[:3]) for i in np.flatnonzero(kind == PAIRS))
         summed = [parts[3][i] for i in np.flatnonzero(kind == SUMMED)]
         c = np.concatenate([unpack(x[1]) for x in answers]) if answers else np.zeros(0, np.int64)
-        sums = np.zeros((len(own.words), 2 * K + 2), np.int64)
+        sums = np.zeros((own.size, 2 * K + 2), np.int64)
         places = [np.asarray(list(dict.fromkeys(v[s:e].tolist()))) for _, s, e in _runs(bucket)]
         for place, x in zip(places, answers, strict=True):
             sums[place] += unpack(x[2]).reshape(2 * K + 2, -1).T
@@ -394,9 +410,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unigrams = Unigrams.of(total, types, seen, rest)
     store.release()
 
-    opened = chunks.union(words.where(F.col("kind") == WORDS))
-    asked = opened.groupBy("chunk").applyInArrow(_ask_pairs(buckets, pair_buckets, hot), PARTS)
-    pairs = store.put(asked.groupBy("bucket").applyInArrow(_answer_pairs(hot), PARTS), "bigrams")
+    opened = chunks.withColumn("a", F.lit(None).cast("binary")).union(words.where(F.col("kind") == WORDS))
+    asked = opened.groupBy("chunk").applyInArrow(_ask_pairs(pair_buckets, hot), PARTS)
+    pairs = store.put(asked.groupBy("bucket").applyInArrow(_answer_pairs(), PARTS), "bigrams")
     seen = _figures(pairs, BIGRAMS).tolist() or [0] * (K + 1)
     bigrams = Discounts.of(seen)
     store.release()
@@ -412,4 +428,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     everything = opened.union(pairs.where(F.col("kind") == PAIRS)).union(wanted.mapInArrow(packed, PARTS))
     out = f"`{id_col}` {id_ddl}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return everything.groupBy("chunk").applyInArrow(_score(buckets, pair_buckets, hot, unigrams, bigrams, id_col, id_type), out)
+    return everything.groupBy("chunk").applyInArrow(_score(pair_buckets, hot, unigrams, bigrams, id_col, id_type), out)
