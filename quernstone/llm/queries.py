@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding, katz, langid, lines, media, minhash, packing, pieces, warc
+from . import embedding, katz, langid, lines, media, minhash, packing, pieces, tools, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,27 @@ FROM d LEFT JOIN x USING (doc_id)
 """
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations hold no tool calls, so each user turn is one and the reply its result."""
+    rows = tools.format_calls(*tools.turns_as_calls(_table(spark, sf_dir, "conversations")), tools.REPLY)
+    return rows.select(F.col("conv").alias("conv_id"), "call_id", "position", "status", "valid", "json")
+
+
+OP4_SQL = """
+WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, text AS result FROM conversations WHERE role = 'assistant'),
+b AS (SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn) AS turn, u.text, a.result,
+             CASE WHEN u.turn IS NULL THEN 'orphan' WHEN a.turn IS NULL THEN 'pending' ELSE 'linked' END AS status,
+             row_number() OVER (PARTITION BY coalesce(u.conv_id, a.conv_id) ORDER BY coalesce(u.turn, a.turn + 1)) AS position
+      FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn)
+SELECT conv_id, 'turn-' || turn AS call_id, position, status, CASE WHEN status <> 'orphan' THEN text <> '' END AS valid,
+       '{"arguments":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '{"text":' || to_json(text) || ',"turn":' || turn || '}' END
+       || ',"conversation":' || conv_id || ',"id":"turn-' || turn || '","name":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '"reply"' END
+       || ',"position":' || position || ',"result":' || coalesce(to_json(result), 'null') || ',"status":"' || status || '"}' AS json
+FROM b
+"""
+
+
 def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_and_decoded(_table(spark, sf_dir, "documents"))
 
@@ -83,6 +105,7 @@ QUERIES = {
     "op1_katz": (op1_katz, None),
     "op2_near_vectors": (op2_near_vectors, None),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
+    "op4_tool_calls": (op4_tool_calls, OP4_SQL),
     "op5_merge_dropout": (op5_merge_dropout, None),
     "op6_media_documents": (op6_media_documents, None),
     "op7_best_two_fit": (op7_best_two_fit, None),
