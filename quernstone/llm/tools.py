@@ -131,7 +131,8 @@ def ordered(store: Store, links: DataFrame) -> DataFrame:
     moved behind it.  Only calls whose place has just changed are followed up, so
     there are as many rounds as the longest chain of calls that stand in the wrong
     order.  A place beyond the conversation's last turn and number of calls proves
-    a cycle.  Identifiers of no known call are passed over.
+    that a call is in a cycle or comes after one.  Identifiers of no known call are
+    passed over.
     """
     at = F.coalesce("turn", "result_turn", F.lit(0).cast("long"))
     state = store.put(links.select("_key", F.col("conv").cast("string").alias("_c"), at.alias("place"), F.lit(True).alias("moved")), "places-0")
@@ -141,10 +142,10 @@ def ordered(store: Store, links: DataFrame) -> DataFrame:
     step = 0
     state = state.join(bounds.select(F.col("_c").alias("_d"), "_most"), F.col("_c").eqNullSafe(F.col("_d"))).drop("_d")
     while True:
-        need = edges.join(state.where("moved and place <= _most").select(F.col("_key").alias("_dep"), "place"), "_dep").groupBy("_key").agg((F.max("place") + 1).alias("_need"))
+        need = edges.join(state.where("moved").select(F.col("_key").alias("_dep"), "place"), "_dep").groupBy("_key").agg((F.max("place") + 1).alias("_need"))
         step += 1
-        state = store.put(state.join(need, "_key", "left").select("_key", "_c", "_most", F.greatest("place", F.coalesce("_need", "place")).alias("place"), F.coalesce(F.col("_need") > F.col("place"), F.lit(False)).alias("moved")), f"places-{step}")
-        if state.where("moved and place <= _most").isEmpty():
+        state = store.put(state.join(need, "_key", "left").select("_key", "_c", "_most", F.greatest("place", F.coalesce(F.least("_need", F.col("_most") + 1), "place")).alias("place"), F.coalesce(F.least("_need", F.col("_most") + 1) > F.col("place"), F.lit(False)).alias("moved")), f"places-{step}")
+        if state.where("moved").isEmpty():
             break
     keyed = links.join(state.select("_key", "place", (F.col("place") > F.col("_most")).alias("cyclic")), "_key")
     conv = F.coalesce(F.col("conv").cast("string"), F.lit("\x00"))
