@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .shingles import mix
 
 SPACE = "▁"
-CACHE_UNITS = 400_000
+CACHE_UNITS = 1_000_000
 GROUP_CHARS = 4 << 20
 #: Longer units go through the agenda one by one; the others are merged side by side.
 LONG = 200
@@ -81,7 +81,11 @@ class PieceModel:
         self._ranks, self._merged = (np.asarray([x[k] for x in self.merges.values()], np.int32) for k in (0, 1))
         self._slots(np.asarray([a << 32 | b for a, b in self.merges], np.int64))
         self.seed, self.limit = seed, min(int(dropout * 2.0**64), 2**64 - 1)
-        self._units: dict[tuple[int, str], bytes] = {}
+        self._units: dict[int, dict[str, bytes]] = {}
+        self._of_char = np.full(0x110000, -1, np.int32)
+        for char, k in self.symbol.items():
+            if len(char) == 1:
+                self._of_char[ord(char)] = k
 
     def _slots(self, keys: np.ndarray) -> None:
         """An open hash table of the merges, at most a quarter full."""
@@ -156,12 +160,13 @@ class PieceModel:
 
     def segment_all(self, units: list[tuple[int, str]]) -> list[bytes]:
         """The ids of many (variant, unit) as little-endian 32-bit bytes: all agendas take a step at a time."""
-        get, chars = self.symbol.get, [" " + u for _, u in units]
+        chars = [" " + u for _, u in units]
         size = np.fromiter(map(len, chars), np.int64, len(chars))
-        symbol = np.fromiter((get(c, -1) for u in chars for c in u), np.int32, int(size.sum()))
+        symbol = self._of_char[np.frombuffer("".join(chars).encode("utf-32-le"), np.uint32)]
         owner = np.repeat(np.arange(len(units), dtype=np.int32), size)
         start = np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size)
-        keys = np.fromiter((self._key_of(u, v) for v, u in units), np.uint64, len(units))
+        seeds, digest = {v: _mix(self.seed * _A + v) for v in {v for v, _ in units}}, xxhash.xxh3_64_intdigest
+        keys = np.asarray([digest(u.encode(), seeds[v]) for v, u in units] if self.limit else [0] * len(units), np.uint64)
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def looked(at: np.ndarray) -> np.ndarray:
@@ -219,16 +224,21 @@ class PieceModel:
 
     def encode_all(self, texts: list[str], variants: list[int]) -> list[bytes]:
         """The ids of texts as little-endian 32-bit bytes; ids of units are kept in a bounded cache."""
-        found, parts = self._units, [self.units(t) for t in texts]
-        if len(found) > CACHE_UNITS:
-            found.clear()
-        new = list({(v, u) for v, own in zip(variants, parts, strict=True) for u in set(own) if (v, u) not in found})
-        short = [x for x in new if len(x[1]) <= LONG]
-        found.update(zip(short, self.segment_all(short), strict=True))
-        for v, u in new:
-            if len(u) > LONG:
-                found[v, u] = np.asarray(self.segment(u, v), "<u4").tobytes()
-        return [b"".join([found[v, u] for u in own]) for v, own in zip(variants, parts, strict=True)]
+        parts = [self.units(t) for t in texts]
+        if sum(map(len, self._units.values())) > CACHE_UNITS:
+            self._units.clear()
+        found = {v: self._units.setdefault(v, {}) for v in set(variants)}
+        new: dict[int, set[str]] = {v: set() for v in found}
+        for v, own in zip(variants, parts, strict=True):
+            new[v].update(set(own).difference(found[v]))
+        short = [(v, u) for v, own in new.items() for u in own if len(u) <= LONG]
+        for (v, u), ids in zip(short, self.segment_all(short), strict=True):
+            found[v][u] = ids
+        for v, own in new.items():
+            for u in own:
+                if len(u) > LONG:
+                    found[v][u] = np.asarray(self.segment(u, v), "<u4").tobytes()
+        return [b"".join([at[u] for u in own]) for at, own in zip((found[v] for v in variants), parts, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the first piece's leading space was put there by encoding."""
