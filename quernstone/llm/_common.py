@@ -35,9 +35,10 @@ class Store:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Writes and rereads a table; ``by`` gives each value of a column a folder, ``name/column=value`` to ``drop``."""
         path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -28,7 +28,7 @@ CHUNK_BYTES = 4 << 20
 #: Counts above K are not discounted.
 K = 5
 HOT = 50_000
-CHUNK, WORDS, VOCABULARY, PAIRS, CONTEXTS, ASKED, BIGRAMS, SUMMED = range(8)
+CHUNK, LISTED, WORDS, VOCABULARY, PAIRS, CONTEXTS, ASKED, BIGRAMS, SUMMED = range(9)
 PARTS = "kind int, chunk long, bucket int, a binary, b binary, c binary, d binary"
 _FIELDS = [("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
 
@@ -150,7 +150,12 @@ def backoff(bigrams: Discounts, words: Unigrams, count: np.ndarray, sums: np.nda
 
 
 def _chunks(id_type: pa.DataType, chunk_bytes: int):
-    """Texts to chunks: a = distinct words by their hash, the end of a text, the empty word, first; b = tokens as their places; c = tokens of each text; d = ids."""
+    """Texts to chunks of two rows.
+
+    LISTED has a = distinct words by their hash, the end of a text, the empty word,
+    first, and b = their counts in training texts; CHUNK has b = tokens as places
+    among these, c = tokens of each text and d = ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -164,8 +169,12 @@ def _chunks(id_type: pa.DataType, chunk_bytes: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as writer:
                 writer.write_batch(ids)
-            row = [CHUNK, task << 32 | nth, -1, squeeze(b"\n".join(words)), places(at, len(words)), pack(np.asarray([len(own) + 1 for _, own in held])), squeeze(sink.getvalue().to_pybytes())]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(row, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
+            n = np.asarray([len(own) + 1 for _, own in held])
+            trained = np.repeat([not held_out(i) for i, _ in held], n)
+            counts = np.bincount(at[trained], minlength=len(words))
+            row = task << 32 | nth
+            rows = [(LISTED, row, -1, squeeze(b"\n".join(words)), pack(counts), None, None), (CHUNK, row, -1, None, places(at, len(words)), pack(n), squeeze(sink.getvalue().to_pybytes()))]
+            return _rows(rows).to_batches()[0]
 
         for batch in batches:
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -221,10 +230,9 @@ def _rows(rows: list[tuple]) -> pa.Table:
 def _ask_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, a, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, words = Chunk(*parts), loosen(a).split(b"\n")
-                n = np.bincount(own.at[own.trained], minlength=own.size)
-                bucket = np.fromiter(map(zlib.crc32, words), np.int64, own.size) * buckets >> 32
+            for chunk, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, n = loosen(a).split(b"\n"), unpack(b)
+                bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) * buckets >> 32
                 rows = [(WORDS, chunk, k, squeeze(b"\n".join(words[s:e])), pack(n[s:e]), None, None) for k, s, e in _runs(bucket)]
                 yield from _rows(rows).to_batches()
 
@@ -399,18 +407,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(id_col, text_col)
     id_type = source.limit(0).toArrow().schema.field(0).type
     id_ddl = source.schema[id_col].dataType.simpleString()
-    chunks = store.put(source.mapInArrow(_chunks(id_type, chunk_bytes), PARTS), "chunks")
+    stored = store.put(source.mapInArrow(_chunks(id_type, chunk_bytes), PARTS), "chunks", "kind")
+    of = lambda rows, kind: rows.where(F.col("kind") == kind).select(*(c for c, _ in _FIELDS))
+    chunks = of(stored, CHUNK)
     n = chunks.count()
     buckets, pair_buckets = max(1, n // 6), max(1, n // 2)
 
-    asked = chunks.select("chunk", "a", "b", "c", "d").mapInArrow(_ask_words(buckets), PARTS)
+    asked = of(stored, LISTED).select("chunk", "a", "b").mapInArrow(_ask_words(buckets), PARTS)
     words = store.put(asked.groupBy("bucket").applyInArrow(_answer_words(buckets), PARTS), "vocabulary")
     got = _figures(words, VOCABULARY)
     total, types, *seen, rest = got.tolist() if len(got) else [0] * (K + 4)
     unigrams = Unigrams.of(total, types, seen, rest)
+    store.drop(f"chunks/kind={LISTED}")
     store.release()
 
-    opened = chunks.withColumn("a", F.lit(None).cast("binary")).union(words.where(F.col("kind") == WORDS))
+    opened = chunks.union(of(words, WORDS))
     asked = opened.groupBy("chunk").applyInArrow(_ask_pairs(pair_buckets, hot), PARTS)
     pairs = store.put(asked.groupBy("bucket").applyInArrow(_answer_pairs(), PARTS), "bigrams")
     seen = _figures(pairs, BIGRAMS).tolist() or [0] * (K + 1)
@@ -426,6 +437,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
             yield from _rows([(SUMMED, c, -1, None, None, None, r.tobytes()) for c, r in zip(batch.column(0).to_pylist(), rows, strict=True)]).to_batches()
 
-    everything = opened.union(pairs.where(F.col("kind") == PAIRS)).union(wanted.mapInArrow(packed, PARTS))
+    everything = opened.union(of(pairs, PAIRS)).union(wanted.mapInArrow(packed, PARTS))
     out = f"`{id_col}` {id_ddl}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return everything.groupBy("chunk").applyInArrow(_score(pair_buckets, hot, unigrams, bigrams, id_col, id_type), out)
