@@ -144,7 +144,8 @@ def ordered(store: Store, links: DataFrame) -> DataFrame:
     while True:
         need = edges.join(state.where("moved").select(F.col("_key").alias("_dep"), "place"), "_dep").groupBy("_key").agg((F.max("place") + 1).alias("_need"))
         step += 1
-        state = store.put(state.join(need, "_key", "left").select("_key", "_c", "_most", F.greatest("place", F.coalesce(F.least("_need", F.col("_most") + 1), "place")).alias("place"), F.coalesce(F.least("_need", F.col("_most") + 1) > F.col("place"), F.lit(False)).alias("moved")), f"places-{step}")
+        state = state.join(need, "_key", "left").withColumn("_to", F.when(F.col("_need").isNotNull(), F.greatest("place", F.least("_need", F.col("_most") + 1))).otherwise(F.col("place")))
+        state = store.put(state.select("_key", "_c", "_most", F.col("_to").alias("place"), (F.col("_to") > F.col("place")).alias("moved")), f"places-{step}")
         if state.where("moved").isEmpty():
             break
     keyed = links.join(state.select("_key", "place", (F.col("place") > F.col("_most")).alias("cyclic")), "_key")
