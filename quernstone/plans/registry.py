@@ -641,3 +641,119 @@ def visible_text(spark, d):
 def markdown_chunks(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n## Part\n\n"))).alias("text"))
     return chunking.markdown_chunks(docs, "doc_id", "text")
+
+
+# ---------------------------------------------------------------- lookups, listings, maintenance
+
+
+@query("src02_document", "SELECT doc_id, lang, source FROM documents WHERE doc_id = 17")
+def document(spark, d):
+    return table(spark, d, "documents").where("doc_id = 17").select("doc_id", "lang", "source")
+
+
+@query("src04_chunks_of_document", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 ORDER BY turn")
+def chunks_of_document(spark, d):
+    return table(spark, d, "conversations").where("conv_id = 3").orderBy("turn").select("conv_id", "turn", "role")
+
+
+@query("src07_links_by_node", "SELECT l_suppkey AS node_id, list_sort(list(DISTINCT l_partkey)) AS document_ids FROM lineitem WHERE l_suppkey % 10 = 1 GROUP BY l_suppkey")
+def links_by_node(spark, d):
+    return table(spark, d, "lineitem").where("l_suppkey % 10 = 1").groupBy(F.col("l_suppkey").alias("node_id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("document_ids"))
+
+
+@query("src12_changed_files", """
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'created' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change_type
+FROM (SELECT p_partkey AS id, p_size AS h FROM part WHERE p_partkey % 10 <> 0) a FULL JOIN (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN p_size + 1 ELSE p_size END AS h FROM part WHERE p_partkey % 8 <> 0) b ON a.id = b.id
+WHERE a.id IS NULL OR b.id IS NULL OR a.h <> b.h
+""")
+def changed_files(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("content_hash"))
+    now = parts.where("id % 8 <> 0").withColumn("content_hash", F.when(F.col("id") % 9 == 0, F.col("content_hash") + 1).otherwise(F.col("content_hash")))
+    return documents.detect_changes(parts.where("id % 10 <> 0"), now, ["id"]).where("change_type <> 'unchanged'").select("id", "change_type")
+
+
+@query("src15_modified_since", "SELECT event_id FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-20 00:00:00'")
+def modified_since(spark, d):
+    return table(spark, d, "events").where("event_type = 'view' and ts >= timestamp'2024-01-20 00:00:00'").select("event_id")
+
+
+@query("src28_counts", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def counts(spark, d):
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+
+
+@query("src39_membership", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 7")
+def membership(spark, d):
+    return table(spark, d, "lineitem").where("l_suppkey = 7").select("l_partkey").distinct()
+
+
+@query("top05_newest_first", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+def newest_first(spark, d):
+    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(100).select("o_orderkey", "o_orderdate")
+
+
+@query("snk19_graph_cleanup", """
+WITH l AS (SELECT DISTINCT l_partkey AS node_id, l_suppkey AS document_id FROM lineitem)
+SELECT DISTINCT node_id FROM l WHERE document_id IN (3, 5) AND node_id NOT IN (SELECT node_id FROM l WHERE document_id NOT IN (3, 5))
+""")
+def graph_cleanup(spark, d):
+    """Nodes of deleted documents that no other document links to."""
+    links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node_id"), F.col("l_suppkey").alias("document_id"))
+    return documents.orphans(links, "document_id", "node_id", F.col("document_id").isin(3, 5)).select("node_id")
+
+
+@query("snk26_replace_retries", """
+SELECT user_id AS target_id, event_type AS page_id, arg_max(event_id, ts * INTERVAL '0' SECOND + ts) AS last_event FROM events GROUP BY 1, 2
+""".replace("ts * INTERVAL '0' SECOND + ts", "(ts, event_id)"))
+def replace_retries(spark, d):
+    """One retry a page of each target: the last row wins."""
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("target_id"), F.col("event_type").alias("page_id")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
+
+
+@query("flt33_failed_rows", "SELECT event_type, count(*) AS n, count(value) AS n_ok, round((count(*) - count(value)) / count(*)::DOUBLE, 6) AS failure_rate, round(avg(value), 6) AS mean FROM (SELECT event_type, CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END AS value FROM events) GROUP BY event_type")
+def failed_rows(spark, d):
+    value = F.when(F.col("event_id") % 13 != 0, F.col("value"))
+    got = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(value).alias("n_ok"), F.avg(value).alias("m"))
+    return got.select("event_type", "n", "n_ok", F.round((F.col("n") - F.col("n_ok")) / F.col("n"), 6).alias("failure_rate"), F.round("m", 6).alias("mean"))
+
+
+@query("set05_processing_queue", "SELECT DISTINCT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'created' WHEN o_orderstatus = 'P' THEN 'updated' ELSE 'failed' END AS first_bucket FROM orders WHERE o_orderstatus IN ('O', 'P') OR o_orderkey % 29 = 0")
+def processing_queue(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    tag = lambda where, t, n: orders.where(where).select("id", F.struct(F.lit(n).alias("n"), F.lit(t).alias("t")).alias("b"))
+    every = tag("o_orderstatus = 'O'", "created", 0).union(tag("o_orderstatus = 'P'", "updated", 1)).union(tag("id % 29 = 0", "failed", 2))
+    return every.groupBy("id").agg(F.min("b")["t"].alias("first_bucket"))
+
+
+@query("agg08_tier_counts", """
+SELECT tier, count(*) AS n FROM (SELECT CASE WHEN e.l = r.l THEN 'exact' ELSE 'none' END AS tier FROM (SELECT p_partkey AS q, lower(p_brand) AS l FROM part) e JOIN (SELECT p_partkey AS q, lower(CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'zzz' END) AS l FROM part) r USING (q)) GROUP BY tier
+""")
+def tier_counts(spark, d):
+    from ..operators import matching
+
+    parts = table(spark, d, "part")
+    none = F.lit(None)
+    expected = parts.select(F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("gold"), F.lit("t").alias("type"), none.cast("array<string>").alias("aliases"), none.cast("array<double>").alias("vector"))
+    got = parts.select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("zzz").alias("name"), F.lit("t").alias("type"), none.cast("array<double>").alias("vector"), F.lit(1).alias("rank"))
+    return matching.tier_counts(matching.tiered(expected, got)).select("tier", "n")
+
+
+@query("join15_calibration_pairs", """
+WITH n AS (SELECT p_partkey AS id, p_brand AS t, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS s FROM part)
+SELECT a.id AS "left", b.id AS "right", CASE WHEN a.s = b.s THEN 'positive' ELSE 'hard_negative' END AS kind FROM n a JOIN n b ON a.t = b.t AND substr(a.s, 1, 6) = substr(b.s, 1, 6) AND a.id < b.id WHERE a.s <> ''
+""")
+def calibration_pairs(spark, d):
+    from ..operators import matching
+
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("entity_type"), F.col("p_name").alias("entity_name"))
+    return matching.calibration_pairs(nodes, 6)
+
+
+@query("udf01_assembled_context")
+def assembled_context(spark, d):
+    from ..operators import assembly
+
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("document_id"), "embedding", F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("content"))
+    docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"))
+    edges = vectors.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    return assembly.assemble(vectors, docs, edges, vectors.select("id", "embedding"), vectors.select(F.col("id").alias("node"), "document_id"), _vector(spark, d), k=5, threshold=0.1)
