@@ -44,3 +44,20 @@ def gate(rows: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
     """Rows with ``reason``: the name of the first check that is not true, null if all are."""
     reason = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks))
     return rows.withColumn("reason", reason)
+
+#: Hangul particles that may end a word.
+PARTICLES = "은|는|이|가|을|를|에|에서|에게|한테|으로|로|와|과|의|도|만|까지|부터|보다|마저|조차"
+
+
+def hangul_stems(text: Column, most: int = 1, stop: list[str] | None = None) -> Column:
+    """Stems of three syllables or more that occur at most ``most`` times: words without one particle, unless too little is left."""
+    words = F.regexp_extract_all(text, F.lit(r"([가-힣]{3,})"), 1)
+    bare = lambda w: F.regexp_replace(w, f"({PARTICLES})$", "")
+    stems = F.filter(F.transform(words, lambda w: F.when(F.length(bare(w)) >= 2, bare(w)).otherwise(w)), lambda s: F.length(s) >= 3)
+    stems = stems if not stop else F.filter(stems, lambda s: ~s.isin(*stop))
+    return F.filter(F.array_distinct(stems), lambda s: F.size(F.filter(stems, lambda x: x == s)) <= most)
+
+
+def hangul_leak(question: Column, source: Column, stop: list[str] | None = None) -> Column:
+    """Whether a rare stem of the source is part of the question."""
+    return F.exists(hangul_stems(source, 1, stop), lambda s: question.contains(s))
