@@ -757,3 +757,73 @@ def assembled_context(spark, d):
     docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"))
     edges = vectors.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     return assembly.assemble(vectors, docs, edges, vectors.select("id", "embedding"), vectors.select(F.col("id").alias("node"), "document_id"), _vector(spark, d), k=5, threshold=0.1)
+
+
+# ---------------------------------------------------------------- extraction
+
+
+@query("exp26_code_symbols", "SELECT 'src/' || p_partkey || '.py' AS path, 'method' AS kind, 'C' || p_size || '.run' AS name, 'def run(self, n)' AS signature, 2 AS line FROM part UNION ALL SELECT 'src/' || p_partkey || '.py', 'function', 'main', 'def main()', 4 FROM part")
+def code_symbols(spark, d):
+    return parsing.code_symbols(_sources(spark, d), "path", "content")
+
+
+def _sources(spark, d):
+    body = F.concat(F.lit("class C"), F.col("p_size").cast("string"), F.lit(":\n    def run(self, n):\n        return n\ndef main(): pass\n"))
+    return table(spark, d, "part").select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
+
+
+@query("grf05_code_relations", "SELECT 'src/' || p_partkey || '.py' AS path, 'src/' || p_partkey || '.py::C' || p_size AS source, 'src/' || p_partkey || '.py::C' || p_size || '.run' AS target, 'contains' AS relation_type FROM part UNION ALL SELECT 'src/' || p_partkey || '.py', 'src/' || p_partkey || '.py', 'src/' || p_partkey || '.py::main', 'contains' FROM part")
+def code_relations(spark, d):
+    from ..operators import extraction
+
+    return extraction.code_relations(parsing.code_symbols(_sources(spark, d), "path", "content"), "path")
+
+
+@query("grf03_body_relations", """
+SELECT p_partkey, p_name AS source, 'GET /v1/parts/' || p_size AS target, 'api' AS entity_type, 'documents' AS relation_type FROM part
+UNION ALL SELECT p_partkey, p_name, 'AB-' || p_size, 'ticket', 'mentions' FROM part
+""")
+def body_relations(spark, d):
+    from ..operators import extraction
+
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("call GET /v1/parts/"), size, F.lit(", see AB-"), size, F.lit(" and AB-"), size, F.lit("."))
+    return extraction.body_relations(table(spark, d, "part").withColumn("body", text), "p_partkey", "p_name", "body")
+
+
+@query("flt15_hangul_leak", "SELECT p_partkey, p_size % 2 = 0 AS leaks FROM part")
+def hangul_leak(spark, d):
+    question = F.when(F.col("p_size") % 2 == 0, "결제한도서비스란 무엇인가").otherwise("서비스란 무엇인가")
+    return table(spark, d, "part").select("p_partkey", goldset.hangul_leak(question, F.lit("결제한도서비스는 중요하다")).alias("leaks"))
+
+
+@query("exp08_extraction_units")
+def extraction_units(spark, d):
+    from ..operators import units
+
+    text = F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n## Part\n")))
+    return units.extraction_units(table(spark, d, "documents").select("doc_id", "source", text.alias("text")), "doc_id", "source", "text")
+
+
+_PRINT = """
+WITH h AS (SELECT sha256({row}) AS h FROM {table}),
+b AS (SELECT ('0x' || substr(h, 1, 8))::BIGINT % 1024 AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1)
+SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS n_rows FROM b
+"""
+
+
+@query("agg26_vector_fingerprint", _PRINT.format(row="vec_id::VARCHAR || chr(31) || label", table="embeddings"))
+def vector_fingerprint(spark, d):
+    return graph.fingerprint(table(spark, d, "embeddings"), ["vec_id", "label"])
+
+
+@query("agg27_corpus_fingerprint", _PRINT.format(row="doc_id::VARCHAR || chr(31) || sha256(text)", table="documents"))
+def corpus_fingerprint(spark, d):
+    return graph.fingerprint(table(spark, d, "documents").withColumn("content_hash", T.content_hash(F.col("text"))), ["doc_id", "content_hash"])
+
+
+@query("flt28_config_differences", "SELECT a.n_nationkey, a.n_name AS key FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey WHERE a.n_regionkey IS DISTINCT FROM CASE WHEN b.n_nationkey % 4 = 0 THEN NULL ELSE b.n_regionkey END")
+def config_differences(spark, d):
+    a = table(spark, d, "nation")
+    b = a.select("n_nationkey", F.when(F.col("n_nationkey") % 4 != 0, F.col("n_regionkey")).alias("other"))
+    return a.join(b, "n_nationkey").where(~F.col("n_regionkey").eqNullSafe(F.col("other"))).select("n_nationkey", F.col("n_name").alias("key"))
