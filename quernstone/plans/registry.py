@@ -827,3 +827,61 @@ def config_differences(spark, d):
     a = table(spark, d, "nation")
     b = a.select("n_nationkey", F.when(F.col("n_nationkey") % 4 != 0, F.col("n_regionkey")).alias("other"))
     return a.join(b, "n_nationkey").where(~F.col("n_regionkey").eqNullSafe(F.col("other"))).select("n_nationkey", F.col("n_name").alias("key"))
+
+
+# ---------------------------------------------------------------- more text functions
+
+
+@query("fn21_slugs", "SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_type)), '\\s+', '-', 'g'), '[^a-z0-9_-]', '', 'g') AS slug FROM part")
+def slugs(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_type")).alias("slug"))
+
+
+@query("fn58_block_flags", "SELECT p_partkey, p_size % 3 = 0 AS has_table, p_size % 3 = 1 AS has_code, 'intro ' || p_name AS lead FROM part")
+def block_flags(spark, d):
+    size = F.col("p_size") % 3
+    body = F.when(size == 0, "| a | b |\n|---|---|\n| 1 | 2 |").when(size == 1, "```\nx = 1\n```").otherwise("plain | text")
+    text = F.concat(F.lit("intro "), F.col("p_name"), F.lit("\n\n# Head\n"), body)
+    return table(spark, d, "part").select("p_partkey", T.has_table(text).alias("has_table"), T.has_code_block(text).alias("has_code"), T.lead_paragraph(text).alias("lead"))
+
+
+@query("fn27_prose", "SELECT p_partkey, 'a ' || p_name || '  end' AS prose, ['term ' || p_size] AS bold FROM part")
+def prose(spark, d):
+    text = F.concat(F.lit("a "), F.col("p_name"), F.lit(" ```code\nmore``` end"))
+    bold = F.concat(F.lit("**term "), F.col("p_size").cast("string"), F.lit("** and **TERM "), F.col("p_size").cast("string"), F.lit("**, **?**"))
+    return table(spark, d, "part").select("p_partkey", T.without_code(text).alias("prose"), T.bold_terms(bold).alias("bold"))
+
+
+@query("flt32_languages", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'typescript' END AS language FROM part")
+def languages(spark, d):
+    ending = F.element_at(F.array(*map(F.lit, ("PY", "go", "tsx", "xyz"))), (F.col("p_size") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", T.language_of(F.concat(F.lit("src/file.v2."), ending)).alias("language"))
+
+
+@query("fn45_numbers", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS value FROM orders")
+def numbers(spark, d):
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.lit("None")).otherwise(F.col("o_totalprice").cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", T.number(text).alias("value"))
+
+
+@query("flt22_entity_types", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'concept' ELSE 'team' END AS entity_type FROM part")
+def entity_types(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("struct", "policy", "team"))), (F.col("p_size") % 3 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", graph.canonical(kind, graph.ENTITY_ALIASES).alias("entity_type"))
+
+
+@query("top02_entity_search", f"SELECT vec_id, round({_COS}, 6) AS similarity FROM embeddings WHERE {_COS} >= 0.25 ORDER BY {_COS} DESC, vec_id LIMIT 5")
+def entity_search(spark, d):
+    found = retrieval.nearest(table(spark, d, "embeddings"), _vector(spark, d), 5, "vec_id", "embedding").where("similarity >= 0.25")
+    return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("flt01_file_filter", "SELECT page_id FROM pages WHERE lower(url) LIKE '%.html' AND octet_length(encode(html)) <= 4 * 1024")
+def file_filter(spark, d):
+    return table(spark, d, "pages").where(F.lower("url").endswith(".html") & (F.octet_length("html") <= 4 * 1024)).select("page_id")
+
+
+@query("win12_merged_sections", "SELECT source, lower(lang) AS term, min(doc_id) AS first_doc FROM documents GROUP BY source, lower(lang)")
+def merged_sections(spark, d):
+    """The first of each term of a source, whatever its case."""
+    return table(spark, d, "documents").groupBy("source", F.lower("lang").alias("term")).agg(F.min("doc_id").alias("first_doc"))
