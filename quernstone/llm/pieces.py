@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
@@ -19,6 +20,8 @@ CACHE_UNITS = 1_000_000
 GROUP_CHARS = 4 << 20
 #: Longer units go through the agenda one by one; the others are merged side by side.
 LONG = 200
+#: So many units' agendas step together at most, which bounds their arrays.
+TOGETHER = 20_000
 DROPOUT, SEED, VARIANTS = 0.1, 1, 8
 _NEVER = np.int32(2**31 - 1)
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -159,66 +162,62 @@ class PieceModel:
         return out
 
     def segment_all(self, units: list[tuple[int, str]]) -> list[bytes]:
-        """The ids of many (variant, unit) as little-endian 32-bit bytes: all agendas take a step at a time."""
-        chars = [" " + u for _, u in units]
-        size = np.fromiter(map(len, chars), np.int64, len(chars))
-        symbol = self._of_char[np.frombuffer("".join(chars).encode("utf-32-le"), np.uint32)]
-        owner = np.repeat(np.arange(len(units), dtype=np.int32), size)
-        start = np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size)
-        seeds, digest = {v: _mix(self.seed * _A + v) for v in {v for v, _ in units}}, xxhash.xxh3_64_intdigest
-        keys = np.asarray([digest(u.encode(), seeds[v]) for v, u in units] if self.limit else [0] * len(units), np.uint64)
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def looked(at: np.ndarray) -> np.ndarray:
-            """The merge of each place with the next, where both are of one unit."""
-            last = len(symbol) - 1
-            nxt = np.minimum(at + 1, last)
-            same = (at < last) & (owner[at] == owner[nxt])
-            return np.where(same, self._look(np.where(same, symbol[at], -1), symbol[nxt]), -1)
-
-        merge = looked(np.arange(len(symbol))) if len(symbol) else np.zeros(0, np.int32)
-        while len(symbol):
-            rank = np.where(merge >= 0, self._ranks[merge], _NEVER)
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            best = np.minimum.reduceat(rank, first)
-            count = np.diff(np.append(first, len(owner)))
-            done = best == _NEVER
-            if done.any():
-                out = np.repeat(done, count)
-                kept.append((owner[out], start[out], symbol[out]))
-                symbol, owner, start, merge, rank = (x[~out] for x in (symbol, owner, start, merge, rank))
-                best, count = best[~done], count[~done]
-                if not len(symbol):
-                    break
-                first = np.cumsum(count) - count
-            at = np.flatnonzero(rank == np.repeat(best, count))
-            at = at[np.concatenate([[True], owner[at][1:] != owner[at][:-1]])]
+        """The ids of many (variant, unit) as little-endian 32-bit bytes: agendas of units of one length take steps together."""
+        out, by_length = [b""] * len(units), {}
+        for k, (_, u) in enumerate(units):
+            by_length.setdefault(len(u), []).append(k)
+        seeds = {v: _mix(self.seed * _A + v) for v in {v for v, _ in units}}
+        for own in by_length.values():
+            for at in range(0, len(own), TOGETHER):
+                part = own[at : at + TOGETHER]
+                for k, ids in zip(part, self._segment_equal([units[k] for k in part], seeds), strict=True):
+                    out[k] = ids
+        return out
+
+    def _segment_equal(self, units: list[tuple[int, str]], seeds: dict[int, int]) -> list[bytes]:
+        """``segment_all`` for units of equal length: a row a unit, a column a character and one that stands for both ends."""
+        chars, digest = [" " + u for _, u in units], xxhash.xxh3_64_intdigest
+        n, size = len(units), len(chars[0])
+        symbol = np.full((n, size + 1), -3, np.int32)
+        symbol[:, :size] = self._of_char[np.frombuffer("".join(chars).encode("utf-32-le"), np.uint32)].reshape(n, size)
+        after, before = (np.tile(x.astype(np.int32), (n, 1)) for x in (np.append(np.arange(1, size + 1), size), np.append(np.arange(-1, size - 1) % (size + 1), size)))
+        merge = np.full((n, size + 1), -1, np.int32)
+        merge[:, : size - 1] = self._look(symbol[:, : size - 1].ravel(), symbol[:, 1:size].ravel()).reshape(n, size - 1)
+        rank = np.where(merge >= 0, self._ranks[merge], _NEVER)
+        alive = np.ones((n, size), bool)
+        keys = np.asarray([digest(u.encode(), seeds[v]) for v, u in units], np.uint64) if self.limit else None
+        rows = np.arange(n)
+
+        def offer(r: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+            found = self._look(symbol[r, i], symbol[r, j])
+            merge[r, i] = found
+            rank[r, i] = np.where(found >= 0, self._ranks[found], _NEVER)
+
+        while len(rows):
+            i = rank[rows].argmin(axis=1)
+            more = rank[rows, i] != _NEVER
+            rows, i = rows[more], i[more]
+            j, piece, r = after[rows, i], self._merged[merge[rows, i]], rows
             if self.limit:
-                place = keys[owner[at]] + start[at].astype(np.uint64) * np.uint64(_A) + start[at + 1].astype(np.uint64) * np.uint64(_B) + self._merged[merge[at]].astype(np.uint64) * np.uint64(_C)
+                place = keys[r] + i.astype(np.uint64) * np.uint64(_A) + j.astype(np.uint64) * np.uint64(_B) + piece.astype(np.uint64) * np.uint64(_C)
                 skip = mix(place) < np.uint64(self.limit)
-                merge[at[skip]] = -1
-                at = at[~skip]
-            if not len(at):
-                continue
-            symbol[at] = self._merged[merge[at]]
-            keep = np.ones(len(symbol), bool)
-            keep[at + 1] = False
-            moved = np.cumsum(keep) - 1
-            symbol, owner, start, merge = (x[keep] for x in (symbol, owner, start, merge))
-            at = moved[at]
-            merge[at] = looked(at)
-            left = at[(at > 0) & (owner[np.maximum(at - 1, 0)] == owner[at])] - 1
-            merge[left] = looked(left)
-        owner, start, symbol = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int32),) * 3
-        order = np.lexsort((start, owner))
-        owner, start, symbol = owner[order], start[order], symbol[order]
-        cut = np.searchsorted(owner, np.arange(len(units) + 1))
-        raw, odd = symbol.astype("<u4").tobytes(), np.flatnonzero((symbol < 0) | (symbol >= self.pieces))
+                rank[r[skip], i[skip]] = _NEVER
+                r, i, j, piece = (x[~skip] for x in (r, i, j, piece))
+            nxt, prv = after[r, j], before[r, i]
+            symbol[r, i], alive[r, j], rank[r, j] = piece, False, _NEVER
+            after[r, i], before[r, nxt] = nxt, i
+            before[r, size] = size
+            offer(r, i, nxt)
+            offer(r, prv, i)
+        count = alive.sum(axis=1)
+        flat = symbol[:, :size][alive]
+        raw, cut = flat.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(count)])
         out = [raw[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        for k in np.unique(owner[odd]).tolist():
+        odd = np.flatnonzero((flat < 0) | (flat >= self.pieces))
+        for k in np.unique(np.searchsorted(cut, odd, side="right") - 1).tolist():
             ids: list[int] = []
-            for s, x in zip(start[cut[k] : cut[k + 1]].tolist(), symbol[cut[k] : cut[k + 1]].tolist(), strict=True):
-                ids += [x] if 0 <= x < self.pieces else self._spell(chars[k][s])
+            for c, x in zip(np.flatnonzero(alive[k]).tolist(), flat[cut[k] : cut[k + 1]].tolist(), strict=True):
+                ids += [x] if 0 <= x < self.pieces else self._spell(chars[k][c])
             out[k] = np.asarray(ids, "<u4").tobytes()
         return out
 
@@ -284,7 +283,11 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
 
 
 def _encoded(own: PieceModel, batch: pa.RecordBatch, seed: int, variants: int) -> Iterator[tuple[int, list[bytes], list[str]]]:
-    """(first row, ids, texts) of groups of a batch's rows."""
+    """(first row, ids, texts) of groups of a batch's rows.
+
+    Nothing here makes reference cycles, and each search for such would walk the cache.
+    """
+    gc.disable()
     names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
     at = 0
     while at < len(texts):
