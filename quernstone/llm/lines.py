@@ -123,10 +123,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = base.where(text.isNotNull()).select(F.col("_uid").alias("uid"), F.col("_doc")[id_col].alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     lines = store.put(split.select("uid", "id", F.col("pos").cast("long").alias("pos"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), words_of(F.col("line")).alias("words")), "lines")
     rows = store.put(repeated_stretches(lines, min_words), "rows")
-    deleted = merged(later_copies(store, rows, min_words)).select(F.col("uid").alias("_uid"), "deleted")
+    deleted = store.put(merged(later_copies(store, rows, min_words)).select(F.col("uid").alias("_uid"), "deleted"), "deleted")
+    store.drop("lines", "rows", "runs", *(f"{t}-{1 << k}" for k in range(40) for t in ("named", "suffixes", "rank")))
+    store.release()
     parts = F.split(text, "\n")
     gone = lambda x, i: F.exists("deleted", lambda d: (i >= d["first"]) & (i <= d["last"]))
-    out = base.join(deleted, "_uid", "left")
+    out = base.join(deleted.hint("merge"), "_uid", "left")
     kept = F.when(F.col("deleted").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~gone(x, i)), "\n"))
     n_deleted = F.coalesce(F.aggregate("deleted", F.lit(0).cast("long"), lambda a, d: a + d["last"] - d["first"] + 1), F.lit(0).cast("long"))
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
