@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ._common import Store
 
-#: Bounds of the fit: about so many labelled texts are read, and so many languages at most are learnt.
-SAMPLE_ROWS = 20_000
-MOST_LANGUAGES = 64
+#: Bound of the fit: about so many different texts of each language are read.
+LABEL_TEXTS = 5_000
 BUCKETS = 1 << 16
+#: So many numbers of the table are taken up at once, and so many languages are counted side by side in a task.
+CELLS, TOGETHER = 1 << 22, 64
 #: Neighbouring letter triples say much the same, so a text counts as no more than this many.
 EFFECTIVE_GRAMS = 100
 HOST_STRENGTH, DOMAIN_STRENGTH, SUFFIX_STRENGTH = 20.0, 50.0, 50.0
@@ -66,9 +66,14 @@ class TextModel:
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of grams, log likelihood of each language) of each text."""
         n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.labels)))
+        step = max(1, CELLS // len(self.labels))
         for at, end, bucket, starts in grams(texts):
             n[at:end] = np.diff(np.append(starts, len(bucket)))
-            total[at:end] = sums(self.table[bucket], starts)
+            text = np.repeat(np.arange(at, end), n[at:end])
+            for k in range(0, len(bucket), step):
+                own = text[k : k + step]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                total[own[first]] += sums(self.table[bucket[k : k + step]], first)
         return n, total
 
 
@@ -78,34 +83,42 @@ def normal_label(label: Column) -> Column:
     return F.when(part != "", part)
 
 
-def fit(labelled: DataFrame, text: Column, label: Column, sample_rows: int = SAMPLE_ROWS, smoothing: float = 0.5) -> TextModel:
-    """Counts grams by language over a sample of about ``sample_rows`` whole texts.
+def fit(labelled: DataFrame, text: Column, label: Column, label_texts: int = LABEL_TEXTS, smoothing: float = 0.5) -> TextModel:
+    """Counts grams by language over a sample of about ``label_texts`` different whole texts of each.
 
-    The sample is chosen by hash, the same for the same rows; the most frequent
-    MOST_LANGUAGES labels are learnt.  What comes to the driver is bounded by
-    languages times buckets.
+    Every label that a text with letters has, however rare, is learnt.  The sample
+    is chosen by hash, the same for the same rows.  What comes to the driver is
+    bounded by languages times buckets, half a MB a language.
     """
-    rows = labelled.select(text.alias("text"), normal_label(label).alias("label")).where("text is not null and label is not null")
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
-    top = [r["label"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()]
+    rows = labelled.select(text.alias("text"), normal_label(label).alias("label")).where("label is not null").where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
+    texts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
+    many = {x: int(label_texts / n * (1 << 30)) for x, n in texts.items() if n > label_texts}
+    if many:
+        bound = F.create_map(*(F.lit(v) for x in many.items() for v in x))[F.col("label")]
+        rows = rows.where(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) < F.coalesce(bound, F.lit(1 << 30)))
+
+    def packed(seen: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for label, own in seen.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], ["label", "bucket", "n"])
+        seen.clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            labels = np.asarray(batch.column(1).to_pylist(), object)
-            texts = batch.column(0).to_pylist()
-            for label in set(labels):
+            by: dict[str, list[str]] = {}
+            for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by.setdefault(x, []).append(t)
+            for label, own_texts in by.items():
+                if len(seen) >= TOGETHER and label not in seen:
+                    yield from packed(seen)
                 own = seen.setdefault(label, np.zeros(BUCKETS, np.int64))
-                for _, _, bucket, _ in grams([t for t, x in zip(texts, labels, strict=True) if x == label]):
+                for _, _, bucket, _ in grams(own_texts):
                     own += np.bincount(bucket, minlength=BUCKETS)
-        for label, own in seen.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], ["label", "bucket", "n"])
+        yield from packed(seen)
 
-    counts = rows.where(F.col("label").isin(top)).mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    labels = tuple(sorted(top))
+    counts = rows.distinct().mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    labels = tuple(sorted(texts))
     table = np.full((BUCKETS, len(labels) + 1), smoothing)
     got = counts.toPandas()
     if len(got):
@@ -135,7 +148,7 @@ def identify(rows: DataFrame, model: TextModel, text_col: str = "text", declared
     none, ks = F.lit(None).cast("string"), range(len(model.labels))
     made = ["language", "certainty", "kept"]
     keep = [c for c in (rows.columns if keep is None else keep) if c not in made]
-    send = spark.sparkContext.broadcast(model)  # at most MOST_LANGUAGES + 1 times BUCKETS numbers
+    send = spark.sparkContext.broadcast(model)  # languages times BUCKETS numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,40 +158,38 @@ def identify(rows: DataFrame, model: TextModel, text_col: str = "text", declared
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), *arrays], [*names, "_n", "_score", "_p"])
 
     tag = normal_label(none if declared is None else declared)
-    tag = F.when(tag.isin(*labels[:-1]), tag).when(tag.isNotNull(), F.lit("other"))
+    tag = F.when(tag.isin(*labels[:-1]), tag).when(tag.isNotNull(), F.lit("other"))  # those of no text with letters in the fit
     source = rows.select(F.col(text_col).alias("_text"), F.struct(*keep).alias("_row"), tag.alias("_tag"), F.lower(none if host is None else host).alias("_host"))
     names = source.columns[1:]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
     scored = Store(spark, "languages").put(source.mapInArrow(score, f"{ddl}, _n long, _score array<double>, _p array<double>"), "scored")
 
     known = scored.where("_n > 0")
-    total = [F.sum(F.col("_p")[k]).alias(f"n{k}") for k in ks]
-    everything = known.agg(*total).first()
-    mass = np.asarray([everything[k] or 0.0 for k in ks])
+    added = lambda c: F.array(*(F.sum(F.col(c)[k]) for k in ks))
+    numbers = lambda v: F.array(*map(F.lit, map(float, v)))
+    mass = np.asarray([x or 0.0 for x in known.agg(added("_p").alias("p")).first()["p"]])
     prior = (mass + 1) / (mass + 1).sum()
     # P(tag | language): a table of languages by languages
-    by_tag = {r["_tag"]: np.asarray([r[f"n{k}"] for k in ks]) for r in known.where("_tag is not null").groupBy("_tag").agg(*total).collect()}
+    by_tag = {r["_tag"]: np.asarray(r["p"]) for r in known.where("_tag is not null").groupBy("_tag").agg(added("_p").alias("p")).collect()}
     seen = sum(by_tag.values(), np.zeros(len(labels)))
-    log_tag = {t: np.log((v + 1) / (seen + len(by_tag) + 1)) for t, v in by_tag.items()}
+    spoken = [(t, np.log((v + 1) / (seen + len(by_tag) + 1)).tolist()) for t, v in by_tag.items()]
 
+    # posteriors of a row add up to 1, so those of a group to its rows
     parts = F.split("_host", r"\.")
-    hosts = known.where("_host is not null").groupBy("_host").agg(*total)
+    hosts = known.where("_host is not null").groupBy("_host").agg(added("_p").alias("_h"), F.count("*").alias("_hn"))
     hosts = hosts.withColumn("_domain", F.when(F.size(parts) > 1, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(F.col("_host"))).withColumn("_suffix", F.when(F.size(parts) > 1, F.element_at(parts, -1)))
-    sums_by = lambda c, p: hosts.where(F.col(c).isNotNull()).groupBy(c).agg(*(F.sum(f"n{k}").alias(f"{p}{k}") for k in ks))
-    hosts = hosts.join(sums_by("_domain", "d"), "_domain", "left").join(sums_by("_suffix", "s"), "_suffix", "left")
-    size = lambda p: sum((F.col(f"{p}{k}") for k in ks), F.lit(0.0))
-    domain = [(F.col(f"d{k}") + DOMAIN_STRENGTH * float(prior[k])) / (size("d") + DOMAIN_STRENGTH) for k in ks]
-    host_prior = [(F.col(f"n{k}") + HOST_STRENGTH * domain[k]) / (size("n") + HOST_STRENGTH) for k in ks]
-    share = size("s") / float(max(mass.sum(), 1e-9))
-    suffix = [F.coalesce(F.log((F.col(f"s{k}") + SUFFIX_STRENGTH * share) / (float(mass[k]) + SUFFIX_STRENGTH)), F.lit(0.0)) for k in ks]
-    evidence = hosts.select("_host", F.array(*(F.log(host_prior[k]) + suffix[k] for k in ks)).alias("_given"))
-
-    spoken = F.lit(None).cast("array<double>")
-    for t, v in log_tag.items():
-        spoken = F.when(F.col("_tag") == t, F.array(*map(F.lit, map(float, v)))).otherwise(spoken)
-    given = F.coalesce("_given", F.array(*(F.lit(math.log(x)) for x in map(float, prior))))
-    zero = F.array(*(F.lit(0.0) for _ in ks))
-    joined = scored.join(evidence, "_host", "left").withColumn("_all", F.zip_with(F.zip_with("_score", given, lambda a, b: a + b), F.coalesce(spoken, zero), lambda a, b: a + b))
+    sums_by = lambda c, p: hosts.where(F.col(c).isNotNull()).groupBy(c).agg(added("_h").alias(p), F.sum("_hn").alias(f"{p}n"))
+    hosts = hosts.join(sums_by("_domain", "_d"), "_domain", "left").join(sums_by("_suffix", "_s"), "_suffix", "left")
+    domain = F.zip_with("_d", numbers(prior), lambda d, p: (d + DOMAIN_STRENGTH * p) / (F.col("_dn") + DOMAIN_STRENGTH))
+    host_prior = F.zip_with("_h", domain, lambda h, d: (h + HOST_STRENGTH * d) / (F.col("_hn") + HOST_STRENGTH))
+    share = F.col("_sn") / float(max(mass.sum(), 1e-9))
+    suffix = F.zip_with("_s", numbers(mass), lambda s, m: F.log((s + SUFFIX_STRENGTH * share) / (m + SUFFIX_STRENGTH)))
+    zero = numbers(np.zeros(len(labels)))
+    evidence = hosts.select("_host", F.zip_with(host_prior, F.coalesce(suffix, zero), lambda h, s: F.log(h) + s).alias("_given"))
+
+    tags = F.broadcast(spark.createDataFrame(spoken, "_tag string, _spoken array<double>"))  # at most languages times languages
+    given = F.coalesce("_given", numbers(np.log(prior)))
+    joined = scored.join(tags, "_tag", "left").join(evidence, "_host", "left").withColumn("_all", F.zip_with(F.zip_with("_score", given, lambda a, b: a + b), F.coalesce("_spoken", zero), lambda a, b: a + b))
     best = F.array_max("_all")
     joined = joined.withColumn("_certainty", 1 / F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x - best)))
     language = F.when(F.col("_n") > 0, F.element_at(F.array(*map(F.lit, labels)), F.array_position("_all", best).cast("int"))).otherwise(UNKNOWN)

@@ -79,3 +79,31 @@ def test_pages(spark):
     got = langid.identify(pages, model, "visible", F.col("declared"), F.col("host"), ["page_id"]).collect()
     truth = {k: r[4] for k, r in enumerate(corpus(60, 5))}
     assert len(got) == 61 and sum(r.language == truth.get(r.page_id) for r in got) >= 58
+
+
+def test_rare_and_many_languages_are_learnt(spark):
+    many = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(70)]
+    rows = spark.range(60_000).select(F.concat(F.lit("the house "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    georgian = ["\u10d3\u10d0 \u10d0\u10e0\u10d8\u10e1 \u10e0\u10dd\u10db \u10e1\u10d0\u10ee\u10da\u10d8 \u10ec\u10e7\u10d0\u10da\u10d8 " * 5]
+    few = [*((x, f"{x} {x}{x} words") for x in many), *(("ka", t) for t in georgian)]
+    docs = rows.unionByName(spark.createDataFrame(few, "lang string, text string"))
+    model = langid.fit(docs, F.col("text"), F.col("lang"))
+    assert model.labels == (*sorted({"en", "ka", *many}), "und")
+    got = langid.identify(spark.createDataFrame([(1, georgian[0], "ka"), (2, "the house the house", "en")], "id long, text string, lang string"), model, declared=F.col("lang")).collect()
+    assert {(r.id, r.language, r.kept) for r in got} == {(1, "ka", True), (2, "en", True)}
+
+
+def test_fit_reads_so_many_texts_of_each_language(spark):
+    docs = spark.range(4000).select(F.concat(F.lit("abc "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 20, "de").otherwise("en").alias("lang"))
+    docs = docs.union(docs.where("lang = 'de'"))
+    table = np.exp(langid.fit(docs, F.col("text"), F.col("lang"), 200).table)
+    seen = [round((c.max() / c.min() - 1) / 2) for c in table.T[:2]]
+    assert seen[0] == 20 and 120 < seen[1] < 300
+
+
+def test_score_in_slices(monkeypatch):
+    table = np.log(np.arange(1, 3 * langid.BUCKETS + 1, dtype=float).reshape(-1, 3))
+    model, texts = langid.TextModel(("x", "y", "und"), table), ["", "some words", "", "x " * 40, "more", ""]
+    n, whole = model.score(texts)
+    monkeypatch.setattr(langid, "CELLS", 21)
+    assert np.allclose(model.score(texts)[1], whole) and n.tolist() == model.score(texts)[0].tolist()
