@@ -162,7 +162,8 @@ def identify(rows: DataFrame, model: TextModel, text_col: str = "text", declared
     source = rows.select(F.col(text_col).alias("_text"), F.struct(*keep).alias("_row"), tag.alias("_tag"), F.lower(none if host is None else host).alias("_host"))
     names = source.columns[1:]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    scored = Store(spark, "languages").put(source.mapInArrow(score, f"{ddl}, _n long, _score array<double>, _p array<double>"), "scored")
+    store = Store(spark, "languages")
+    scored = store.put(source.mapInArrow(score, f"{ddl}, _n long, _score array<double>, _p array<double>"), "scored")
 
     known = scored.where("_n > 0")
     added = lambda c: F.array(*(F.sum(F.col(c)[k]) for k in ks))
@@ -186,6 +187,7 @@ def identify(rows: DataFrame, model: TextModel, text_col: str = "text", declared
     suffix = F.zip_with("_s", numbers(mass), lambda s, m: F.log((s + SUFFIX_STRENGTH * share) / (m + SUFFIX_STRENGTH)))
     zero = numbers(np.zeros(len(labels)))
     evidence = hosts.select("_host", F.zip_with(host_prior, F.coalesce(suffix, zero), lambda h, s: F.log(h) + s).alias("_given"))
+    evidence = store.put(evidence, "hosts")  # of a stored table adaptive execution can split the join on a hot host
 
     tags = F.broadcast(spark.createDataFrame(spoken, "_tag string, _spoken array<double>"))  # at most languages times languages
     given = F.coalesce("_given", numbers(np.log(prior)))
@@ -202,6 +204,21 @@ def identify_documents(docs: DataFrame, text_col: str = "text", declared_col: st
     return identify(docs, model, text_col, F.col(declared_col), F.col(host_col), keep)
 
 
+def identify_documents_and_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page_id, language, certainty, kept) of every document and every page; one of the ids is null.
+
+    The model is fitted on both with what they declare.  Documents have a source
+    for a host; pages have the language of their markup and a host with its domain
+    and suffix.  The two are weighed apart, as their tags and hosts are of other kinds.
+    """
+    seen = page_evidence(pages)
+    labelled = docs.select("text", "lang").unionAll(seen.select("visible", "declared"))
+    model = fit(labelled, F.col("text"), F.col("lang"))
+    of_docs = identify(docs, model, "text", F.col("lang"), F.col("source"), ["doc_id"])
+    of_pages = identify(seen, model, "visible", F.col("declared"), F.col("host"), ["page_id"])
+    return of_docs.unionByName(of_pages, allowMissingColumns=True).select("doc_id", "page_id", "language", "certainty", "kept")
+
+
 def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Pages with ``visible`` text, ``declared`` language of the markup and ``host`` of the address."""
     html = F.col(html_col)

@@ -81,8 +81,8 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents declare a language and have a source as host; pages are alike, see ``langid.page_evidence``."""
-    return langid.identify_documents(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    """Documents declare a language and have a source as host; pages beside them have markup and addresses."""
+    return langid.identify_documents_and_pages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
 
 
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,19 @@ def test_score_in_slices(monkeypatch):
     n, whole = model.score(texts)
     monkeypatch.setattr(langid, "CELLS", 21)
     assert np.allclose(model.score(texts)[1], whole) and n.tolist() == model.score(texts)[0].tolist()
+
+
+def test_query_weighs_suffix_and_domain_of_pages(spark, tmp_path):
+    from quernstone.llm.queries import op9_language_id
+
+    html = '<html lang="%s"><body><p>%s</p></body></html>'
+    rows = corpus(120, 9)
+    pages = [(k, f"http://{t}{k}.shop{k % 5}.{t}/x", html % (d, x)) for k, (_, x, d, _, t) in enumerate(rows)]
+    pages += [(900, "http://new.unseen.fr/", "<p>zq</p>"), (901, "http://new.unseen.de/", "<p>zq</p>"), (902, "http://new.unseen.de/", '<html lang="ka"><p>\u10d3\u10d0 \u10d0\u10e0\u10d8\u10e1 \u10e0\u10dd\u10db</p></html>')]
+    frame(spark, corpus()).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = op9_language_id(spark, str(tmp_path)).collect()
+    by = {r.page_id: r for r in got if r.page_id is not None}
+    assert sorted(r.doc_id for r in got if r.page_id is None) == list(range(240)) and len(got) == 240 + len(pages)
+    assert sum(by[k].language == r[4] for k, r in enumerate(rows)) > 115
+    assert (by[900].language, by[901].language, by[902].language) == ("fr", "de", "ka")
