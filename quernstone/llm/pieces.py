@@ -22,9 +22,11 @@ GROUP_CHARS = 4 << 20
 LONG = 200
 #: So many units' agendas step together at most, which bounds their arrays.
 TOGETHER = 20_000
-DROPOUT, SEED, VARIANTS = 0.1, 1, 8
+#: Steps of an agenda are told apart up to so many; a unit that is not long has less.
+GAPS = 1024
+DROPOUT, SEED = 0.1, 1
 _NEVER = np.int32(2**31 - 1)
-_A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+_A, _C = 0x9E3779B97F4A7C15, 0x165667B19E3779F9
 _UNIT = re.compile(" +[^ ]*")
 
 
@@ -47,9 +49,13 @@ class PieceModel:
 
     The agenda of a unit holds its pairs of neighbours that make a piece, best
     score first, leftmost first among equals.  A pair that is taken is skipped
-    for good with the probability ``dropout``, by a hash of the seed, the variant,
-    the unit and the pair's place and piece, else it is merged and its pairs with
-    its new neighbours join.
+    for good with the probability ``dropout``, else it is merged and its pairs with
+    its new neighbours join.  Each occurrence of a unit has a key of its own, whose
+    hashes say how many pairs are merged before the next is skipped.
+
+    What an agenda gives depends on the unit and on the steps that are skipped
+    alone, so outcomes are kept by these as nodes: a unit's first is that of no skip,
+    and a node's children are those of one skip more, so many steps on.
     """
 
     def __init__(self, model: str = "piece_bpe_32k.model", dropout: float = 0.0, seed: int = 0):
@@ -84,7 +90,8 @@ class PieceModel:
         self._ranks, self._merged = (np.asarray([x[k] for x in self.merges.values()], np.int32) for k in (0, 1))
         self._slots(np.asarray([a << 32 | b for a, b in self.merges], np.int64))
         self.seed, self.limit = seed, min(int(dropout * 2.0**64), 2**64 - 1)
-        self._units: dict[int, dict[str, bytes]] = {}
+        self._gaps = np.asarray([min(int((1 - (1 - dropout) ** k) * 2.0**64), 2**64 - 1) for k in range(1, GAPS + 1)], np.uint64)
+        self._clear()
         self._of_char = np.full(0x110000, -1, np.int32)
         for char, k in self.symbol.items():
             if len(char) == 1:
@@ -129,12 +136,26 @@ class PieceModel:
     def _spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()]
 
+    def _clear(self) -> None:
+        """Forgets all nodes: each has its unit, skipped steps, ids, and how many steps it has after the last skip."""
+        self._first: dict[str, int] = {}
+        self._child: dict[int, int] = {}
+        self._unit: list[str] = []
+        self._skips: list[tuple[int, ...]] = []
+        self._ids: list[bytes] = []
+        self._left = np.zeros(0, np.int32)
+
     def segment(self, unit: str, variant: int) -> list[int]:
-        """The ids of one unit, by an agenda in the order of score and place."""
+        """The ids of one unit as an occurrence whose key is of the variant and the unit."""
+        return self.segment_key(unit, self._key_of(unit, variant))
+
+    def segment_key(self, unit: str, key: int) -> list[int]:
+        """The ids of an occurrence of a unit, by an agenda in the order of score and place."""
         chars = " " + unit
         symbol = [self.symbol.get(c, -1) for c in chars]
         before, after = list(range(-1, len(chars) - 1)), list(range(1, len(chars) + 1))
-        key, agenda = self._key_of(unit, variant), []
+        agenda: list[tuple[int, ...]] = []
+        turn, merged = 0, 0
 
         def offer(i: int) -> None:
             j = after[i]
@@ -143,12 +164,24 @@ class PieceModel:
 
         for i in range(len(chars)):
             offer(i)
+        def gap() -> int:
+            """Merges before the next skip."""
+            nonlocal turn
+            out, more = 0, GAPS
+            while more == GAPS:
+                more = int(np.searchsorted(self._gaps, np.uint64(_mix(key + turn * _C)), side="right"))
+                turn, out = turn + 1, out + more
+            return out
+
+        until = gap() if self.limit else len(chars)
         while agenda:
             _, i, j, piece, left, right = heapq.heappop(agenda)
             if symbol[i] != left or symbol[j] != right or after[i] != j:
                 continue
-            if self.limit and _mix(key + i * _A + j * _B + piece * _C) < self.limit:
+            if self.limit and merged == until:
+                until, merged = gap(), 0
                 continue
+            merged += 1
             symbol[i], symbol[j], after[i] = piece, -2, after[j]
             if after[j] < len(chars):
                 before[after[j]] = i
@@ -162,21 +195,57 @@ class PieceModel:
         return out
 
     def segment_all(self, units: list[tuple[int, str]]) -> list[bytes]:
-        """The ids of many (variant, unit) as little-endian 32-bit bytes: agendas of units of one length take steps together."""
-        out, by_length = [b""] * len(units), {}
-        for k, (_, u) in enumerate(units):
+        """``segment`` of many (variant, unit), as little-endian 32-bit bytes."""
+        return self._occurrences([u for _, u in units], np.asarray([self._key_of(u, v) for v, u in units], np.uint64))
+
+    def _add(self, units: list[str], skips: list[tuple[int, ...]]) -> range:
+        """Makes nodes: agendas of units of one length take steps together."""
+        n, by_length = len(self._ids), {}
+        for k, u in enumerate(units):
             by_length.setdefault(len(u), []).append(k)
-        seeds = {v: _mix(self.seed * _A + v) for v in {v for v, _ in units}}
+        ids, left = [b""] * len(units), np.zeros(len(units), np.int32)
         for own in by_length.values():
             for at in range(0, len(own), TOGETHER):
                 part = own[at : at + TOGETHER]
-                for k, ids in zip(part, self._segment_equal([units[k] for k in part], seeds), strict=True):
-                    out[k] = ids
+                found, steps = self._segment_equal([units[k] for k in part], [skips[k] for k in part])
+                for k, x, s in zip(part, found, steps.tolist(), strict=True):
+                    ids[k], left[k] = x, s - (skips[k][-1] + 1 if skips[k] else 0)
+        self._unit += units
+        self._skips += skips
+        self._ids += ids
+        self._left = np.concatenate([self._left, left])
+        return range(n, len(self._ids))
+
+    def _occurrences(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """The ids of occurrences of units by their keys; nodes are kept in a bounded cache."""
+        if len(self._ids) > CACHE_UNITS:
+            self._clear()
+        first = self._first
+        if new := [u for u in set(units).difference(first) if len(u) <= LONG]:
+            first.update(zip(new, self._add(new, [()] * len(new)), strict=True))
+        node = np.asarray([first.get(u, -1) for u in units], np.int64)
+        live, turn = np.flatnonzero(node >= 0) if self.limit else np.zeros(0, np.int64), 0
+        while len(live):
+            gap = np.searchsorted(self._gaps, mix(keys[live] + np.uint64(turn * _C & (1 << 64) - 1)), side="right")
+            skipped = gap < self._left[node[live]]
+            live, gap = live[skipped], gap[skipped]
+            want, back = np.unique(node[live] * GAPS + gap, return_inverse=True)
+            wanted = want.tolist()
+            if new := [w for w in wanted if w not in self._child]:
+                parents = [w // GAPS for w in new]
+                skips = [(*s, (s[-1] + 1 if s else 0) + w % GAPS) for s, w in zip((self._skips[k] for k in parents), new, strict=True)]
+                self._child.update(zip(new, self._add([self._unit[k] for k in parents], skips), strict=True))
+            node[live] = np.asarray([self._child[w] for w in wanted], np.int64)[back]
+            turn += 1
+        ids = self._ids
+        out = [ids[k] if k >= 0 else b"" for k in node.tolist()]
+        for k in np.flatnonzero(node < 0).tolist():
+            out[k] = np.asarray(self.segment_key(units[k], int(keys[k])), "<u4").tobytes()
         return out
 
-    def _segment_equal(self, units: list[tuple[int, str]], seeds: dict[int, int]) -> list[bytes]:
-        """``segment_all`` for units of equal length: a row a unit, a column a character and one that stands for both ends."""
-        chars, digest = [" " + u for _, u in units], xxhash.xxh3_64_intdigest
+    def _segment_equal(self, units: list[str], skips: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray]:
+        """(ids, number of steps) of units of equal length of which given steps are skipped: a row a unit, a column a character and one that stands for both ends."""
+        chars = [" " + u for u in units]
         n, size = len(units), len(chars[0])
         symbol = np.full((n, size + 1), -3, np.int32)
         symbol[:, :size] = self._of_char[np.frombuffer("".join(chars).encode("utf-32-le"), np.uint32)].reshape(n, size)
@@ -185,8 +254,10 @@ class PieceModel:
         merge[:, : size - 1] = self._look(symbol[:, : size - 1].ravel(), symbol[:, 1:size].ravel()).reshape(n, size - 1)
         rank = np.where(merge >= 0, self._ranks[merge], _NEVER)
         alive = np.ones((n, size), bool)
-        keys = np.asarray([digest(u.encode(), seeds[v]) for v, u in units], np.uint64) if self.limit else None
-        rows = np.arange(n)
+        skipped = np.full((n, max(map(len, skips))), -1, np.int32)
+        for k, own in enumerate(skips):
+            skipped[k, : len(own)] = own
+        rows, steps, step = np.arange(n), np.zeros(n, np.int32), 0
 
         def offer(r: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             found = self._look(symbol[r, i], symbol[r, j])
@@ -198,9 +269,9 @@ class PieceModel:
             more = rank[rows, i] != _NEVER
             rows, i = rows[more], i[more]
             j, piece, r = after[rows, i], self._merged[merge[rows, i]], rows
-            if self.limit:
-                place = keys[r] + i.astype(np.uint64) * np.uint64(_A) + j.astype(np.uint64) * np.uint64(_B) + piece.astype(np.uint64) * np.uint64(_C)
-                skip = mix(place) < np.uint64(self.limit)
+            steps[rows] += 1
+            if skipped.shape[1]:
+                skip = (skipped[r] == step).any(axis=1)
                 rank[r[skip], i[skip]] = _NEVER
                 r, i, j, piece = (x[~skip] for x in (r, i, j, piece))
             nxt, prv = after[r, j], before[r, i]
@@ -209,6 +280,7 @@ class PieceModel:
             before[r, size] = size
             offer(r, i, nxt)
             offer(r, prv, i)
+            step += 1
         count = alive.sum(axis=1)
         flat = symbol[:, :size][alive]
         raw, cut = flat.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(count)])
@@ -219,25 +291,24 @@ class PieceModel:
             for c, x in zip(np.flatnonzero(alive[k]).tolist(), flat[cut[k] : cut[k + 1]].tolist(), strict=True):
                 ids += [x] if 0 <= x < self.pieces else self._spell(chars[k][c])
             out[k] = np.asarray(ids, "<u4").tobytes()
-        return out
+        return out, steps
+
+    def _joined(self, parts: list[list[str]], keys: np.ndarray) -> list[bytes]:
+        every = self._occurrences([u for own in parts for u in own], keys)
+        cut = np.cumsum([0, *map(len, parts)]).tolist()
+        return [b"".join(every[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def encode_all(self, texts: list[str], variants: list[int]) -> list[bytes]:
-        """The ids of texts as little-endian 32-bit bytes; ids of units are kept in a bounded cache."""
+        """The ids of texts as little-endian 32-bit bytes; a unit is split alike throughout a variant."""
+        parts = [self.units(t) for t in texts]
+        return self._joined(parts, np.asarray([self._key_of(u, v) for v, own in zip(variants, parts, strict=True) for u in own], np.uint64))
+
+    def encode_each(self, texts: list[str], documents: list[int]) -> list[bytes]:
+        """The ids of texts as little-endian 32-bit bytes; each occurrence of a unit has a key of its document's number and its place there."""
         parts = [self.units(t) for t in texts]
-        if sum(map(len, self._units.values())) > CACHE_UNITS:
-            self._units.clear()
-        found = {v: self._units.setdefault(v, {}) for v in set(variants)}
-        new: dict[int, set[str]] = {v: set() for v in found}
-        for v, own in zip(variants, parts, strict=True):
-            new[v].update(set(own).difference(found[v]))
-        short = [(v, u) for v, own in new.items() for u in own if len(u) <= LONG]
-        for (v, u), ids in zip(short, self.segment_all(short), strict=True):
-            found[v][u] = ids
-        for v, own in new.items():
-            for u in own:
-                if len(u) > LONG:
-                    found[v][u] = np.asarray(self.segment(u, v), "<u4").tobytes()
-        return [b"".join([at[u] for u in own]) for at, own in zip((found[v] for v in variants), parts, strict=True)]
+        sizes = np.asarray([len(own) for own in parts], np.int64)
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self._joined(parts, mix(np.repeat(np.asarray(documents, np.uint64), sizes) + place.astype(np.uint64) * np.uint64(_A)))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the first piece's leading space was put there by encoding."""
@@ -245,16 +316,16 @@ class PieceModel:
         return b"".join([surface[k] for k in np.frombuffer(ids, "<u4").tolist()])[1:].decode()
 
 
-def _variant(doc_id: object, seed: int, variants: int) -> int:
-    return xxhash.xxh3_64_intdigest(b"" if doc_id is None else str(doc_id).encode(), seed) % variants
+def _document(doc_id: object, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(b"" if doc_id is None else str(doc_id).encode(), seed)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str = "piece_bpe_32k.model") -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, model: str = "piece_bpe_32k.model") -> DataFrame:
     """(id, ids): ids of each whole text as little-endian 32-bit bytes.
 
-    With a dropout the segmentation depends on the seed and on which of
-    ``variants`` the id falls into by its hash, and on nothing else: it is the
-    same however rows are dealt out.  Without, ids are those of the model itself.
+    With a dropout the segmentation of each unit depends on the seed, the id and
+    the unit's place in the text, and on nothing else: it is the same however rows
+    are dealt out.  Without, ids are those of the model itself.
     Null texts count as empty and have no ids; repeated rows get equal ids; other
     columns are ignored.
     """
@@ -263,7 +334,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PieceModel(model, dropout, seed)
         for batch in batches:
-            for at, ids, _ in _encoded(own, batch, seed, variants):
+            for at, ids, _ in _encoded(own, batch, seed):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.array(ids, pa.binary())], [id_col, "ids"])
 
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, ids binary")
@@ -282,7 +353,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, text string")
 
 
-def _encoded(own: PieceModel, batch: pa.RecordBatch, seed: int, variants: int) -> Iterator[tuple[int, list[bytes], list[str]]]:
+def _encoded(own: PieceModel, batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, list[bytes], list[str]]]:
     """(first row, ids, texts) of groups of a batch's rows.
 
     Nothing here makes reference cycles, and each search for such would walk the cache.
@@ -295,18 +366,18 @@ def _encoded(own: PieceModel, batch: pa.RecordBatch, seed: int, variants: int) -
         while end < len(texts) and size < GROUP_CHARS:
             size += len(texts[end])
             end += 1
-        yield at, own.encode_all(texts[at:end], [_variant(i, seed, variants) if own.limit else 0 for i in names[at:end]]), texts[at:end]
+        yield at, own.encode_each(texts[at:end], [_document(i, seed) for i in names[at:end]]), texts[at:end]
         at = end
 
 
-def encoded_and_decoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str = "piece_bpe_32k.model") -> DataFrame:
+def encoded_and_decoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, model: str = "piece_bpe_32k.model") -> DataFrame:
     """One row a document: its number of pieces, the CRC-32 of its ids, and of the bytes of the text decoded from them; ``lossless`` says if that is the text."""
     source = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PieceModel(model, dropout, seed)
         for batch in batches:
-            for at, ids, texts in _encoded(own, batch, seed, variants):
+            for at, ids, texts in _encoded(own, batch, seed):
                 back = [own.decode(x) for x in ids]
                 columns = [[len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [zlib.crc32(t.encode()) for t in back]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), *(pa.array(c, pa.int64()) for c in columns), pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())], [id_col, "n_pieces", "ids_crc32", "text_crc32", "lossless"])

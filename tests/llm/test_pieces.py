@@ -72,3 +72,26 @@ def test_query_form(spark, sp):
     back = pieces.decode(encoded).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t in rows)
     assert pieces.encoded_and_decoded(docs.limit(0)).collect() == []
+
+
+def test_occurrences_and_documents_are_split_apart(spark, plain):
+    text = " ".join(["understanding"] * 300)
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+    got = {r.doc_id: bytes(r.ids) for r in pieces.encode(docs).collect()}
+    assert len(set(got.values())) == 40
+    assert got == {r.doc_id: bytes(r.ids) for r in pieces.encode(docs.repartition(7)).collect()}
+    own = pieces.PieceModel(dropout=0.1, seed=1)
+    keys = np.arange(12_000, dtype=np.uint64) * np.uint64(977)
+    one = own._occurrences(["a"] * 12_000, keys)
+    assert plain._segment_equal(["a"], [()])[1].tolist() == [1] and abs(sum(len(w) > 4 for w in one) / 12_000 - 0.1) < 0.015
+    words = own._occurrences(["understanding"] * 12_000, keys)
+    assert len(set(words)) > 8
+    assert own.encode_each([text, text], [3, 4])[0] == own.encode_each([text], [3])[0] and len(set(own.encode_each([text, text], [3, 4]))) == 2
+
+
+def test_long_and_short_agendas_agree_on_keys(monkeypatch, dropped):
+    units, keys = ["reconsideration", "aaaaaaaaab", "the", ""] * 50, np.arange(200, dtype=np.uint64) << np.uint64(40)
+    short = dropped._occurrences(units, keys)
+    monkeypatch.setattr(pieces, "LONG", -1)
+    dropped._clear()
+    assert dropped._occurrences(units, keys) == short
