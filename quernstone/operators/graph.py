@@ -102,13 +102,14 @@ def top_by_degree(edges: DataFrame, k: int = 300) -> DataFrame:
     return degrees(edges).orderBy(F.desc("degree"), "id").limit(k)
 
 
-def disjoint_seeds(edges: DataFrame, node_docs: DataFrame, k: int) -> DataFrame:
-    """Edges whose ends share no document: (src, dst, src_doc, dst_doc) by the smallest document of each end, first k."""
+def disjoint_seeds(edges: DataFrame, node_docs: DataFrame, k: int | None) -> DataFrame:
+    """Edges whose ends share no document: (src, dst, src_doc, dst_doc) by the smallest document of each end, first k or, without a k, all."""
     docs = lambda c: node_docs.select(F.col("node").alias(c), "document_id")
     pairs = edges.select("src", "dst").distinct()
     shared = pairs.join(docs("src"), "src").join(docs("dst"), ["dst", "document_id"]).select("src", "dst").distinct()
     least = lambda c: node_docs.groupBy(F.col("node").alias(c)).agg(F.min("document_id").alias(f"{c}_doc"))
-    return pairs.join(shared, ["src", "dst"], "left_anti").join(least("src"), "src").join(least("dst"), "dst").orderBy("src", "dst").limit(k)
+    seeds = pairs.join(shared, ["src", "dst"], "left_anti").join(least("src"), "src").join(least("dst"), "dst")
+    return seeds if k is None else seeds.orderBy("src", "dst").limit(k)
 
 
 def schema_summary(nodes: DataFrame, names: int) -> DataFrame:

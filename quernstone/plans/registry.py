@@ -334,6 +334,15 @@ def disjoint_seeds(spark, d):
     return graph.disjoint_seeds(edges, docs, 25).select("src", "dst", "src_doc", "dst_doc")
 
 
+@query("join13_whole_disjoint_seeds")
+def whole_disjoint_seeds(spark, d):
+    """All parts and orders; ``join13_disjoint_seeds`` with its SQL is on a small part of them."""
+    docs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("document_id")).distinct()
+    nodes = docs.select("node").distinct()
+    edges = nodes.select(F.col("node").alias("src"), (F.col("node") + 7).alias("dst")).join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return graph.disjoint_seeds(edges, docs, None).select("src", "dst", "src_doc", "dst_doc")
+
+
 @query("agg04_schema_summary", """
 SELECT entity_type, count(*) AS n, list_aggregate(list_sort(list(entity_name ORDER BY entity_name))[1:5], 'string_agg', ', ') AS names
 FROM (SELECT DISTINCT p_brand AS entity_type, p_name || p_partkey AS entity_name FROM part) GROUP BY entity_type

@@ -114,3 +114,14 @@ def test_gates(spark):
     asked = lambda q: one(spark, goldset.points_at_text(F.lit(q)))
     assert asked("What does this section say?") and asked("이 문서에서 무엇") and not asked("What does thissection say?")
     assert one(spark, goldset.identifier_leak(F.lit("what is max_size"), F.lit("set max_size to 3"))) and not one(spark, goldset.identifier_leak(F.lit("what is size"), F.lit("set max_size to 3")))
+
+
+def test_disjoint_seeds_over_all_parts(spark, tmp_path):
+    from quernstone.plans import registry
+
+    lines = [(p, (p * 31 + k * 17) % 90) for p in range(50, 140) for k in range(1 + p % 3)]
+    spark.createDataFrame(lines, "l_partkey long, l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    docs = {p: {o for q, o in lines if q == p} for p, _ in lines}
+    want = {(p, p + 7, min(docs[p]), min(docs[p + 7])) for p in docs if p + 7 in docs and not docs[p] & docs[p + 7]}
+    got = registry.QUERIES["join13_whole_disjoint_seeds"][0](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and max(r.src for r in got) > 60
