@@ -49,3 +49,27 @@ def calibration_pairs(nodes: DataFrame, prefix: int = 4) -> DataFrame:
     pairs = rows.join(other, ["entity_type", "start"]).where("id < right")
     kind = F.when(F.col("norm") == F.col("_norm"), "positive").otherwise("hard_negative")
     return pairs.select(F.col("id").alias("left"), "right", kind.alias("kind"))
+
+
+def alias_pairs(nodes: DataFrame, prefix: int = 4) -> DataFrame:
+    """(left, right, kind): ``positive`` for one type and equal alphanumeric names, ``alias`` for one type and other names
+    of which one holds the other or that share a beginning, ``type_drift`` for equal names of other types.
+
+    Different names of a type meet by equal beginnings and by the parts of the
+    longer one; nodes are joined once it is known which names are pairs.
+    """
+    rows = nodes.select("id", "entity_type", alnum_name(F.col("entity_name")).alias("norm")).where("norm <> ''")
+    names = rows.select("entity_type", "norm").distinct()
+    start = F.when(F.length("norm") >= prefix, F.substring("norm", 1, prefix))
+    begun = names.withColumn("start", start).where("start is not null")
+    alike = begun.join(begun.select("entity_type", "start", F.col("norm").alias("other")), ["entity_type", "start"]).where("norm < other").select("entity_type", "norm", "other")
+    size = F.length("norm")
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring("norm", i, n))))
+    parts = names.select("entity_type", F.col("norm").alias("whole"), F.explode(F.array_distinct(spans)).alias("norm"))
+    held = parts.join(names, ["entity_type", "norm"]).where("norm <> whole").select("entity_type", F.least("norm", "whole").alias("norm"), F.greatest("norm", "whole").alias("other"))
+    pairs = alike.union(held).distinct()
+    other = lambda *c: rows.select(F.col("id").alias("_id"), *c)
+    ends = [F.least("id", "_id").alias("left"), F.greatest("id", "_id").alias("right")]
+    alias = rows.join(pairs, ["entity_type", "norm"]).join(other("entity_type", F.col("norm").alias("other")), ["entity_type", "other"]).select(*ends, F.lit("alias").alias("kind"))
+    same = rows.join(other("norm", F.col("entity_type").alias("_type")), "norm").where("id < _id")
+    return alias.union(same.select(*ends, F.when(F.col("entity_type") == F.col("_type"), "positive").otherwise("type_drift").alias("kind")))

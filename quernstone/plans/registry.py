@@ -758,6 +758,19 @@ def calibration_pairs(spark, d):
     return matching.calibration_pairs(nodes, 6)
 
 
+@query("join15_whole_calibration_pairs", """
+WITH n AS (SELECT p_partkey AS id, p_brand AS t, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS s FROM part)
+SELECT a.id AS "left", b.id AS "right", CASE WHEN a.t <> b.t THEN 'type_drift' WHEN a.s = b.s THEN 'positive' ELSE 'alias' END AS kind FROM n a JOIN n b ON a.id < b.id AND a.s <> '' AND b.s <> ''
+  AND (a.s = b.s OR a.t = b.t AND (contains(a.s, b.s) OR contains(b.s, a.s) OR length(a.s) >= 4 AND length(b.s) >= 4 AND substr(a.s, 1, 4) = substr(b.s, 1, 4)))
+""")
+def whole_calibration_pairs(spark, d):
+    """All kinds but unrelated pairs; ``join15_calibration_pairs`` with its SQL has beginnings of six only."""
+    from ..operators import matching
+
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("entity_type"), F.col("p_name").alias("entity_name"))
+    return matching.alias_pairs(nodes)
+
+
 @query("udf01_assembled_context")
 def assembled_context(spark, d):
     from ..operators import assembly

@@ -68,3 +68,20 @@ def test_assembled_context(spark):
     assert [(r.ordinal, r.document_id, r.origin) for r in rows.orderBy("ordinal").collect()] == [(1, 0, "vector"), (2, 1, "vector"), (3, 2, "vector"), (4, 50, "graph")]
     out = assembly.rendered(rows).first()
     assert out.context.startswith("## T0\n\ntext 0\n\n---\n\n## T1") and out.sources == [0, 1, 2, 50]
+
+
+def test_alias_pairs_against_all_with_all(spark):
+    names = ["api", "Payment API", "payment", "paym", "pay", "auth service", "Auth-Service", "authority", "auto", "a", "ab", "aba", "---"]
+    nodes = [(k, "tu"[k % 3 == 0], n) for k, n in enumerate(names * 2)]
+    norm = {k: "".join(c for c in n.lower() if c.isalnum()) for k, _, n in nodes}
+    want = set()
+    for i, t, _ in nodes:
+        for j, u, _ in nodes:
+            a, b = norm[i], norm[j]
+            if i < j and a and b:
+                if a == b:
+                    want.add((i, j, "positive" if t == u else "type_drift"))
+                elif t == u and (a in b or b in a or (a[:4] == b[:4] and min(len(a), len(b)) >= 4)):
+                    want.add((i, j, "alias"))
+    got = [tuple(r) for r in matching.alias_pairs(spark.createDataFrame(nodes, "id int, entity_type string, entity_name string")).collect()]
+    assert len(got) == len(want) and set(got) == want and {k for *_, k in want} == {"positive", "alias", "type_drift"}
