@@ -536,7 +536,7 @@ def median_score(spark, d):
 @query("agg09_bootstrap_interval")
 def bootstrap_interval(spark, d):
     values = table(spark, d, "events").where("value is not null").select("event_type", "value")
-    return evaluation.bootstrap_mean(values, ["event_type"], resamples=200)
+    return evaluation.bootstrap_mean(values, ["event_type"])
 
 
 # ---------------------------------------------------------------- gold sets

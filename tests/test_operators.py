@@ -125,3 +125,14 @@ def test_disjoint_seeds_over_all_parts(spark, tmp_path):
     want = {(p, p + 7, min(docs[p]), min(docs[p + 7])) for p in docs if p + 7 in docs and not docs[p] & docs[p + 7]}
     got = registry.QUERIES["join13_whole_disjoint_seeds"][0](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want and max(r.src for r in got) > 60
+
+
+def test_bootstrap_query_takes_all_resamples(spark, tmp_path, monkeypatch):
+    from quernstone.plans import registry
+
+    seen, own = [], evaluation.bootstrap_mean
+    monkeypatch.setattr(evaluation, "bootstrap_mean", lambda values, by, resamples=1000, **k: seen.append(resamples) or own(values, by, resamples, **k))
+    rows = [("a", float(k % 10)) for k in range(50)] + [("a", None)]
+    spark.createDataFrame(rows, "event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    r = registry.QUERIES["agg09_bootstrap_interval"][0](spark, str(tmp_path)).first()
+    assert seen == [1000] and r.n == 50 and r.low < r.mean < r.high
