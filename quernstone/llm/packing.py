@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,11 +25,12 @@ _TWO_SPACES = re.compile(r"\s\s")
 class ByteBpe:
     """Byte-level BPE ids of a text as little-endian unsigned 32-bit bytes.
 
-    A pre-token of this vocabulary never spans a single space between two
-    non-spaces, so such texts are cut there and the ids of each unit are kept in
-    a bounded cache; all others are encoded at once.  ``vocabulary`` names a file
-    of the public tokenizers, whose ids are those of the JSON file of that name.
-    Strings of special tokens are ordinary text.
+    They are those that ``tokenizers`` gives with the JSON file of that name and
+    ``add_special_tokens=False``: strings of the file's added tokens are cut out
+    first, wherever they stand, and have their own ids.  A pre-token of this
+    vocabulary never spans a single space between two non-spaces, so such
+    stretches are cut there and the ids of each unit are kept in a bounded cache;
+    all others are encoded at once, by the ranks of the same vocabulary.
     """
 
     def __init__(self, vocabulary: str = "byte_bpe_50k"):
@@ -37,10 +39,21 @@ class ByteBpe:
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that depend on what is around them")
+        self._added = {x["content"]: np.asarray([x["id"]], "<u4").tobytes() for x in added}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         self._encode = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._units: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
+        if any(x in text for x in self._added):
+            return b"".join(self._added.get(x) or self._stretch(x) for x in self._cut.split(text) if x)
+        return self._stretch(text)
+
+    def _stretch(self, text: str) -> bytes:
         if _TWO_SPACES.search(text):
             return np.asarray(self._encode(text), "<u4").tobytes()
         units = text.split(" ")

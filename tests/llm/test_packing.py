@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 
 from quernstone.llm import packing
 
-TEXTS = [None, "", " ", "a", "a  b   c \n d", "The  cat.\n\nÉté 123's won't", "x" * 5000, "word " * 3000, "tab\tand nbsp   end ", "same", "same", "<|endoftext|> it", "日本語 テキスト 🙂🙂", " lead", "a \nb"]
+TEXTS = [None, "", " ", "a", "a  b   c \n d", "The  cat.\n\nÉté 123's won't", "x" * 5000, "word " * 3000, "tab\tand nbsp   end ", "same", "same", "<|endoftext|> it", "a <|endoftext|> b  c", "glued<|endoftext|>to", "<|endoftext|><|endoftext|>", "<|endoftext|", "end <|endoftext|>", "日本語 テキスト 🙂🙂", " lead", "a \nb"]
 
 
 @pytest.fixture(scope="module")
@@ -16,9 +17,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def brute(rows, tokenizer, capacity):
@@ -80,3 +79,64 @@ def test_two_smaller_pieces_replace_the_smallest():
     # greedy: 60 + 30 leaves 10; 30 gives way to 22 + 18, which fill the gap of 40
     counts = np.bincount([60, 30, 22, 18], minlength=101)
     assert packing.best_two_fit(counts, 100)[0] == (1, {60: 1, 22: 1, 18: 1})
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "\t", "a", "The", "'s", "é", "\u00a0", "日本", "🙂", "123", ".", "\x00", "\r\n", "s’"]), max_size=12))
+def test_ids_are_those_of_the_tokenizer(parts):
+    text = "".join(parts)
+    assert np.frombuffer(_bpe().ids(text), "<u4").tolist() == _reference().encode(text, add_special_tokens=False).ids
+
+
+@lru_cache
+def _bpe():
+    return packing.ByteBpe()
+
+
+@lru_cache
+def _reference():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def plain_best_two_fit(lengths, capacity):
+    """The same rule piece by piece: lists of lengths, one a sequence."""
+    left, out = sorted(lengths, reverse=True), []
+    while left:
+        own, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                own.append(x)
+                left.remove(x)
+                gap -= x
+        while gap and len(own) > 1:
+            small = own[-1]
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= gap + small]
+            if not pairs or max(pairs)[0] <= small:
+                break
+            total = max(pairs)[0]
+            _, a, b = max((p for p in pairs if p[0] == total), key=lambda p: -min(p[1:]))
+            own.remove(small)
+            for x in (a, b):
+                own.append(x)
+                left.remove(x)
+            gap += small - total
+            own.sort(reverse=True)
+            left = sorted([*left, small], reverse=True)
+        out.append(own)
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=40))
+def test_plan_is_that_of_single_pieces(lengths):
+    """A pattern is used as long as its lengths last, as single pieces would choose it again each time."""
+    counts = np.bincount(lengths, minlength=31) if lengths else np.zeros(31, int)
+    patterns = packing.best_two_fit(counts, 30)
+    plain = plain_best_two_fit(lengths, 30)
+    got = sum(times for times, _ in patterns)
+    assert got == len(plain)
+    assert got <= 2 * -(-sum(lengths) // 30)
+    assert got <= max(sum(x > 15 for x in lengths), -(-sum(lengths) // 30)) * 3 // 2 + 1
