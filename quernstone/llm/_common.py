@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,14 @@ from pyspark.sql.window import Window as W
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    Only where the session has none and runs on one machine, as in tests, a
+    temporary folder is set; a cluster without one is an error, as a folder of
+    the driver's own machine would not be there for executors.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -30,10 +35,34 @@ class Store:
 
     A stored table cuts lineage: an executor lost later costs no recomputation
     of what was before it, and ids that were drawn when writing stay the same.
+    An operator drops what nothing reads any more; the rest, which its result
+    may still read, goes with ``discard`` or when the application ends.
     """
 
+    _open: dict[str, Store] = {}
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        fs, path = self._at("")
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        Store._open[self.base] = self
+
+    def _at(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    @classmethod
+    def opened(cls) -> set[str]:
+        """The folders of all stores that are not discarded."""
+        return set(cls._open)
+
+    @classmethod
+    def discard(cls, keep: set[str] = frozenset()) -> None:
+        """Deletes all stores but those in ``keep``; call it once no result of theirs is read any more."""
+        for base in set(cls._open) - keep:
+            fs, path = cls._open.pop(base)._at("")
+            fs.delete(path, True)
 
     def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """Writes and rereads a table; ``by`` gives each value of a column a folder, ``name/column=value`` to ``drop``."""
@@ -43,10 +72,9 @@ class Store:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = self._at(name)
+            fs.delete(path, True)
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished jobs now, not at the driver's next collection."""
@@ -108,3 +136,20 @@ def components(store: Store, edges: DataFrame, a: str, b: str, name: str = "comp
     if roots is None:
         return live.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, one row a key whose ``n`` says how many rows of ``left`` have it at most.
+
+    Keys with more than a quarter of a partition's fair share are at most four
+    times as many as partitions: they are broadcast, so their rows stay where
+    they are, and all others are dealt by key.  ``left`` is read twice if there
+    are any such, so it should be a stored table.  ``n`` is not in the result.
+    """
+    parts = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = max(1000, (right.agg(F.sum(n)).first()[0] or 0) // (4 * parts))
+    hot = right.where(F.col(n) > most).drop(n)
+    if hot.isEmpty():
+        return left.join(right.drop(n), keys, how)
+    few = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(n) <= most).drop(n), keys, how)
+    return left.join(F.broadcast(hot), keys).unionByName(few)

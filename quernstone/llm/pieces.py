@@ -356,22 +356,34 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
 def _encoded(own: PieceModel, batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, list[bytes], list[str]]]:
     """(first row, ids, texts) of groups of a batch's rows.
 
-    Nothing here makes reference cycles, and each search for such would walk the cache.
+    Encoding makes no reference cycles, and each search for such would walk the
+    cache, so there is none meanwhile.
     """
-    gc.disable()
     names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-    at = 0
+    at, searching = 0, gc.isenabled()
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and size < GROUP_CHARS:
             size += len(texts[end])
             end += 1
-        yield at, own.encode_each(texts[at:end], [_document(i, seed) for i in names[at:end]]), texts[at:end]
+        gc.disable()
+        try:
+            ids = own.encode_each(texts[at:end], [_document(i, seed) for i in names[at:end]])
+        finally:
+            if searching:
+                gc.enable()
+        yield at, ids, texts[at:end]
         at = end
 
 
 def encoded_and_decoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """One row a document: its number of pieces, the CRC-32 of its ids, and of the bytes of the text decoded from them; ``lossless`` says if that is the text."""
+    """One row a document: its number of pieces, the CRC-32 of its ids, and of the bytes of the text decoded from them; ``lossless`` says if that is the text.
+
+    Null texts count as empty: no pieces, both sums 0, lossless.  Texts of any
+    length are taken whole.  Repeated rows, and rows with null ids and equal
+    texts, get equal results; an empty table gives no rows; other columns of
+    ``docs`` are ignored, whatever their names.
+    """
     source = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
