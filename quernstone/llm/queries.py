@@ -44,23 +44,37 @@ FROM d LEFT JOIN x USING (doc_id)
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations hold no tool calls, so each user turn is one and the reply its result."""
+    """Conversations hold no tool calls, so each user turn is one and the reply its result; calls are ordered by what they come after."""
     rows = tools.format_calls(*tools.turns_as_calls(_table(spark, sf_dir, "conversations")), tools.REPLY)
-    return rows.select(F.col("conv").alias("conv_id"), "call_id", "position", "status", "valid", "json")
+    return rows.select(F.col("conv").alias("conv_id"), "call_id", "position", "status", "cyclic", "valid", "json")
 
 
+#: A path graph: all that a call comes after lies in one direction, so steps that way give its place and its cycles.
 OP4_SQL = """
-WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
+WITH RECURSIVE u AS (SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations WHERE role = 'user'),
 a AS (SELECT conv_id, turn - 1 AS turn, text AS result FROM conversations WHERE role = 'assistant'),
-b AS (SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn) AS turn, u.text, a.result,
+b AS (SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn) AS turn, u.text, u.n, a.result,
              CASE WHEN u.turn IS NULL THEN 'orphan' WHEN a.turn IS NULL THEN 'pending' ELSE 'linked' END AS status,
-             row_number() OVER (PARTITION BY coalesce(u.conv_id, a.conv_id) ORDER BY coalesce(u.turn, a.turn + 1)) AS position
-      FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn)
-SELECT conv_id, 'turn-' || turn AS call_id, position, status, CASE WHEN status <> 'orphan' THEN text <> '' END AS valid,
+             row_number() OVER (PARTITION BY coalesce(u.conv_id, a.conv_id) ORDER BY coalesce(u.turn, a.turn + 1)) AS rn
+      FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn),
+e AS (SELECT x.conv_id, x.turn, y.turn AS dep, y.turn - x.turn AS way FROM u x JOIN u y ON x.conv_id = y.conv_id
+      AND ((y.turn = x.turn - 2 AND y.n <= 3 * x.n) OR (y.turn = x.turn + 2 AND 2 * y.n < x.n))),
+m AS (SELECT x.conv_id, x.turn FROM e x JOIN e y ON x.conv_id = y.conv_id AND x.turn = y.dep AND x.dep = y.turn),
+p AS (SELECT conv_id, turn, turn AS anc, way, 0 AS steps FROM u, (VALUES (-2), (2)) w(way)
+      UNION ALL SELECT p.conv_id, p.turn, e.dep, p.way, p.steps + 1 FROM p JOIN e ON e.conv_id = p.conv_id AND e.turn = p.anc AND e.way = p.way),
+c AS (SELECT DISTINCT p.conv_id, p.turn FROM p JOIN m ON m.conv_id = p.conv_id AND m.turn = p.anc),
+g AS (SELECT p.conv_id, p.turn, max(b.rn + p.steps) AS place FROM p JOIN b ON b.conv_id = p.conv_id AND b.turn = p.anc GROUP BY ALL),
+f AS (SELECT b.*, c.turn IS NOT NULL AS cyclic,
+             row_number() OVER (PARTITION BY b.conv_id ORDER BY c.turn IS NOT NULL, CASE WHEN c.turn IS NULL THEN coalesce(g.place, b.rn) END, b.rn) AS position,
+             CASE WHEN b.status = 'orphan' THEN NULL WHEN b.n >= 200 THEN b.n <= 400 ELSE b.n > 0 END AS valid
+      FROM b LEFT JOIN c ON c.conv_id = b.conv_id AND c.turn = b.turn LEFT JOIN g ON g.conv_id = b.conv_id AND g.turn = b.turn)
+SELECT conv_id, 'turn-' || turn AS call_id, position, status, cyclic, valid,
        '{"arguments":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '{"text":' || to_json(text) || ',"turn":' || turn || '}' END
-       || ',"conversation":' || conv_id || ',"id":"turn-' || turn || '","name":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '"reply"' END
+       || ',"conversation":' || conv_id || CASE WHEN cyclic THEN ',"cyclic":true' ELSE '' END
+       || CASE WHEN NOT valid THEN ',"errors":["$.text: too ' || CASE WHEN n > 0 THEN 'long' ELSE 'short' END || '"]' ELSE '' END
+       || ',"id":"turn-' || turn || '","name":' || CASE WHEN status = 'orphan' THEN 'null' WHEN n >= 200 THEN '"summarise"' ELSE '"reply"' END
        || ',"position":' || position || ',"result":' || coalesce(to_json(result), 'null') || ',"status":"' || status || '"}' AS json
-FROM b
+FROM f
 """
 
 
