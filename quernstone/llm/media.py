@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Store
+from ._common import Store, join_hot
 
 WIDTH = 64
 TASK_DIGESTS = 200_000
@@ -22,7 +23,7 @@ MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": "media",
 SKIPPED = {"script", "style", "template", "noscript"}
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "article", "section", "header", "footer", "nav", "figure", "blockquote", "pre", "br", "title"}
 _DIGEST = re.compile(r"sha-?256[;:]([0-9a-fA-F]{64})")
-ITEM = "position int, kind string, text string, media_type string, src string, digest string, caption string"
+ITEM = "position: int, kind: string, text: string, media_type: string, src: string, digest: string, caption: string"
 
 
 class Sequencer(HTMLParser):
@@ -115,26 +116,21 @@ def sequence(html: str | None) -> list[dict]:
 
 
 def parse_sequences(pages: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
-    """One row an item of each page, in the order of ``position``, with the columns ``keep``.
+    """One row a page: the columns ``keep`` and ``items``, its texts and media references in order.
 
-    Null and empty pages, and such without text or media, give no rows.
+    Each item is a struct of position, kind, text, media_type, src, digest and
+    caption.  Null and empty pages, and such without text or media, have no items.
     """
-    fields = pa.schema([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media_type", pa.string()), ("src", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
+    item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media_type", pa.string()), ("src", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, items = [], []
-            for i, html in enumerate(batch.column(0).to_pylist()):
-                own = sequence(html)
-                rows += [i] * len(own)
-                items += own
-            if items:
-                cols = pa.RecordBatch.from_pylist(items, fields)
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[1:]), *cols.columns], [*keep, *fields.names])
+            items = [sequence(html) for html in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(items, pa.list_(item))], [*keep, "items"])
 
     source = pages.select(F.col(html_col).alias("_html"), *keep)
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[1:])
-    return source.mapInArrow(run, ddl + ITEM)
+    return source.mapInArrow(run, f"{ddl}items array<struct<{ITEM}>>")
 
 
 def to_media(payload: bytes) -> bytes:
@@ -160,32 +156,50 @@ def feature(payload: bytes) -> str:
     return np.packbits(sums * WIDTH > sums.sum()).tobytes().hex()
 
 
-def store_payloads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_bytes, html, digest, media): each text as a page that refers to its media by digest.
+def page_of(doc_id: object, text: str, digest: str) -> str:
+    """A document as a page: a paragraph for each line, and in their midst the figure of its media, by digest."""
+    lines = [f"<p>{escape(x)}</p>" for x in text.split("\n")]
+    cut = (len(lines) + 1) // 2
+    figure = f'<figure><img src="ni:///sha-256;{digest}" width="{WIDTH}"><figcaption>document {doc_id}</figcaption></figure>'
+    return f"<article>{''.join(lines[:cut])}{figure}{''.join(lines[cut:])}</article>"
 
-    A task keeps the media of a digest once; ``media`` is null where it repeats.
-    """
+
+def document_pages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_bytes, html): each text as a page that refers to its media by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            n, page, digests, media = [], [], [], []
+            n, pages = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                own = to_media(padded(raw))
-                hashed = hashlib.sha256(own)
-                digest = hashed.hexdigest()
                 n.append(len(raw))
-                digests.append(digest)
-                page.append(f'<figure><img src="ni:///sha-256;{digest}" width="{WIDTH}"><figcaption>document {doc_id}</figcaption></figure>')
-                media.append(None if hashed.digest() in seen else own)
-                if len(seen) >= TASK_DIGESTS:
-                    seen.clear()
-                seen.add(hashed.digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(page, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], [id_col, "n_bytes", "html", "digest", "media"])
+                pages.append(page_of(doc_id, text or "", hashlib.sha256(to_media(padded(raw))).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(pages, pa.string())], [id_col, "n_bytes", "html"])
 
     source = docs.select(id_col, text_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_bytes long, html string, digest string, media binary")
+    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_bytes long, html string")
+
+
+def document_payloads(docs: DataFrame, text_col: str) -> DataFrame:
+    """(digest, media) of each text; a task keeps the media of a digest once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            digests, media = [], []
+            for text in batch.column(0).to_pylist():
+                own = to_media(padded((text or "").encode()))
+                hashed = hashlib.sha256(own)
+                if hashed.digest() not in seen:
+                    digests.append(hashed.hexdigest())
+                    media.append(own)
+                    if len(seen) >= TASK_DIGESTS:
+                        seen.clear()
+                    seen.add(hashed.digest())
+            if media:
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
+
+    return docs.select(text_col).mapInArrow(run, "digest string, media binary")
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -204,29 +218,52 @@ def described(media: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields, strict=True)], schema=fields)
 
-    got = media.select("digest", "media").where("media is not null").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    got = media.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return got.groupBy("digest").agg(*(F.first(c).alias(c) for c in fields.names[1:]))
 
 
-def resolve(items: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Items with the columns of ``payloads`` (one row a digest) by their digest; null where none is known."""
-    return items.join(payloads, "digest", "left")
+def resolve(store: Store, sequences: DataFrame, payloads: DataFrame, name: str = "resolved") -> DataFrame:
+    """Sequences whose items have ``payload``, the struct of the columns of ``payloads`` (one row a digest); null where none is known.
+
+    References alone are dealt by digest, those of a digest that many share
+    staying where they are, and return to the page and position that they came
+    from; sequences move once, so leave out of ``items`` what is not needed.
+    """
+    sequences = store.put(sequences.withColumn("_page", F.monotonically_increasing_id()), f"{name}-sequences")
+    refs = store.put(sequences.select("_page", F.explode(F.filter("items", lambda x: x["digest"].isNotNull())).alias("_x")).select("_page", "_x.position", "_x.digest"), f"{name}-references")
+    columns = [c for c in payloads.columns if c != "digest"]
+    wanted = refs.groupBy("digest").agg(F.count("*").alias("_n"))
+    known = store.put(payloads.select("digest", F.struct(*columns).alias("payload")).join(wanted, "digest"), f"{name}-payloads")
+    own = join_hot(refs, known, ["digest"], "_n").groupBy("_page").agg(F.map_from_entries(F.collect_list(F.struct("position", "payload"))).alias("_own"))
+    both = sequences.join(own, "_page", "left")
+    return both.withColumn("items", F.transform("items", lambda x: x.withField("payload", F.col("_own")[x["position"]]))).drop("_page", "_own")
 
 
 def media_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its text stored as media, resolved through its page, read back and described.
 
+    The page of a document has its lines as paragraphs around the figure of its
+    media.  ``position`` is that of the media among the ``n_items`` items of the
+    page, ``caption`` its caption, and ``texts_crc32`` the CRC-32 of those of the texts in
+    order, the media's place being empty.
+
     Null texts count as empty, repeated rows stay, null ids stay null, an empty
-    table gives no rows, and other columns are ignored.  Payloads are written
-    once and read once and never shuffled: only what describes them is joined.
+    table gives no rows, texts of any length are taken whole, and other columns are
+    ignored.  Payloads are written once and read once and never shuffled: only
+    what describes them is joined.
     """
     store = Store(docs.sparkSession, "media")
-    stored = store.put(store_payloads(docs, id_col, text_col), "payloads")
-    items = parse_sequences(stored, "html", [id_col, "n_bytes"]).where("kind = 'media'")
-    return resolve(items, described(stored)).select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
-
-
-def interleaved(items: DataFrame, id_col: str) -> DataFrame:
-    """One row a page with its items as an ordered array of structs."""
-    fields = [c for c in items.columns if c not in (id_col, "position")]
-    return items.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("position", *fields))).alias("items"))
+    stored = store.put(document_payloads(docs, text_col), "payloads")
+    facts = store.put(described(stored), "described")
+    parsed = parse_sequences(document_pages(docs, id_col, text_col), "html", [id_col, "n_bytes"])
+    narrow = F.transform("items", lambda x: F.struct(x["position"].alias("position"), F.crc32(x["text"]).alias("text_crc32"), x["digest"].alias("digest"), x["caption"].alias("caption")))
+    found = resolve(store, parsed.select(id_col, "n_bytes", narrow.alias("items")), facts)
+    own = F.filter("items", lambda x: x["digest"].isNotNull())[0]
+    texts = F.crc32(F.array_join(F.transform("items", lambda x: F.coalesce(x["text_crc32"].cast("string"), F.lit(""))), ","))
+    rows = found.select(id_col, "n_bytes", own.alias("_own"), F.size("items").cast("long").alias("n_items"), texts.alias("texts_crc32"))
+    return rows.select(id_col, "n_bytes", "_own.payload.*", "_own.position", "_own.caption", "n_items", "texts_crc32")
+
+
+def interleaved(sequences: DataFrame, *keep: str) -> DataFrame:
+    """One row an item of the sequences, with the columns ``keep``."""
+    return sequences.select(*keep, F.explode("items").alias("_x")).select(*keep, "_x.*")
