@@ -6,7 +6,11 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -138,6 +142,16 @@ def components(store: Store, edges: DataFrame, a: str, b: str, name: str = "comp
     return roots
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes of a text column, each of a row at least, so that what Python makes of one stays small."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, one row a key whose ``n`` says how many rows of ``left`` have it at most.
 

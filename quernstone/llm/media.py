@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Store, join_hot
+from ._common import Store, join_hot, slices
 
 WIDTH = 64
 TASK_DIGESTS = 200_000
@@ -124,7 +124,7 @@ def parse_sequences(pages: DataFrame, html_col: str, keep: list[str]) -> DataFra
     item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media_type", pa.string()), ("src", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             items = [sequence(html) for html in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(items, pa.list_(item))], [*keep, "items"])
 
@@ -168,7 +168,7 @@ def document_pages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_bytes, html): each text as a page that refers to its media by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             n, pages = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
@@ -185,7 +185,7 @@ def document_payloads(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             digests, media = [], []
             for text in batch.column(0).to_pylist():
                 own = to_media(padded((text or "").encode()))

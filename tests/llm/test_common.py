@@ -1,7 +1,11 @@
+import os
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from quernstone.llm import _common
 from quernstone.llm._common import Store, components, ranked
 
 
@@ -35,3 +39,43 @@ def test_components(spark):
     got = {r.node: r.root for r in components(Store(spark, "t"), spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: find(x) for x in touched}
     assert components(Store(spark, "t"), spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
+def test_slices():
+    texts = [None, "", "a" * 10, "é" * 4, None, "b", "c" * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["i", "t"])
+    for most in (1, 9, 11, 1000):
+        parts = [p.column(0).to_pylist() for p in _common.slices(batch, 1, most)]
+        assert [i for p in parts for i in p] == list(range(7)) and all(len(p) == 1 or sum(len((texts[i] or "").encode()) for i in p) <= most for p in parts)
+    assert list(_common.slices(batch.slice(0, 0), 1)) == []
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_hot(spark, how):
+    left = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7 + 1).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("k != 4")
+    want = left.join(right.drop("n"), "k", how)
+    got = _common.join_hot(left, right, ["k"], "n", how)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert _common.join_hot(left.limit(0), right.limit(0), ["k"], "n", how).collect() == []
+
+
+def test_a_cluster_must_name_its_folder():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Session:
+        conf, sparkContext = Conf, type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _common.shared_dir(Session)
+
+
+def test_stores_are_discarded(spark, tmp_path):
+    before = _common.Store.opened()
+    store = _common.Store(spark, "lifetime")
+    store.put(spark.range(3), "t")
+    folder = store.base.removeprefix("file:").replace("///", "/")
+    assert os.path.isdir(folder + "/t")
+    _common.Store.discard(keep=before)
+    assert not os.path.exists(folder) and _common.Store.opened() == before
