@@ -1,11 +1,15 @@
-"""Katz backoff language model: Good-Turing discounted bigram and word counts over a partitioned corpus.
+"""Katz backoff language model of any order: Good-Turing discounted counts over a partitioned corpus.
 
 Texts are kept in chunks of a few megabytes.  A chunk asks the partition of each
-of its words, and then of each of its word pairs, for the counts in the training
-texts, in one packed message for each partition, and gets one packed answer; no
-task holds more than one chunk or one partition.  Partitions write the counts to
-``vocabulary`` and ``bigrams`` tables.  A word that follows too often to be in one
-partition is spread over several by the words after it, and its sums are added up.
+of its words for its count in the training texts, then that of each of its word
+pairs, then of each of its triples, up to the model's order, in one packed message
+for each partition, and gets one packed answer; no task holds more than one chunk
+or one partition.  Partitions number what they count, so that a context is a
+number at the next order, and write the counts to a table for each order.
+
+What follows a context that one chunk alone has is counted there and asked of
+nobody.  A context that is too frequent to be in one partition is spread over
+several by the words after it, and its sums are added up.
 """
 
 from __future__ import annotations
@@ -25,10 +29,13 @@ from ._common import Store
 from .shingles import mix
 
 CHUNK_BYTES = 4 << 20
+ORDER = 3
 #: Counts above K are not discounted.
 K = 5
 HOT = 50_000
-CHUNK, LISTED, WORDS, VOCABULARY, PAIRS, CONTEXTS, ASKED, BIGRAMS, SUMMED = range(9)
+#: Kinds of rows: chunks and their word lists, and for order k, as 10 k + kind, what is asked, answered, counted and summed.
+CHUNK, LISTED = 0, 1
+ASK, ANSWER, COUNTED, ASKED, CONTEXTS, SUMMED = range(2, 8)
 PARTS = "kind int, chunk long, bucket int, a binary, b binary, c binary, d binary"
 _FIELDS = [("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
 
@@ -136,17 +143,32 @@ class Unigrams:
         return np.where(count > 0, self.discounts.kept(count) / self.size, self.left)
 
 
-def backoff(bigrams: Discounts, words: Unigrams, count: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(size, weight) of contexts: p(w | v) = d(c)c/size if seen, else weight * p(w).
+def backoff(upper: Discounts, lower: Discounts, lower_size: np.ndarray | float, count: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(size, weight) of contexts: p(w | h) = d(c)c/size if seen, else weight * p(w | shorter h).
 
-    ``count`` is how often v precedes a word; ``sums`` has for the words seen after
-    v how many pairs have count 1..K, the sum of larger counts, and the same of the
-    words' own counts.  The weight makes the probabilities add up to 1 exactly.
+    ``count`` is how often h precedes a word; ``sums`` has for the words seen after
+    h how many counts are 1..K, the sum of larger counts, and the same of the
+    counts after the shorter context, whose size is ``lower_size``.  The weight
+    makes the probabilities add up to 1 exactly.
     """
-    mass = bigrams.mass(sums[:, :K].astype(float), sums[:, K].astype(float))
+    mass = upper.mass(sums[:, :K].astype(float), sums[:, K].astype(float))
     size = np.where(count - mass > 1e-9, count, count + 1).astype(float)
-    lower = words.discounts.mass(sums[:, K + 1 : 2 * K + 1].astype(float), sums[:, 2 * K + 1].astype(float)) / words.size
-    return size, (1 - mass / size) / (1 - lower)
+    taken = lower.mass(sums[:, K + 1 : 2 * K + 1].astype(float), sums[:, 2 * K + 1].astype(float)) / lower_size
+    return size, (1 - mass / size) / (1 - taken)
+
+
+def context_sums(at: np.ndarray, total: np.ndarray, lower: np.ndarray, contexts: int) -> np.ndarray:
+    """The ``sums`` of ``backoff`` for contexts 0..n from grams: which context each has, its count and that of its shorter gram."""
+    sums, seen = np.zeros((contexts, 2 * K + 2), np.int64), total > 0
+    for k, value in enumerate((total, lower)):
+        for r in range(1, K + 1):
+            sums[:, k * (K + 1) + r - 1] = np.bincount(at[seen & (value == r)], minlength=contexts)
+        sums[:, k * (K + 1) + K] = np.bincount(at, weights=np.where(seen & (value > K), value, 0), minlength=contexts)
+    return sums
+
+
+def count_figures(total: np.ndarray) -> np.ndarray:
+    return np.asarray([int((total == r).sum()) for r in range(1, K + 2)])
 
 
 def _chunks(id_type: pa.DataType, chunk_bytes: int):
@@ -189,6 +211,16 @@ def _chunks(id_type: pa.DataType, chunk_bytes: int):
     return run
 
 
+@dataclass
+class Grams:
+    """The different grams of one order in a chunk: which one ends at each token (-1: its context is unknown), and of each its number, its count in training, and if no other chunk has it."""
+
+    at: np.ndarray
+    gid: np.ndarray
+    count: np.ndarray
+    alone: np.ndarray
+
+
 class Chunk:
     """A chunk's tokens, opened."""
 
@@ -197,22 +229,49 @@ class Chunk:
         self.ids = pa.ipc.open_stream(loosen(d)).read_all().column(0).combine_chunks()
         self.held = np.asarray([held_out(i) for i in self.ids.to_pylist()], bool)
         self.trained = np.repeat(~self.held, self.n)
+        self.starts = np.cumsum(self.n) - self.n
 
-    def pairs(self, gid: np.ndarray, count: np.ndarray, buckets: int, hot: int) -> tuple[np.ndarray, ...]:
-        """Distinct (context, word) places by bucket and then by ids, their buckets, and the pair of each token (-1 if its context is unknown).
+    def longer(self, words: Grams, lower: Grams, order: int, buckets: int, hot: int) -> Longer:
+        """The grams of an order from those of the order before, by bucket and then by numbers.
 
-        The context of a text's first word is the end of the text before.
+        Before a text's first word is the end of a text, and nothing before that.
         """
-        before = np.concatenate([[0], self.at[:-1]])
-        key, inverse = np.unique(before * self.size + self.at, return_inverse=True)
-        v, w = key // self.size, key % self.size
-        spread = np.maximum(1, -(-count[v] // hot)).astype(np.uint64)
-        bucket = (mix(gid[v].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(gid[w].astype(np.uint64)) % spread) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((gid[w], gid[v], bucket))
-        order = order[count[v[order]] > 0]
-        back = np.full(len(key), -1)
-        back[order] = np.arange(len(order))
-        return v[order], w[order], bucket[order], back[inverse]
+        before = np.concatenate([[-1], lower.at[:-1]])
+        before[self.starts] = 0 if order == 2 else -1
+        ok = np.flatnonzero((before >= 0) & (lower.count[before] > 0))
+        key, first, back = np.unique(before[ok] * self.size + self.at[ok], return_index=True, return_inverse=True)
+        context, word = key // self.size, key % self.size
+        gid, own = words.gid[word], lower.gid[context]
+        spread = np.maximum(1, -(-lower.count[context] // hot)).astype(np.uint64)
+        bucket = (mix(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(gid.astype(np.uint64)) % spread) % np.uint64(buckets)).astype(np.int64)
+        bucket[lower.alone[context]] = -1
+        order_ = np.lexsort((gid, own, bucket))
+        place = np.empty(len(key), np.int64)
+        place[order_] = np.arange(len(key))
+        at = np.full(len(self.at), -1)
+        at[ok] = place[back]
+        local = np.bincount(at[(at >= 0) & self.trained], minlength=len(key))
+        return Longer(at, context[order_], word[order_], lower.at[ok][first][order_], bucket[order_], local)
+
+
+@dataclass
+class Longer:
+    """Grams of a chunk before their counts are known: context, word and shorter gram of each (places in the chunk), its bucket (-1: no other chunk has the context) and its count in the chunk's training texts."""
+
+    at: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    shorter: np.ndarray
+    bucket: np.ndarray
+    local: np.ndarray
+
+    def answered(self, answers: list[tuple]) -> Grams:
+        """The grams with the counts and numbers that (bucket, a, b, c) rows, sorted, give for those that were asked."""
+        mine = int(np.searchsorted(self.bucket, 0))
+        got = np.concatenate([unpack(x[1]) for x in answers]) if answers else np.zeros(0, np.int64)
+        gid = np.concatenate([np.cumsum(unpack(x[3])) for x in answers]) if answers and answers[0][3] else np.zeros(len(got), np.int64)
+        own = self.local[:mine]
+        return Grams(self.at, np.concatenate([-np.cumsum(own > 0), gid]), np.concatenate([own, got >> 1]), np.concatenate([np.ones(mine, bool), (got & 1) > 0]))
 
 
 def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -233,7 +292,7 @@ def _ask_words(buckets: int):
             for chunk, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words, n = loosen(a).split(b"\n"), unpack(b)
                 bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) * buckets >> 32
-                rows = [(WORDS, chunk, k, squeeze(b"\n".join(words[s:e])), pack(n[s:e]), None, None) for k, s, e in _runs(bucket)]
+                rows = [(10 + ASK, chunk, k, squeeze(b"\n".join(words[s:e])), pack(n[s:e]), None, None) for k, s, e in _runs(bucket)]
                 yield from _rows(rows).to_batches()
 
     return run
@@ -258,78 +317,95 @@ def _answer_words(buckets: int):
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         words, total, at = [words[k] for k in order], total[order], [rank[k] for k in at]
-        rows = [(WORDS, c, bucket, pack(k * buckets + bucket), pack(total[k]), None, None) for c, k in zip(chunks, at, strict=True)]
-        seen = [int((total == r).sum()) for r in range(1, K + 2)]
-        figures = [int(total.sum()), int((total > 0).sum()), *seen, int(total[total > K].sum())]
-        return _rows([*rows, (VOCABULARY, None, bucket, squeeze(b"\n".join(words)), pack(total), None, pack(np.asarray(figures)))])
+        alone = np.bincount(np.concatenate(at), minlength=len(words)) == 1
+        rows = [(10 + ANSWER, c, bucket, pack(total[k] * 2 + alone[k]), None, pack(k * buckets + bucket), None) for c, k in zip(chunks, at, strict=True)]
+        figures = [int(total.sum()), int((total > 0).sum()), *count_figures(total), int(total[total > K].sum())]
+        return _rows([*rows, (10 + COUNTED, None, bucket, squeeze(b"\n".join(words)), pack(total), None, pack(np.asarray(figures)))])
 
     return run
 
 
-def _opened(table: pa.Table) -> tuple[Chunk, np.ndarray, np.ndarray]:
-    """The chunk among the rows gathered for it, with the ids and the training counts of its words."""
-    kind = np.asarray(table.column("kind").to_pylist())
-    parts = [c.to_pylist() for c in table.select(["bucket", "a", "b", "c", "d"]).columns]
-    pick = lambda k: [tuple(p[i] for p in parts) for i in np.flatnonzero(kind == k)]
-    own, answers = Chunk(*pick(CHUNK)[0][2:]), sorted(pick(WORDS))
-    gid, count = (np.concatenate([unpack(x[k]) for x in answers]) for k in (1, 2))
-    return own, gid, count
+class Opened:
+    """The chunk among the rows gathered for it, with its grams of each order that has answers."""
+
+    def __init__(self, table: pa.Table, order: int, buckets: int, hot: int):
+        self.kind = np.asarray(table.column("kind").to_pylist())
+        self.columns = {c: table.column(c).to_pylist() for c in ("chunk", "bucket", "a", "b", "c", "d")}
+        self.chunk = self.columns["chunk"][0]
+        self.own = Chunk(*self.pick(CHUNK, "b", "c", "d")[0])
+        answers = sorted(self.pick(10 + ANSWER, "bucket", "a", "b", "c"))
+        got, gid = (np.concatenate([unpack(x[k]) for x in answers]) for k in (1, 3))
+        words = Grams(self.own.at, gid, got >> 1, (got & 1) > 0)
+        self.grams, self.longer = [words], []
+        for k in range(2, order + 1):
+            self.longer.append(self.own.longer(words, self.grams[-1], k, buckets, hot))
+            self.grams.append(self.longer[-1].answered(sorted(self.pick(10 * k + ANSWER, "bucket", "a", "b", "c"))))
 
+    def pick(self, kind: int, *columns: str) -> list[tuple]:
+        return [tuple(self.columns[c][i] for c in columns) for i in np.flatnonzero(self.kind == kind)]
+
+
+def _ask(order: int, buckets: int, hot: int):
+    """Messages about the grams of an order, one a bucket, and the counts of those that no other chunk can have."""
 
-def _ask_pairs(pair_buckets: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
-        own, gid, count = _opened(table)
-        chunk = table.column("chunk")[0].as_py()
-        v, w, bucket, at = own.pairs(gid, count, pair_buckets, hot)
-        n = np.bincount(at[(at >= 0) & own.trained], minlength=len(v))
-        # d: the words' own counts where the pair is seen here in training, and which contexts are spread
-        flags, own_count = count[v] > hot, np.where(n > 0, count[w], 0)
-        rows = [(PAIRS, chunk, k, pack(np.diff(gid[v[s:e]], prepend=0)), pack(gid[w[s:e]]), pack(n[s:e]), pack(own_count[s:e] * 2 + flags[s:e])) for k, s, e in _runs(bucket)]
+        got = Opened(table, order - 1, buckets, hot)
+        words, lower = got.grams[0], got.grams[-1]
+        new = got.own.longer(words, lower, order, buckets, hot)
+        context, word = lower.gid[new.context], words.gid[new.word]
+        rows, mine = [], int(np.searchsorted(new.bucket, 0))
+        if mine:
+            seen = np.flatnonzero(new.local[:mine])
+            rows.append((10 * order + COUNTED, got.chunk, -1, pack(np.diff(context[seen], prepend=0)), pack(word[seen]), pack(new.local[seen]), pack(count_figures(new.local[:mine]))))
+        # d: the shorter gram's count where the gram is seen here in training, and which contexts are spread
+        flags = lower.count[new.context] > hot
+        shorter = np.where(new.local > 0, lower.count[new.shorter], 0) * 2 + flags
+        rows += [(10 * order + ASK, got.chunk, k, pack(np.diff(context[s:e], prepend=0)), pack(word[s:e]), pack(new.local[s:e]), pack(shorter[s:e])) for k, s, e in _runs(new.bucket) if k >= 0]
         return _rows(rows)
 
     return run
 
 
-def _answer_pairs():
-    """Counts of a partition's pairs and sums for its contexts, over all chunks.
+def _answer(order: int, buckets: int, last: bool):
+    """Counts of a partition's grams and sums for its contexts, over all chunks.
 
-    Sums of contexts that are spread over partitions go out by context, to be
-    added up for the chunks that ask.
+    Grams are numbered unless the order is the last; those not seen in training
+    need no number.  Sums of contexts that are spread over partitions go out by
+    context, to be added up for the chunks that ask.
     """
 
     def run(table: pa.Table) -> pa.Table:
         bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
+        if bucket < 0:
+            return table
         parts = [[unpack(x) for x in table.column(c).to_pylist()] for c in "abcd"]
         sizes = np.asarray([len(x) for x in parts[0]])
         v, w, n = np.concatenate([np.cumsum(x) for x in parts[0]]), np.concatenate(parts[1]), np.concatenate(parts[2])
-        cw, spread = np.divmod(np.concatenate(parts[3]), 2)
+        shorter, spread = np.divmod(np.concatenate(parts[3]), 2)
         del parts
-        order = np.lexsort((w, v))
-        new = np.concatenate([[True], (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])])
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        first, cw = order[new], np.maximum.reduceat(cw[order], np.flatnonzero(new))
-        total = np.bincount(pair, weights=n).astype(np.int64)
+        sort = np.lexsort((w, v))
+        new = np.concatenate([[True], (v[sort][1:] != v[sort][:-1]) | (w[sort][1:] != w[sort][:-1])])
+        gram = np.empty(len(sort), np.int64)
+        gram[sort] = np.cumsum(new) - 1
+        first, shorter = sort[new], np.maximum.reduceat(shorter[sort], np.flatnonzero(new))
+        total = np.bincount(gram, weights=n).astype(np.int64)
+        alone = np.bincount(gram) == 1
         context, at = np.unique(v[first], return_inverse=True)
+        sums = context_sums(at, total, shorter, len(context))
         seen = total > 0
-        sums = np.zeros((len(context), 2 * K + 2), np.int64)
-        for k, value in enumerate((total, cw)):
-            for r in range(1, K + 1):
-                sums[:, k * (K + 1) + r - 1] = np.bincount(at[seen & (value == r)], minlength=len(context))
-            sums[:, k * (K + 1) + K] = np.bincount(at, weights=np.where(seen & (value > K), value, 0), minlength=len(context))
+        number = np.maximum(np.cumsum(seen) - 1, 0) * buckets + bucket
         hot = np.zeros(len(context), bool)
         hot[at[spread[first] > 0]] = True
-        rows = []
+        rows, answer = [], total * 2 + alone
         for chunk, s, e in zip(chunks, np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
-            own = at[pair[s:e]]
+            own = at[gram[s:e]]
             own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-            rows.append((PAIRS, chunk, bucket, pack(total[pair[s:e]]), pack(np.where(hot[own][:, None], 0, sums[own]).T.ravel()), None, None))
+            rows.append((10 * order + ANSWER, chunk, bucket, pack(answer[gram[s:e]]), pack(np.where(hot[own][:, None], 0, sums[own]).T.ravel()), None if last else pack(np.diff(number[gram[s:e]], prepend=0)), None))
             if hot[own].any():
-                rows.append((ASKED, chunk, bucket, None, None, None, context[own[hot[own]]].tobytes()))
+                rows.append((10 * order + ASKED, chunk, bucket, None, None, None, context[own[hot[own]]].tobytes()))
         if hot.any():
-            rows.append((CONTEXTS, None, bucket, None, None, sums[hot].tobytes(), context[hot].tobytes()))
-        figures = [int((total == r).sum()) for r in range(1, K + 2)]
-        rows.append((BIGRAMS, None, bucket, pack(np.diff(v[first][seen], prepend=0)), pack(w[first][seen]), pack(total[seen]), pack(np.asarray(figures))))
+            rows.append((10 * order + CONTEXTS, None, bucket, None, None, sums[hot].tobytes(), context[hot].tobytes()))
+        rows.append((10 * order + COUNTED, None, bucket, pack(np.diff(v[first][seen], prepend=0)), pack(w[first][seen]), pack(total[seen]), pack(count_figures(total))))
         return _rows(rows)
 
     return run
@@ -338,37 +414,43 @@ def _answer_pairs():
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (v, chunk, sums) of what is packed in ASKED and CONTEXTS rows."""
     for batch in batches:
-        for kind, chunk, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for chunk, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             v = np.frombuffer(d, np.int64)
-            sums = None if kind == ASKED else np.frombuffer(c, np.int64).reshape(len(v), -1)
+            sums = None if c is None else np.frombuffer(c, np.int64).reshape(len(v), -1)
             flat = pa.nulls(len(v), pa.list_(pa.int64())) if sums is None else pa.array(sums.tolist(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array([chunk] * len(v), pa.int64()), flat], ["v", "chunk", "sums"])
 
 
-def _score(pair_buckets: int, hot: int, words: Unigrams, bigrams: Discounts, id_col: str, id_type: pa.DataType):
+def _score(order: int, buckets: int, hot: int, words: Unigrams, discounts: list[Discounts], id_col: str, id_type: pa.DataType):
+    """Scores of a chunk's texts: ``discounts`` has those of order 1, 2, ..."""
+
     def run(table: pa.Table) -> pa.Table:
-        own, gid, count = _opened(table)
-        v, w, bucket, at = own.pairs(gid, count, pair_buckets, hot)
-        kind = np.asarray(table.column("kind").to_pylist())
-        parts = [c.to_pylist() for c in table.select(["bucket", "a", "b", "d"]).columns]
-        answers = sorted(tuple(p[i] for p in parts[:3]) for i in np.flatnonzero(kind == PAIRS))
-        summed = [parts[3][i] for i in np.flatnonzero(kind == SUMMED)]
-        c = np.concatenate([unpack(x[1]) for x in answers]) if answers else np.zeros(0, np.int64)
-        sums = np.zeros((own.size, 2 * K + 2), np.int64)
-        places = [np.asarray(list(dict.fromkeys(v[s:e].tolist()))) for _, s, e in _runs(bucket)]
-        for place, x in zip(places, answers, strict=True):
-            sums[place] += unpack(x[2]).reshape(2 * K + 2, -1).T
-        if summed:
-            rows = np.asarray([np.frombuffer(x, np.int64) for x in summed])
-            by_id = np.argsort(gid)
-            sums[by_id[np.searchsorted(gid[by_id], rows[:, 0])]] = rows[:, 1:]
-        size, weight = backoff(bigrams, words, np.maximum(count, 1), sums)
-        p1 = words.p(count)
-        p = np.where(c > 0, bigrams.kept(c) / size[v], weight[v] * p1[w])
-        p = np.where(at >= 0, p[at] if len(p) else 0.0, p1[own.at])
-        starts = np.cumsum(own.n) - own.n
+        got = Opened(table, order, buckets, hot)
+        own, count = got.own, got.grams[0].count
+        p = words.p(count)[own.at]
+        size: np.ndarray | float = words.size
+        for k in range(2, order + 1):
+            lower, new, grams = got.grams[k - 2], got.longer[k - 2], got.grams[k - 1]
+            sums = np.zeros((len(lower.count), 2 * K + 2), np.int64)
+            mine = int(np.searchsorted(new.bucket, 0))
+            if mine:
+                sums += context_sums(new.context[:mine], new.local[:mine], lower.count[new.shorter[:mine]], len(sums))
+            asked = ((s, e) for bucket, s, e in _runs(new.bucket) if bucket >= 0)
+            for (s, e), (_, b) in zip(asked, sorted(got.pick(10 * k + ANSWER, "bucket", "b")), strict=True):
+                sums[np.asarray(list(dict.fromkeys(new.context[s:e].tolist())))] += unpack(b).reshape(2 * K + 2, -1).T
+            if summed := got.pick(10 * k + SUMMED, "d"):
+                rows = np.asarray([np.frombuffer(x, np.int64) for (x,) in summed])
+                by_id = np.argsort(lower.gid)
+                sums[by_id[np.searchsorted(lower.gid[by_id], rows[:, 0])]] = rows[:, 1:]
+            # the size of the context without its first word
+            shorter = size if k == 2 else size[got.longer[k - 3].shorter]
+            size, weight = backoff(discounts[k - 1], discounts[k - 2], shorter, np.maximum(lower.count, 1), sums)
+            known = np.flatnonzero(new.at >= 0)
+            at = new.at[known]
+            c, context = grams.count[at], new.context[at]
+            p[known] = np.where(c > 0, discounts[k - 1].kept(c) / size[context], weight[context] * p[known])
         base = np.log10((count + 0.5) / (words.total + 0.5 * (words.types + 1)))
-        by_text = lambda x: np.add.reduceat(x, starts)
+        by_text = lambda x: np.add.reduceat(x, own.starts)
         known = by_text((count > 0)[own.at].astype(np.int64))
         columns = [own.ids, pa.array(own.held), pa.array(own.n), pa.array(known), pa.array(np.full(len(own.n), words.total)), pa.array(by_text(base[own.at])), pa.array(by_text(np.log10(p)))]
         return pa.Table.from_arrays([columns[0].cast(id_type), *columns[1:]], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -389,54 +471,84 @@ def _figures(rows: DataFrame, kind: int) -> np.ndarray:
     return np.asarray([r["n"] for r in sorted(got, key=lambda r: r["k"])], np.int64)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
+def _of(rows: DataFrame, kind: int) -> DataFrame:
+    return rows.where(F.col("kind") == kind).select(*(c for c, _ in _FIELDS))
+
+
+def _summed(level: DataFrame, order: int) -> DataFrame:
+    """For each chunk that asks for a context that is spread over partitions its sums, added up."""
+    listed = lambda kind: _of(level, 10 * order + kind).select("chunk", "c", "d").mapInArrow(_listed, "v long, chunk long, sums array<long>")
+    summed = listed(CONTEXTS).groupBy("v").agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(2 * K + 2)))
+    wanted = listed(ASKED).select("v", "chunk").distinct().join(summed, "v").select("chunk", "v", *(f"s{k}" for k in range(2 * K + 2)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            if len(rows):
+                yield from _rows([(10 * order + SUMMED, c, -1, None, None, None, r.tobytes()) for c, r in zip(batch.column(0).to_pylist(), rows, strict=True)]).to_batches()
+
+    return wanted.mapInArrow(packed, PARTS)
+
+
+def count_tables(store: Store, order: int) -> list[DataFrame]:
+    """The stored counts of training texts for each order: (chunk, bucket, a, b, c).
+
+    Of words, a has the words and b their counts, packed; the number of the i-th
+    is i times the number of partitions, plus its bucket.  Of longer grams, a has the differences of the numbers
+    of their contexts, b the numbers of their last words and c their counts; the i-th is numbered like a word, or, where a chunk alone
+    has them, -1 - i, a number of that chunk's own.
+    """
+    of = lambda k: _of(store.spark.read.schema(PARTS).parquet(f"{store.base}/order-{k}"), 10 * k + COUNTED).select("chunk", "bucket", "a", "b", "c")
+    return [of(k) for k in range(1, order + 1)]
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT, store: Store | None = None) -> DataFrame:
     """Trains on the texts that are not held out and scores all: one row a document.
 
-    A text is its words and one end; ``score`` is its log10 probability, each
-    token given the one before and the first given a text's end.  A pair seen in
-    training has its discounted share of its context; else the word's own share is
-    weighted, or stands alone if the context is unknown; a word never seen in
-    training has the probability of an unknown word.  ``base_score`` adds up
-    log10((c + 0.5) / (N + 0.5 (V + 1))).
+    A text is its words and one end; ``score`` is its log10 probability, each token
+    given up to ``order`` - 1 tokens before it, of which the first is a text's end.
+    A gram seen in training has its discounted share of its context; else the
+    probability by the context without its first word is weighted, or stands alone
+    if the context is unknown; a word never seen in training has the probability
+    of an unknown word.  ``base_score`` adds up log10((c + 0.5) / (N + 0.5 (V + 1))).
 
     Null texts count as empty (one end), null ids as the empty id when texts are
-    held out, repeated rows count each; an empty table gives no rows; other columns
+    held out, repeated rows count each; an empty table gives no rows; texts of any
+    length are taken whole, a long one being a chunk of its own; other columns
     are ignored.  Contexts that precede more than ``hot`` tokens are spread.
     """
-    spark, store = docs.sparkSession, Store(docs.sparkSession, "katz")
+    if order < 2:
+        raise ValueError("the order is 2 at least")
+    spark, store = docs.sparkSession, store or Store(docs.sparkSession, "katz")
     source = docs.select(id_col, text_col)
     id_type = source.limit(0).toArrow().schema.field(0).type
     id_ddl = source.schema[id_col].dataType.simpleString()
     stored = store.put(source.mapInArrow(_chunks(id_type, chunk_bytes), PARTS), "chunks", "kind")
-    of = lambda rows, kind: rows.where(F.col("kind") == kind).select(*(c for c, _ in _FIELDS))
-    chunks = of(stored, CHUNK)
+    chunks = _of(stored, CHUNK)
     n = chunks.count()
-    buckets, pair_buckets = max(1, n // 6), max(1, n // 2)
+    word_buckets, buckets = max(1, n // 6), max(1, n // 2)
 
-    asked = of(stored, LISTED).select("chunk", "a", "b").mapInArrow(_ask_words(buckets), PARTS)
-    words = store.put(asked.groupBy("bucket").applyInArrow(_answer_words(buckets), PARTS), "vocabulary")
-    got = _figures(words, VOCABULARY)
+    asked = _of(stored, LISTED).select("chunk", "a", "b").mapInArrow(_ask_words(word_buckets), PARTS)
+    level = store.put(asked.groupBy("bucket").applyInArrow(_answer_words(word_buckets), PARTS), "order-1")
+    got = _figures(level, 10 + COUNTED)
     total, types, *seen, rest = got.tolist() if len(got) else [0] * (K + 4)
-    unigrams = Unigrams.of(total, types, seen, rest)
+    words = Unigrams.of(total, types, seen, rest)
+    discounts = [words.discounts]
     store.drop(f"chunks/kind={LISTED}")
     store.release()
 
-    opened = chunks.union(of(words, WORDS))
-    asked = opened.groupBy("chunk").applyInArrow(_ask_pairs(pair_buckets, hot), PARTS)
-    pairs = store.put(asked.groupBy("bucket").applyInArrow(_answer_pairs(), PARTS), "bigrams")
-    seen = _figures(pairs, BIGRAMS).tolist() or [0] * (K + 1)
-    bigrams = Discounts.of(seen)
-    store.release()
-
-    listed = lambda kind: pairs.where(F.col("kind") == kind).select("kind", "chunk", "c", "d").mapInArrow(_listed, "v long, chunk long, sums array<long>")
-    summed = listed(CONTEXTS).groupBy("v").agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(2 * K + 2)))
-    wanted = listed(ASKED).select("v", "chunk").distinct().join(summed, "v").select("chunk", "v", *(f"s{k}" for k in range(2 * K + 2)))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
-            yield from _rows([(SUMMED, c, -1, None, None, None, r.tobytes()) for c, r in zip(batch.column(0).to_pylist(), rows, strict=True)]).to_batches()
-
-    everything = opened.union(of(pairs, PAIRS)).union(wanted.mapInArrow(packed, PARTS))
+    gathered = chunks.union(_of(level, 10 + ANSWER))
+    sums = []
+    for k in range(2, order + 1):
+        asked = gathered.groupBy("chunk").applyInArrow(_ask(k, buckets, hot), PARTS)
+        by = ["bucket", F.when(F.col("bucket") < 0, F.col("chunk"))]
+        level = store.put(asked.groupBy(*by).applyInArrow(_answer(k, buckets, k == order), PARTS), f"order-{k}")
+        discounts.append(Discounts.of(_figures(level, 10 * k + COUNTED).tolist() or [0] * (K + 1)))
+        gathered = gathered.union(_of(level, 10 * k + ANSWER))
+        sums.append(_summed(level, k))
+        store.release()
+
+    for rows in sums:
+        gathered = gathered.union(rows)
     out = f"`{id_col}` {id_ddl}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return everything.groupBy("chunk").applyInArrow(_score(pair_buckets, hot, unigrams, bigrams, id_col, id_type), out)
+    return gathered.groupBy("chunk").applyInArrow(_score(order, buckets, hot, words, discounts, id_col, id_type), out)

@@ -3,25 +3,37 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
 
 from quernstone.llm import katz
+from quernstone.llm._common import Store
 
 
 def toks(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + [None]
 
 
-def brute(docs):
-    """The model by dictionaries: (p of a token given its context, scores of the documents)."""
+def brute(docs, order):
+    """The model by dictionaries: (counts of grams by length, p of a token given those before it, scores of the documents)."""
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in docs]
-    train = [toks(t) for (_, t), h in zip(docs, held, strict=True) if not h]
-    c1, c2 = Counter(w for d in train for w in d), Counter((v, w) for d in train for v, w in zip([None, *d], d, strict=False))
+    counts = [None, *(Counter() for _ in range(order))]
+    for (_, t), h in zip(docs, held, strict=True):
+        own = [None, *toks(t)]
+        for at in range(1, len(own)):
+            for k in range(1, min(order, at + 1) + 1):
+                counts[k][tuple(own[at - k + 1 : at + 1])] += not h
+    counts = [None, *(Counter({g: c for g, c in x.items() if c}) for x in counts[1:])]
+    return counts, model(counts), [(i, h, toks(t)) for (i, t), h in zip(docs, held, strict=True)]
 
-    def discounts(counts):
-        n = Counter(counts.values())
+
+def model(counts):
+    """p(word, history), by the definition."""
+
+    def discounts(grams):
+        n = Counter(grams.values())
         out = {}
         for r in range(1, 6):
             d = -1
@@ -31,29 +43,42 @@ def brute(docs):
             out[r] = d if 0 < d < 1 else 1 - 0.5 / r
         return out
 
-    d1, d2, total = discounts(c1), discounts(c2), sum(c1.values())
-    kept = lambda c, d: c * d.get(c, 1)
-    mass1 = sum(kept(c, d1) for c in c1.values())
+    d = [None, *map(discounts, counts[1:])]
+    kept = lambda c, k: c * d[k].get(c, 1)
+    total, mass1 = sum(counts[1].values()), sum(kept(c, 1) for c in counts[1].values())
     size1 = total if total - mass1 > 1e-9 else total + 1
-    p1 = lambda w: kept(c1[w], d1) / size1 if c1[w] else 1 - mass1 / size1
     after = {}
-    for (v, w), c in c2.items():
-        after.setdefault(v, {})[w] = c
-
-    def p(w, v):
-        if v not in after:
-            return p1(w)
-        own = after[v]
-        count, mass = sum(own.values()), sum(kept(c, d2) for c in own.values())
+    for grams in counts[2:]:
+        for g, c in grams.items():
+            after.setdefault(g[:-1], {})[g[-1]] = c
+
+    @lru_cache(None)
+    def context(h):
+        own, k = after[h], len(h) + 1
+        count, mass = sum(own.values()), sum(kept(c, k) for c in own.values())
         size = count if count - mass > 1e-9 else count + 1
-        return kept(own[w], d2) / size if w in own else (1 - mass / size) / (1 - sum(p1(x) for x in own)) * p1(w)
+        return size, (1 - mass / size) / (1 - sum(p(x, h[1:]) for x in own))
+
+    def p(w, h):
+        if not h:
+            return kept(counts[1][(w,)], 1) / size1 if counts[1][(w,)] else 1 - mass1 / size1
+        if h not in after:
+            return p(w, h[1:])
+        size, weight = context(h)
+        return kept(after[h][w], len(h) + 1) / size if w in after[h] else weight * p(w, h[1:])
+
+    return p
+
 
-    rows = []
-    for (i, t), h in zip(docs, held, strict=True):
-        d = toks(t)
-        base = sum(math.log10((c1[w] + 0.5) / (total + 0.5 * (len(c1) + 1))) for w in d)
-        rows.append((i, h, len(d), sum(c1[w] > 0 for w in d), total, base, sum(math.log10(p(w, v)) for v, w in zip([None, *d], d, strict=False))))
-    return c1, p, rows
+def scores(docs, order):
+    counts, p, texts = brute(docs, order)
+    c1, total, out = counts[1], sum(counts[1].values()), []
+    for i, h, d in texts:
+        base = sum(math.log10((c1[(w,)] + 0.5) / (total + 0.5 * (len(c1) + 1))) for w in d)
+        own = [None, *d]
+        score = sum(math.log10(p(own[at], tuple(own[max(0, at - order + 1) : at]))) for at in range(1, len(own)))
+        out.append((i, h, len(d), sum(c1[(w,)] > 0 for w in d), total, base, score))
+    return out
 
 
 def corpus():
@@ -63,22 +88,65 @@ def corpus():
     return [*enumerate(texts), (None, "no id here"), (7, "again seven")]
 
 
-@pytest.mark.parametrize(("chunk_bytes", "hot"), [(400, 50_000), (400, 20), (1 << 22, 50_000)])
-def test_scores(spark, chunk_bytes, hot):
+def frame(spark, docs):
+    return spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, kind string").repartition(2)
+
+
+@pytest.mark.parametrize(("order", "chunk_bytes", "hot"), [(2, 400, 50_000), (3, 400, 20), (3, 1 << 22, 50_000), (3, 1500, 5), (4, 400, 20)])
+def test_scores(spark, order, chunk_bytes, hot):
     docs = corpus()
-    _, _, want = brute(docs)
-    df = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, kind string").repartition(2)
-    got = katz.score_documents(df, chunk_bytes=chunk_bytes, hot=hot).collect()
+    got = katz.score_documents(frame(spark, docs), order=order, chunk_bytes=chunk_bytes, hot=hot).collect()
     key = lambda r: (str(r[0]), r[2], r[5])
-    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(scores(docs, order), key=key), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
-    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+    if order == 2:  # the words are drawn one by one, so longer contexts tell nothing
+        assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+
 
+def test_longer_contexts_tell_more_where_texts_have_them(spark):
+    rng = random.Random(3)
+    docs = []
+    for i in range(150):
+        own = [rng.randrange(12), rng.randrange(12)]
+        for _ in range(60):
+            own.append((own[-2] * 5 + own[-1] * 7 + (rng.random() < 0.1)) % 12)
+        docs.append((i, " ".join(f"w{k}" for k in own)))
+    held = lambda order, c: sum(r[c] for r in katz.score_documents(frame(spark, docs), order=order).where("held_out").collect())
+    assert held(3, "score") > 0.5 * held(2, "score") and held(2, "score") > held(2, "base_score")
 
-def test_brute_force_model_adds_up_to_one():
-    c1, p, _ = brute(corpus())
-    for v in [None, "w1", "w2", "x", "never"]:
-        assert sum(p(w, v) for w in [*c1, "never seen"]) == pytest.approx(1)
+
+@pytest.mark.parametrize("chunk_bytes", [400, 1500, 1 << 22])
+def test_stored_counts_give_probabilities_that_add_up_to_one(spark, chunk_bytes):
+    docs = corpus()
+    store = Store(spark, "test-katz")
+    katz.score_documents(frame(spark, docs), order=3, chunk_bytes=chunk_bytes, hot=20, store=store).collect()
+    tables = [t.collect() for t in katz.count_tables(store, 3)]
+    n = spark.read.parquet(f"{store.base}/chunks").where("kind = 0").count()
+    buckets = [max(1, n // 6), max(1, n // 2)]
+    words, grams = {}, [None, Counter(), Counter(), Counter()]
+    for r in tables[0]:
+        for k, (w, c) in enumerate(zip(katz.loosen(r.a).split(b"\n"), katz.unpack(r.b).tolist(), strict=True)):
+            words[k * buckets[0] + r.bucket] = w.decode() or None
+            if c:
+                grams[1][(w.decode() or None,)] = c
+    names = {None: {k: (w,) for k, w in words.items()}}
+    for order in (2, 3):
+        made = {}
+        for r in tables[order - 1]:
+            own = r.chunk if r.bucket < 0 else None
+            contexts, last = np.cumsum(katz.unpack(r.a)).tolist(), katz.unpack(r.b).tolist()
+            for k, (v, w, c) in enumerate(zip(contexts, last, katz.unpack(r.c).tolist(), strict=True)):
+                gram = (*(names[own][v] if v < 0 else names[None][v]), words[w])
+                grams[order][gram] += c
+                made.setdefault(own, {})[-1 - k if r.bucket < 0 else k * buckets[1] + r.bucket] = gram
+        names = made
+    want, _, _ = brute(docs, 3)
+    assert grams[1:] == want[1:]
+    p = model(grams)
+    vocabulary = [*(w for (w,) in grams[1]), "never seen"]
+    for h in [(), ("w1",), (None,), ("never",), ("w1", "w1"), ("x", "x"), (None, "w2"), ("never", "w1"), *list(grams[2])[:20]]:
+        if h[-1:] != (None,) or len(h) == 1:
+            assert sum(p(w, h) for w in vocabulary) == pytest.approx(1)
 
 
 def test_empty(spark):
