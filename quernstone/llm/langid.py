@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Store
+from ._common import Store, join_hot
 
 #: Bound of the fit: about so many different texts of each language are read.
 LABEL_TEXTS = 5_000
@@ -140,9 +140,12 @@ def identify(rows: DataFrame, model: TextModel, text_col: str = "text", declared
     likelihoods of the text, of the declared language and of the host's last part
     (a name without dots has none).  All but the first come from sums of text
     posteriors over groups of all rows, so a host or a tag counts as far as its
-    texts bear it out.  A row is kept if its language is known and at least
-    ``certainty`` sure.  Null texts, and texts without letters, are unknown;
-    missing hosts and tags say nothing.  Columns of these names are replaced.
+    texts bear it out; a row's own posterior is left out of the groups that it is in,
+    as its text is evidence already.  A row is kept if its language is known and at
+    least ``certainty`` sure; of languages that are equally likely the first by alphabet
+    is named.  Null texts, and texts without letters, are unknown; missing hosts
+    and tags say nothing; repeated rows count each; texts of any length are taken
+    whole; an empty table gives no rows.  Columns of these names are replaced.
     """
     spark, labels = rows.sparkSession, model.labels
     none, ks = F.lit(None).cast("string"), range(len(model.labels))
@@ -171,27 +174,31 @@ def identify(rows: DataFrame, model: TextModel, text_col: str = "text", declared
     mass = np.asarray([x or 0.0 for x in known.agg(added("_p").alias("p")).first()["p"]])
     prior = (mass + 1) / (mass + 1).sum()
     # P(tag | language): a table of languages by languages
-    by_tag = {r["_tag"]: np.asarray(r["p"]) for r in known.where("_tag is not null").groupBy("_tag").agg(added("_p").alias("p")).collect()}
-    seen = sum(by_tag.values(), np.zeros(len(labels)))
-    spoken = [(t, np.log((v + 1) / (seen + len(by_tag) + 1)).tolist()) for t, v in by_tag.items()]
+    by_tag = {r["_tag"]: r["p"] for r in known.where("_tag is not null").groupBy("_tag").agg(added("_p").alias("p")).collect()}
+    seen = np.sum([np.zeros(len(labels)), *map(np.asarray, by_tag.values())], axis=0)
 
     # posteriors of a row add up to 1, so those of a group to its rows
     parts = F.split("_host", r"\.")
-    hosts = known.where("_host is not null").groupBy("_host").agg(added("_p").alias("_h"), F.count("*").alias("_hn"))
+    hosts = store.put(known.where("_host is not null").groupBy("_host").agg(added("_p").alias("_h"), F.count("*").alias("_n_h")), "host-sums")
     hosts = hosts.withColumn("_domain", F.when(F.size(parts) > 1, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(F.col("_host"))).withColumn("_suffix", F.when(F.size(parts) > 1, F.element_at(parts, -1)))
-    sums_by = lambda c, p: hosts.where(F.col(c).isNotNull()).groupBy(c).agg(added("_h").alias(p), F.sum("_hn").alias(f"{p}n"))
-    hosts = hosts.join(sums_by("_domain", "_d"), "_domain", "left").join(sums_by("_suffix", "_s"), "_suffix", "left")
-    domain = F.zip_with("_d", numbers(prior), lambda d, p: (d + DOMAIN_STRENGTH * p) / (F.col("_dn") + DOMAIN_STRENGTH))
-    host_prior = F.zip_with("_h", domain, lambda h, d: (h + HOST_STRENGTH * d) / (F.col("_hn") + HOST_STRENGTH))
-    share = F.col("_sn") / float(max(mass.sum(), 1e-9))
-    suffix = F.zip_with("_s", numbers(mass), lambda s, m: F.log((s + SUFFIX_STRENGTH * share) / (m + SUFFIX_STRENGTH)))
-    zero = numbers(np.zeros(len(labels)))
-    evidence = hosts.select("_host", F.zip_with(host_prior, F.coalesce(suffix, zero), lambda h, s: F.log(h) + s).alias("_given"))
-    evidence = store.put(evidence, "hosts")  # of a stored table adaptive execution can split the join on a hot host
+    sums_by = lambda c, p: hosts.where(F.col(c).isNotNull()).groupBy(c).agg(added("_h").alias(p), F.sum("_n_h").alias(f"_n{p}"))
+    hosts = store.put(hosts.join(sums_by("_domain", "_d"), "_domain", "left").join(sums_by("_suffix", "_s"), "_suffix", "left").drop("_domain", "_suffix"), "hosts")
 
-    tags = F.broadcast(spark.createDataFrame(spoken, "_tag string, _spoken array<double>"))  # at most languages times languages
-    given = F.coalesce("_given", numbers(np.log(prior)))
-    joined = scored.join(tags, "_tag", "left").join(evidence, "_host", "left").withColumn("_all", F.zip_with(F.zip_with("_score", given, lambda a, b: a + b), F.coalesce("_spoken", zero), lambda a, b: a + b))
+    zero = numbers(np.zeros(len(labels)))
+    tags = F.broadcast(spark.createDataFrame(list(by_tag.items()), "_tag string, _t array<double>"))  # at most languages times languages
+    joined = join_hot(scored, hosts.withColumn("_many", F.col("_n_h")), ["_host"], "_many", "left").join(tags, "_tag", "left")
+    mine = F.col("_n") > 0
+    others = lambda c: F.zip_with(c, "_p", lambda a, p: F.greatest(a - F.when(mine, p).otherwise(0.0), F.lit(0.0)))
+    count = lambda c: F.col(c) - F.when(mine, 1).otherwise(0)
+    domain = F.zip_with(others("_d"), numbers(prior), lambda d, p: (d + DOMAIN_STRENGTH * p) / (count("_n_d") + DOMAIN_STRENGTH))
+    host_prior = F.zip_with(others("_h"), domain, lambda h, d: F.log((h + HOST_STRENGTH * d) / (count("_n_h") + HOST_STRENGTH)))
+    share = count("_n_s") / float(max(mass.sum(), 1e-9))
+    suffix = F.zip_with(others("_s"), numbers(mass), lambda s, m: F.log((s + SUFFIX_STRENGTH * share) / (m + SUFFIX_STRENGTH)))
+    suffix = F.when(share > 0, suffix)  # no other row has it
+    spoken = F.zip_with(others("_t"), numbers(seen), lambda t, m: F.log((t + 1) / (m + len(by_tag) + 1)))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    evidence = plus(plus("_score", F.coalesce(host_prior, numbers(np.log(prior)))), plus(F.coalesce(suffix, zero), F.coalesce(spoken, zero)))
+    joined = joined.withColumn("_all", evidence)
     best = F.array_max("_all")
     joined = joined.withColumn("_certainty", 1 / F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x - best)))
     language = F.when(F.col("_n") > 0, F.element_at(F.array(*map(F.lit, labels)), F.array_position("_all", best).cast("int"))).otherwise(UNKNOWN)

@@ -123,3 +123,72 @@ def test_query_weighs_suffix_and_domain_of_pages(spark, tmp_path):
     assert sorted(r.doc_id for r in got if r.page_id is None) == list(range(240)) and len(got) == 240 + len(pages)
     assert sum(by[k].language == r[4] for k, r in enumerate(rows)) > 115
     assert (by[900].language, by[901].language, by[902].language) == ("fr", "de", "ka")
+
+
+def plain_posteriors(rows, model):
+    """(id, language, certainty) of (id, text, tag, host) rows, one after the other, by the rule."""
+    labels, total = model.labels, 0.0
+    n, score = model.score([t or "" for _, t, _, _ in rows])
+    score = score * np.minimum(1, langid.EFFECTIVE_GRAMS / np.maximum(n, 1))[:, None]
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    known = n > 0
+    zero = np.zeros(len(labels))
+    mass = p[known].sum(axis=0)
+    total, prior = mass.sum(), (mass + 1) / (mass + 1).sum()
+    keys = []
+    for _, _, tag, host in rows:
+        tag = None if tag is None else tag.lower().split("-")[0]
+        tag = tag if tag is None or tag in labels[:-1] else "other"
+        parts = host.lower().split(".") if host else []
+        keys.append({"tag": tag, "host": host.lower() if host else None, "domain": ".".join(parts[-2:]) or None, "suffix": parts[-1] if len(parts) > 1 else None})
+    def group(k, kind):
+        """(sum of posteriors, number) of the other known rows of the same kind."""
+        own = [i for i in range(len(rows)) if known[i] and i != k and keys[i][kind] == keys[k][kind]]
+        return p[own].sum(axis=0) if own else zero, len(own)
+
+    tags = {keys[i]["tag"] for i in range(len(rows)) if known[i] and keys[i]["tag"] is not None}
+    tagged = p[[i for i in range(len(rows)) if known[i] and keys[i]["tag"] is not None]].sum(axis=0)
+    out = []
+    for k, row in enumerate(rows):
+        if not known[k]:
+            out.append((row[0], "und", None))
+            continue
+        given = np.log(prior)
+        if keys[k]["host"]:
+            (d, nd), (h, nh) = group(k, "domain"), group(k, "host")
+            domain = (d + langid.DOMAIN_STRENGTH * prior) / (nd + langid.DOMAIN_STRENGTH)
+            given = np.log((h + langid.HOST_STRENGTH * domain) / (nh + langid.HOST_STRENGTH))
+        if keys[k]["suffix"]:
+            s, ns = group(k, "suffix")
+            if ns:
+                given = given + np.log((s + langid.SUFFIX_STRENGTH * ns / total) / (mass + langid.SUFFIX_STRENGTH))
+        if keys[k]["tag"] is not None:
+            t, _ = group(k, "tag")
+            given = given + np.log((t + 1) / (tagged + len(tags) + 1))
+        own = score[k] + given
+        own = np.exp(own - own.max())
+        out.append((row[0], labels[int(own.argmax())], own.max() / own.sum()))
+    return out
+
+
+def test_posteriors_against_plain(spark):
+    rows = [(k, t, d, h) for k, t, d, h, _ in corpus(90, 4)]
+    rng = random.Random(6)
+    hosts = ["a.shop.fr", "b.shop.fr", "c.news.de", "hub", None, "x.co", "A.Shop.fr", "only.one.zz"]
+    rows = [(k, t[: rng.randint(2, 30)], rng.choice([d, None, "fr-CA", "xx"]), rng.choice(hosts)) for k, t, d, _ in rows]
+    rows += [(900, None, "en", "hub"), (901, "12", "de", "a.shop.fr"), (902, "the", None, "hub"), (902, "the", None, "hub")]
+    model = langid.fit(frame(spark, corpus()), F.col("text"), F.col("lang"))
+    df = spark.createDataFrame(rows, "id long, text string, lang string, host string")
+    got = sorted((r.id, r.language, r.certainty) for r in langid.identify(df, model, "text", F.col("lang"), F.col("host")).collect() if r.id < 900)
+    want = sorted(plain_posteriors(rows, model))
+    assert [(a[0], a[1]) for a in got] == [(a[0], a[1]) for a in want if a[0] < 900]
+    assert np.allclose([a[2] for a in got], [a[2] for a in want if a[0] < 900])
+    alone = {r.id: (r.language, r.certainty) for r in langid.identify(df, model, "text", F.col("lang"), F.col("host")).collect() if r.id >= 900}
+    assert alone[900] == alone[901] == ("und", None) and alone[902][0] == "en"
+
+
+def test_ties_name_the_first_language(spark):
+    table = np.log(np.full((langid.BUCKETS, 3), 1 / langid.BUCKETS))
+    got = langid.identify(spark.createDataFrame([(1, "abc")], "id long, text string"), langid.TextModel(("aa", "bb", "und"), table)).collect()
+    assert [(r.language, round(r.certainty, 6), r.kept) for r in got] == [("aa", 0.333333, False)]
