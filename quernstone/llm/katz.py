@@ -213,12 +213,13 @@ def _chunks(id_type: pa.DataType, chunk_bytes: int):
 
 @dataclass
 class Grams:
-    """The different grams of one order in a chunk: which one ends at each token (-1: its context is unknown), and of each its number, its count in training, and if no other chunk has it."""
+    """The different grams of one order in a chunk: which one ends at each token (-1: its context is unknown), and of each its number, its count in training, if no other chunk has it, and if all that follows its context is too frequent to be discounted."""
 
     at: np.ndarray
     gid: np.ndarray
     count: np.ndarray
     alone: np.ndarray
+    heavy: np.ndarray
 
 
 class Chunk:
@@ -239,19 +240,47 @@ class Chunk:
         before = np.concatenate([[-1], lower.at[:-1]])
         before[self.starts] = 0 if order == 2 else -1
         ok = np.flatnonzero((before >= 0) & (lower.count[before] > 0))
-        key, first, back = np.unique(before[ok] * self.size + self.at[ok], return_index=True, return_inverse=True)
-        context, word = key // self.size, key % self.size
-        gid, own = words.gid[word], lower.gid[context]
-        spread = np.maximum(1, -(-lower.count[context] // hot)).astype(np.uint64)
-        bucket = (mix(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(gid.astype(np.uint64)) % spread) % np.uint64(buckets)).astype(np.int64)
+        context, word = before[ok], self.at[ok]
+        scattered, salt = mix(words.gid.astype(np.uint64)), lower.gid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        spread = np.maximum(1, -(-lower.count // hot)).astype(np.uint64)[context]
+        part = scattered[word]
+        if len(spread) and spread.max() > 1:
+            part = part % spread
+        else:
+            part = np.uint64(0)
+        bucket = (mix(salt[context] + part) % np.uint64(buckets)).astype(np.int64)
         bucket[lower.alone[context]] = -1
-        order_ = np.lexsort((gid, own, bucket))
-        place = np.empty(len(key), np.int64)
-        place[order_] = np.arange(len(key))
+        first, back = ordered(bucket + 1, ranks(lower.gid)[context], ranks(words.gid)[word])
         at = np.full(len(self.at), -1)
-        at[ok] = place[back]
-        local = np.bincount(at[(at >= 0) & self.trained], minlength=len(key))
-        return Longer(at, context[order_], word[order_], lower.at[ok][first][order_], bucket[order_], local)
+        at[ok] = back
+        local = np.bincount(back[self.trained[ok]], minlength=len(first))
+        return Longer(at, context[first], word[first], lower.at[ok][first], bucket[first], local)
+
+
+def ranks(numbers: np.ndarray) -> np.ndarray:
+    """The place of each number when they are sorted."""
+    out = np.empty(len(numbers), np.int64)
+    out[np.argsort(numbers)] = np.arange(len(numbers))
+    return out
+
+
+def ordered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each different tuple of keys, in order; which of these each row has); keys are not negative."""
+    if not len(keys[0]):
+        return (np.zeros(0, np.int64),) * 2
+    bits = [int(k.max()).bit_length() for k in keys]
+    if sum(bits) < 64:
+        key = keys[0]
+        for k, n in zip(keys[1:], bits[1:], strict=True):
+            key = key << n | k
+        sort = np.argsort(key)
+        new = np.concatenate([[True], np.diff(key[sort]) != 0])
+    else:
+        sort = np.lexsort(keys[::-1])
+        new = np.concatenate([[True], np.any([np.diff(k[sort]) != 0 for k in keys], axis=0)])
+    back = np.empty(len(sort), np.int64)
+    back[sort] = np.cumsum(new) - 1
+    return sort[new], back
 
 
 @dataclass
@@ -271,7 +300,8 @@ class Longer:
         got = np.concatenate([unpack(x[1]) for x in answers]) if answers else np.zeros(0, np.int64)
         gid = np.concatenate([np.cumsum(unpack(x[3])) for x in answers]) if answers and answers[0][3] else np.zeros(len(got), np.int64)
         own = self.local[:mine]
-        return Grams(self.at, np.concatenate([-np.cumsum(own > 0), gid]), np.concatenate([own, got >> 1]), np.concatenate([np.ones(mine, bool), (got & 1) > 0]))
+        flags = lambda bit, here: np.concatenate([np.full(mine, here), (got & bit) > 0])
+        return Grams(self.at, np.concatenate([-np.cumsum(own > 0), gid]), np.concatenate([own, got >> 2]), flags(2, True), flags(1, False))
 
 
 def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -318,7 +348,7 @@ def _answer_words(buckets: int):
         rank[order] = np.arange(len(order))
         words, total, at = [words[k] for k in order], total[order], [rank[k] for k in at]
         alone = np.bincount(np.concatenate(at), minlength=len(words)) == 1
-        rows = [(10 + ANSWER, c, bucket, pack(total[k] * 2 + alone[k]), None, pack(k * buckets + bucket), None) for c, k in zip(chunks, at, strict=True)]
+        rows = [(10 + ANSWER, c, bucket, pack(total[k] * 4 + alone[k] * 2), None, pack(k * buckets + bucket), None) for c, k in zip(chunks, at, strict=True)]
         figures = [int(total.sum()), int((total > 0).sum()), *count_figures(total), int(total[total > K].sum())]
         return _rows([*rows, (10 + COUNTED, None, bucket, squeeze(b"\n".join(words)), pack(total), None, pack(np.asarray(figures)))])
 
@@ -335,7 +365,7 @@ class Opened:
         self.own = Chunk(*self.pick(CHUNK, "b", "c", "d")[0])
         answers = sorted(self.pick(10 + ANSWER, "bucket", "a", "b", "c"))
         got, gid = (np.concatenate([unpack(x[k]) for x in answers]) for k in (1, 3))
-        words = Grams(self.own.at, gid, got >> 1, (got & 1) > 0)
+        words = Grams(self.own.at, gid, got >> 2, (got & 2) > 0, np.zeros(len(got), bool))
         self.grams, self.longer = [words], []
         for k in range(2, order + 1):
             self.longer.append(self.own.longer(words, self.grams[-1], k, buckets, hot))
@@ -396,13 +426,18 @@ def _answer(order: int, buckets: int, last: bool):
         number = np.maximum(np.cumsum(seen) - 1, 0) * buckets + bucket
         hot = np.zeros(len(context), bool)
         hot[at[spread[first] > 0]] = True
-        rows, answer = [], total * 2 + alone
+        heavy = (sums[:, :K].sum(axis=1) == 0) & ~hot
+        rows, answer, uses = [], total * 4 + alone * 2 + heavy[at], np.bincount(at, weights=total, minlength=len(context)).astype(np.int64)
         for chunk, s, e in zip(chunks, np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
-            own = at[gram[s:e]]
-            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-            rows.append((10 * order + ANSWER, chunk, bucket, pack(answer[gram[s:e]]), pack(np.where(hot[own][:, None], 0, sums[own]).T.ravel()), None if last else pack(np.diff(number[gram[s:e]], prepend=0)), None))
-            if hot[own].any():
-                rows.append((10 * order + ASKED, chunk, bucket, None, None, None, context[own[hot[own]]].tobytes()))
+            own = gram[s:e]
+            held, to = np.unique(at[own], return_inverse=True)
+            # sums for the weights of contexts before a gram never seen, less what the chunk's own grams tell: nothing if they are all that follows
+            unseen = np.bincount(to, weights=total[own] == 0) > 0
+            more = np.flatnonzero(unseen & (uses[held] > np.bincount(to, weights=total[own])) & ~hot[held])
+            rest = sums[held] - context_sums(to, total[own], shorter[own], len(held))
+            rows.append((10 * order + ANSWER, chunk, bucket, pack(answer[own]), pack(rest[more].T.ravel()), None if last else pack(np.diff(number[own], prepend=0)), None))
+            if hot[held].any():
+                rows.append((10 * order + ASKED, chunk, bucket, None, None, None, context[held[hot[held]]].tobytes()))
         if hot.any():
             rows.append((10 * order + CONTEXTS, None, bucket, None, None, sums[hot].tobytes(), context[hot].tobytes()))
         rows.append((10 * order + COUNTED, None, bucket, pack(np.diff(v[first][seen], prepend=0)), pack(w[first][seen]), pack(total[seen]), pack(count_figures(total))))
@@ -431,20 +466,24 @@ def _score(order: int, buckets: int, hot: int, words: Unigrams, discounts: list[
         size: np.ndarray | float = words.size
         for k in range(2, order + 1):
             lower, new, grams = got.grams[k - 2], got.longer[k - 2], got.grams[k - 1]
-            sums = np.zeros((len(lower.count), 2 * K + 2), np.int64)
-            mine = int(np.searchsorted(new.bucket, 0))
-            if mine:
-                sums += context_sums(new.context[:mine], new.local[:mine], lower.count[new.shorter[:mine]], len(sums))
+            sums = context_sums(new.context, grams.count, lower.count[new.shorter], len(lower.count))
+            by_context = lambda x: np.bincount(new.context, weights=x, minlength=len(lower.count))  # noqa: B023, E731
+            uses, unseen, heavy = by_context(grams.count), by_context(grams.count == 0) > 0, by_context(grams.heavy) > 0
+            weighed = np.ones(len(lower.count), bool)
             asked = ((s, e) for bucket, s, e in _runs(new.bucket) if bucket >= 0)
             for (s, e), (_, b) in zip(asked, sorted(got.pick(10 * k + ANSWER, "bucket", "b")), strict=True):
-                sums[np.asarray(list(dict.fromkeys(new.context[s:e].tolist())))] += unpack(b).reshape(2 * K + 2, -1).T
+                held = new.context[s:e][np.concatenate([[True], new.context[s + 1 : e] != new.context[s : e - 1]])]
+                more = held[unseen[held] & (lower.count[held] > uses[held]) & (lower.count[held] <= hot)]
+                sums[more] += unpack(b).reshape(2 * K + 2, -1).T
+                weighed[held] = unseen[held] | (lower.count[held] > hot)
             if summed := got.pick(10 * k + SUMMED, "d"):
                 rows = np.asarray([np.frombuffer(x, np.int64) for (x,) in summed])
                 by_id = np.argsort(lower.gid)
                 sums[by_id[np.searchsorted(lower.gid[by_id], rows[:, 0])]] = rows[:, 1:]
             # the size of the context without its first word
             shorter = size if k == 2 else size[got.longer[k - 3].shorter]
-            size, weight = backoff(discounts[k - 1], discounts[k - 2], shorter, np.maximum(lower.count, 1), sums)
+            full, weight = backoff(discounts[k - 1], discounts[k - 2], shorter, np.maximum(lower.count, 1), sums)
+            size = np.where(weighed, full, lower.count + heavy)
             known = np.flatnonzero(new.at >= 0)
             at = new.at[known]
             c, context = grams.count[at], new.context[at]

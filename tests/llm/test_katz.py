@@ -156,3 +156,14 @@ def test_empty(spark):
 def test_packed_numbers():
     for x in ([], [0], [255, 256], [-1, 5], [1 << 40, 3]):
         assert katz.unpack(katz.pack(np.asarray(x, np.int64))).tolist() == x
+
+
+def test_ordered_keys_of_any_size():
+    rng = np.random.default_rng(1)
+    small = [rng.integers(0, 5, 200) for _ in range(3)]
+    for keys in (small, [small[0] << 40, small[1] << 50, small[2]]):
+        first, back = katz.ordered(*keys)
+        rows = list(zip(*(k.tolist() for k in keys), strict=True))
+        assert [rows[i] for i in first] == sorted(set(rows)) and [rows[first[k]] for k in back] == rows
+    assert [len(x) for x in katz.ordered(np.zeros(0, int), np.zeros(0, int))] == [0, 0]
+    assert katz.ranks(np.asarray([30, -1, 7])).tolist() == [2, 0, 1]
