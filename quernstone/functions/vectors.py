@@ -21,6 +21,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull() | (F.size(a) != F.size(b)) | (size == 0), 0.0).otherwise(dot(a, b) / size)
 
 
+def cosine_zipped(a: Column, b: Column) -> Column:
+    """Products as far as both reach, over the whole norms; 0 where one is zero."""
+    size = norm(a) * norm(b)
+    return F.when(F.coalesce(size, F.lit(0.0)) == 0, 0.0).otherwise(dot(a, b) / size)
+
+
 def mean(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x.cast("double") + y.cast("double")) / 2)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, repo_label
 
 
 def detect_changes(stored: DataFrame, incoming: DataFrame, keys: list[str], hash_col: str = "content_hash") -> DataFrame:
@@ -84,3 +84,14 @@ def evolve(table: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def storage_method(has_chunks: Column, has_graph: Column) -> Column:
     return F.when(has_chunks & has_graph, "hybrid").when(has_graph, "graph").otherwise("chunk")
+
+
+#: Sources of code and of pages, and what their unnamed groups are called.
+CODE_SOURCES, PAGE_SOURCES = ("git_code", "code_doc", "code_summary", "code_file_summary"), ("confluence", "confluence_mcp")
+
+
+def subgroup(source_type: Column, url: Column, author: Column, space: Column) -> Column:
+    """The group of a document within its source: repository or space; null for other sources."""
+    known = lambda c: F.when(c != "", c)
+    code = F.coalesce(known(repo_label(url)), known(author), F.lit("(저장소 미상)"))
+    return F.when(source_type.isin(*CODE_SOURCES), code).when(source_type.isin(*PAGE_SOURCES), F.coalesce(known(space), F.lit("(스페이스 미상)")))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
 from ..functions import ranking as R
@@ -55,8 +58,59 @@ def signed_ranks(diffs: DataFrame, by: list[str]) -> DataFrame:
     return got.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
 
 
-def two_sided_p(z: float) -> float:
-    return 2 * (1 - 0.5 * (1 + math.erf(abs(z) / math.sqrt(2))))
+@F.pandas_udf(DoubleType())
+def normal_cdf(x: pd.Series) -> pd.Series:
+    """The standard normal distribution; built-ins have no error function."""
+    return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))), na_action="ignore")
+
+
+def signed_rank_test(diffs: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, w_plus, z and the two-sided p of the signed-rank statistic; groups of zeros alone have none of them but p = 1."""
+    found = signed_ranks(diffs, by).withColumn("p", 2 * (1 - normal_cdf(F.abs("z"))))
+    groups = diffs.select(*by).distinct()
+    return groups.join(found, by, "left").select(*by, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("p", F.lit(1.0)).alias("p"))
+
+
+#: Beginnings of the names of metrics that two runs are compared by, and settings in which they must agree.
+METRICS = ("recall@", "precision@", "hit@", "ndcg@", "mrr", "graph_recall@", "graph_precision@", "graph_hit@", "graph_ndcg@", "graph_mrr", "judge_score", "elapsed_ms")
+SETTINGS = (
+    "gold_set_sha256", "embedding_model", "llm_model", "top_k", "max_chunks", "similarity_threshold", "rerank_enabled", "hyde_enabled", "judge_mode", "vector_store_sha256", "corpus_sha256",
+    "graph_store_sha256",
+)
+
+
+def is_metric(name: Column) -> Column:
+    return reduce(lambda a, b: a | b, (name.startswith(m) for m in METRICS))
+
+
+def id_list(text: Column) -> Column:
+    """Whole numbers of a list with commas; what is none is passed over."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x).try_cast("int"))
+    return F.filter(parts, lambda x: x.isNotNull())
+
+
+def item_mode(cross_document: Column, has_documents: Column, has_graph: Column) -> Column:
+    """What a gold item asks for: cross_doc, hybrid, graph or chunk."""
+    return F.when(cross_document, "cross_doc").when(has_documents & has_graph, "hybrid").when(has_graph, "graph").otherwise("chunk")
+
+
+def violated_requirements(judged: Column, own_judge: Column, allowed: Column, seed: Column, samples: Column, fingerprint: Column) -> Column:
+    """What a run lacks for its absolute scores to count, as messages."""
+    checks = [
+        F.when(judged & own_judge & ~allowed, "self-evaluation Judge (분리된 Judge 필요)"),
+        F.when(judged & seed.isNull(), "--judge-seed-base 미설정 (Judge 재현성 필요)"),
+        F.when(judged & (samples < 3), F.concat(F.lit("--judge-n-samples >= 3 필요 (현재 "), samples.cast("string"), F.lit(")"))),
+        F.when(F.coalesce(fingerprint, F.lit("")) == "", "인덱스 지문(vector_store_sha256) 비어 있음 (앵커링 불가)"),
+    ]
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+
+def differing(baseline: DataFrame, treatment: DataFrame, keys: tuple[str, ...] = SETTINGS) -> DataFrame:
+    """(key, baseline, treatment) of the settings, tables (key, value), in which two runs differ; a missing one is null."""
+    wanted = baseline.sparkSession.createDataFrame([(k,) for k in keys], "key string")
+    side = lambda df, name: df.select("key", F.col("value").alias(name))
+    both = wanted.join(side(baseline, "baseline"), "key", "left").join(side(treatment, "treatment"), "key", "left")
+    return both.where(~F.col("baseline").eqNullSafe(F.col("treatment")))
 
 
 def bootstrap_mean(values: DataFrame, by: list[str], resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:

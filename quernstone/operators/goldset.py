@@ -6,16 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import identifiers
-
-#: Fixed patterns: phrases that point at a text the reader cannot see.
-POINTING = r"(?i)\b(this|that|the above|the following|these|those)\s+(document|section|page|passage|text|table|code|function|example|chunk)s?\b|(이|해당|위|본)\s*(문서|섹션|페이지|표|코드|함수|예제)"
+from ..functions.text import identifiers, match_name, match_names, words
+
+#: Fixed pattern: phrases that point at a text the reader cannot see.
+POINTING = (
+    r"(?iU)(?:이|위|아래|다음|해당|본)\s*(?:클래스|메서드|메소드|함수|코드|모듈|타입|구조체|인터페이스|객체|스니펫|예제|예시|구현|로직|엔티티|노드|관계)|(?:위|아래)에\s*있는|"
+    r"\bthis\s+(?:class|method|function|code|module|type|struct|interface|object|snippet|example|implementation|entity|node|relation|edge)\b|"
+    r"\bthe\s+(?:above|below|following|preceding)\s+(?:class|method|function|code|module|snippet|example|entity|node|relation|edge)\b"
+)
+#: Common Hangul words, which give nothing away.
+COMMON_HANGUL = (
+    "사용자", "관리자", "개발자", "시스템", "데이터", "서비스", "프로젝트", "이용자", "고객사", "회사명", "팀원들", "구성원", "담당자", "참가자", "사용법", "기능을", "기능이", "기능에", "기능의",
+    "정보를", "정보가", "정보의", "정보는", "방법을", "방법이", "방법의", "내용을", "내용이", "내용의", "관련된", "다음은", "이전의", "현재의", "최근의", "사용자가", "사용자는", "사용자의",
+    "사용자에게", "관리자가", "관리자는", "관리자의", "프로세스", "비즈니스", "데이터베이스", "데이터셋", "데이터를", "애플리케이션", "인터페이스", "프레임워크", "라이브러리", "서비스가", "서비스는",
+    "서비스의", "서비스를", "시스템이", "시스템은", "시스템의", "시스템을", "기능에서", "기능으로", "다음과같이", "예를들면", "예를들어",
+)
 
 
 def identifier_leak(question: Column, source: Column, min_len: int = 4) -> Column:
     """Whether an identifier of the source stands in the question as a whole word, in the same case."""
-    words = F.regexp_extract_all(question, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), 1)
-    return F.arrays_overlap(words, identifiers(source, min_len))
+    return F.arrays_overlap(words(question), identifiers(source, min_len))
 
 
 def points_at_text(question: Column) -> Column:
@@ -45,19 +55,57 @@ def gate(rows: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
     reason = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks))
     return rows.withColumn("reason", reason)
 
+
 #: Hangul particles that may end a word.
 PARTICLES = "은|는|이|가|을|를|에|에서|에게|한테|으로|로|와|과|의|도|만|까지|부터|보다|마저|조차"
 
 
+def without_particle(word: Column, least: int = 2) -> Column:
+    """A word without one particle at its end, unless less than ``least`` syllables are left."""
+    bare = F.regexp_replace(word, f"({PARTICLES})$", "")
+    return F.when(F.length(bare) >= least, bare).otherwise(word)
+
+
+def all_stems(text: Column) -> Column:
+    """Stems of three syllables or more of the Hangul words of a text, in order."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit("[가-힣]{3,}"), 0), lambda w: without_particle(w)), lambda s: F.length(s) >= 3)
+
+
 def hangul_stems(text: Column, most: int = 1, stop: list[str] | None = None) -> Column:
-    """Stems of three syllables or more that occur at most ``most`` times: words without one particle, unless too little is left."""
-    words = F.regexp_extract_all(text, F.lit(r"([가-힣]{3,})"), 1)
-    bare = lambda w: F.regexp_replace(w, f"({PARTICLES})$", "")
-    stems = F.filter(F.transform(words, lambda w: F.when(F.length(bare(w)) >= 2, bare(w)).otherwise(w)), lambda s: F.length(s) >= 3)
-    stems = stems if not stop else F.filter(stems, lambda s: ~s.isin(*stop))
+    """Stems that occur at most ``most`` times and are neither common nor among ``stop``."""
+    stems = F.filter(all_stems(text), lambda s: ~s.isin(*COMMON_HANGUL, *(stop or ())))
     return F.filter(F.array_distinct(stems), lambda s: F.size(F.filter(stems, lambda x: x == s)) <= most)
 
 
 def hangul_leak(question: Column, source: Column, stop: list[str] | None = None) -> Column:
     """Whether a rare stem of the source is part of the question."""
     return F.exists(hangul_stems(source, 1, stop), lambda s: question.contains(s))
+
+
+def _leaks(text: Column, source: Column, stop: list[str] | None) -> Column:
+    return identifier_leak(text, source) | hangul_leak(text, source, stop)
+
+
+def alias_leak(alias: Column, entity: Column, source: Column, stop: list[str] | None = None) -> Column:
+    """Whether an alias gives the source away: a blank one does, one that is the entity's name but for spelling does not."""
+    bare = F.trim(alias)
+    return F.when(bare == "", True).when(match_name(bare) == match_name(entity), False).otherwise(_leaks(bare, source, stop))
+
+
+def sound_aliases(aliases: Column, entity: Column, source: Column, stop: list[str] | None = None) -> Column:
+    """The aliases that give nothing away; how many were dropped is the difference in size."""
+    # names without their spelling come from a UDF, which must stand outside of the fold over the list
+    rows = F.arrays_zip(aliases.alias("a"), match_names(aliases).alias("k"), F.array_repeat(match_name(entity), F.size(aliases)).alias("e"))
+    return F.transform(F.filter(rows, lambda r: (F.trim(r["a"]) != "") & ((r["k"] == r["e"]) | ~_leaks(F.trim(r["a"]), source, stop))), lambda r: r["a"])
+
+
+def sound_evidence(evidence: Column, source: Column, stop: list[str] | None = None) -> Column:
+    """The evidence, empty if it gives the source away."""
+    leaks = identifier_leak(evidence, source) | hangul_leak(evidence, source, stop)
+    return F.when((F.trim(evidence) != "") & leaks, "").otherwise(evidence)
+
+
+def frequent_stems(docs: DataFrame, text: str, least: int = 5, most: int = 500) -> DataFrame:
+    """(stem, n) of Hangul stems that occur at least ``least`` times, the ``most`` most frequent."""
+    stems = docs.select(F.explode(all_stems(F.col(text))).alias("stem"))
+    return stems.groupBy("stem").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(most)

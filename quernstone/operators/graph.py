@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.graphtext import ENTITY_ALIASES, RELATION_ALIASES
 from ..functions.text import normalized_name
 from ..sources.shared import checkpointed
 
-#: Aliases of entity types and of relations; the last relation changes direction.
-ENTITY_ALIASES = {"struct": "class", "policy": "concept"}
-RELATION_ALIASES = {"has_part": "contains", "has_attribute": "contains", "uses": "depends_on", "mentions_user": "mentions", "mentions_ticket": "mentions", "documented_in": "documents"}
+#: Relations whose alias changes direction.
 SWAPPED = ("documented_in",)
 
 

@@ -12,6 +12,17 @@ def watermark_text(ts: Column) -> Column:
     return F.date_format(ts, MINUTES)
 
 
+def interval_minutes(text: Column) -> Column:
+    """A positive number of minutes; null if the text is none."""
+    n = text.try_cast("int")
+    return F.when(n >= 1, n)
+
+
+def merged_settings(base: Column, override: Column) -> Column:
+    """A map of settings in which those of ``override`` win."""
+    return F.map_from_entries(F.array_sort(F.map_entries(F.map_zip_with(base, override, lambda k, a, b: F.coalesce(b, a)))))
+
+
 def lower_bound(watermark: Column, margin_minutes: int) -> Column:
     """The watermark less a margin for late changes; null if it cannot be read."""
     return watermark_text(F.try_to_timestamp(watermark, F.lit(MINUTES)) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(max(0, margin_minutes))))

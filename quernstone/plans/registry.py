@@ -7,7 +7,9 @@ for document), part for entity mentions, lineitem for edges and memberships.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -32,9 +34,39 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def literal(x: object) -> str:
+    """A Python value as DuckDB SQL."""
+    if x is None or isinstance(x, bool):
+        return {None: "NULL", True: "true", False: "false"}[x]
+    if isinstance(x, float):
+        return f"{x!r}::DOUBLE"
+    if isinstance(x, (list, tuple)):
+        return "[" + ", ".join(map(literal, x)) + "]"
+    if isinstance(x, dict):
+        return "{" + ", ".join(f"'{k}': {literal(v)}" for k, v in x.items()) + "}"
+    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+def cases(name: str, schema: str, rows: list, names: str, want: list, made: Callable[[Column, Column, Column], dict[str, Column]]) -> None:
+    """A query over a few literal rows, numbered as ``i``, whose results, worked out by hand, are its oracle.
+
+    ``made`` gives the result columns ``names`` from the columns x, y and z; ``want``
+    has a tuple of their values, or the one value, for each row.
+    """
+    values = ", ".join("(" + ", ".join(map(literal, (i, *(w if isinstance(w, tuple) else (w,))))) + ")" for i, w in enumerate(want))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.createDataFrame([(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)], f"i int, {schema}")
+        return df.select("i", *(c.alias(k) for k, c in made(F.col("x"), F.col("y"), F.col("z")).items()))
+
+    QUERIES[name] = (run, f"SELECT * FROM (VALUES {values}) AS t(i, {', '.join(f'"{n}"' for n in names.split(', '))})")
+
+
 def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
-    return [float(x) for x in row[0]] if row else [0.0] * 64
+    if row is None:
+        raise ValueError(f"no vector {vec_id}")
+    return [float(x) for x in row[0]]
 
 
 _QUERY = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
@@ -184,17 +216,19 @@ def anchors(spark, d):
 
 
 @query("fn22_patterns", """
-SELECT event_id, list_distinct(regexp_extract_all(t, '\\b([A-Z][A-Z0-9]+-\\d+)\\b', 1)) AS tickets FROM (SELECT event_id, 'AB-' || user_id || ' and AB-' || user_id || ' x-1' AS t FROM events)
+SELECT event_id, list_distinct(regexp_extract_all(t, '\\b([A-Z][A-Z0-9]{1,9}-\\d+)\\b', 1)) AS tickets FROM (SELECT event_id, 'AB-' || user_id || ' and AB-' || user_id || ' x-1' AS t FROM events)
 """)
 def patterns(spark, d):
     t = F.concat(F.lit("AB-"), F.col("user_id"), F.lit(" and AB-"), F.col("user_id"), F.lit(" x-1"))
     return table(spark, d, "events").select("event_id", T.ticket_keys(t).alias("tickets"))
 
 
-@query("fn29_identifiers", "SELECT o_orderkey, list_sort(list_distinct(list_filter(regexp_extract_all(t, '\\b([A-Za-z_][A-Za-z0-9_]*)\\b', 1), lambda x: length(x) >= 4 AND regexp_matches(x, '[0-9_]|[a-z][A-Z]')))) AS ids FROM (SELECT o_orderkey, 'call order_' || o_orderkey || ' in orderKey, not plain ' || o_orderpriority AS t FROM orders)")
+_COMMON = ", ".join(f"'{w}'" for w in T.COMMON_WORDS)
+
+
+@query("fn29_identifiers", f"SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{3,}}'), lambda x: lower(x) NOT IN ({_COMMON})))) AS ids FROM documents")
 def identifier_lists(spark, d):
-    t = F.concat(F.lit("call order_"), F.col("o_orderkey"), F.lit(" in orderKey, not plain "), F.col("o_orderpriority"))
-    return table(spark, d, "orders").select("o_orderkey", F.array_sort(T.identifiers(t)).alias("ids"))
+    return table(spark, d, "documents").select("doc_id", F.array_sort(T.identifiers(F.col("text"))).alias("ids"))
 
 
 @query("fn31_repo_labels", "SELECT page_id, split_part(rtrim(url, '/'), '/', -1) AS label FROM pages WHERE url NOT LIKE '%.git'")
@@ -208,13 +242,13 @@ def meta_views(spark, d):
 
 
 @query("flt06_plural_variants", """
-SELECT DISTINCT w, list_sort(list_distinct(list_filter([lower(w), lower(w) || 's',
-  CASE WHEN regexp_matches(lower(w), '[^aeiou]y$') THEN regexp_replace(lower(w), 'y$', '') || 'ies' END,
-  CASE WHEN regexp_matches(lower(w), '(s|x|z|ch|sh)$') THEN lower(w) || 'es' END], lambda x: x IS NOT NULL))) AS variants
-FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w <> ''
+SELECT DISTINCT w, list_sort(list_distinct(list_filter([lower(w), lower(w) || 's', CASE WHEN lower(w) LIKE '%y' THEN CASE WHEN NOT regexp_matches(lower(w), '[aeou]y$') THEN regexp_replace(lower(w), 'y$', '') || 'ies' END
+  WHEN regexp_matches(lower(w), '(s|x|z|ch|sh)$') THEN lower(w) || 'es' END], lambda x: x IS NOT NULL))) AS variants
+FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION SELECT unnest(['policy', 'key', 'box', 'Bus', 'search', 'iy', 'day'])) WHERE w <> ''
 """)
 def plurals(spark, d):
-    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).where("w <> ''").distinct()
+    more = spark.createDataFrame([(w,) for w in ("policy", "key", "box", "Bus", "search", "iy", "day")], "w string")
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).union(more).where("w <> ''").distinct()
     return words.select("w", F.array_sort(T.plural_variants(F.col("w"))).alias("variants"))
 
 
@@ -224,12 +258,6 @@ def globs(spark, d):
     return table(spark, d, "pages").select("page_id", (T.glob_match(url, ["*example.com/en/*"]) | url.rlike("^https://[^m].*html$")).alias("matches"))
 
 
-@query("fn37_yes_no", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN true WHEN event_type = 'error' THEN false END AS answer FROM events")
-def answers(spark, d):
-    said = F.when(F.col("event_type").isin("click", "view"), "<think>no\n</think> Yes, it is\nno").when(F.col("event_type") == "error", "아니오.").otherwise("unsure")
-    return table(spark, d, "events").select("event_id", T.yes_no(said).alias("answer"))
-
-
 @query("src20_json_props", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -557,20 +585,20 @@ def candidates(spark, d):
     return goldset.candidates(table(spark, d, "documents"), "text", "lang", ["en", "de"], 200, 4000).select("doc_id", "lang")
 
 
-@query("flt14_identifier_leak", """
-WITH p AS (SELECT u.conv_id, u.turn, u.text || ' order_' || (u.conv_id % 3) AS q, a.text || ' order_1 maxTurn' AS s FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user')
-SELECT conv_id, turn, len(list_filter(regexp_extract_all(s, '\\b([A-Za-z_][A-Za-z0-9_]*)\\b', 1), lambda x: length(x) >= 4 AND regexp_matches(x, '[0-9_]|[a-z][A-Z]') AND list_contains(regexp_extract_all(q, '\\b([A-Za-z_][A-Za-z0-9_]*)\\b', 1), x))) > 0 AS leaks FROM p
+@query("flt14_identifier_leak", f"""
+WITH p AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS s FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user')
+SELECT conv_id, turn, list_has_any(list_filter(regexp_extract_all(s, '[A-Za-z_][A-Za-z0-9_]{{3,}}'), lambda x: lower(x) NOT IN ({_COMMON})), regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+')) AS leaks FROM p
 """)
 def identifier_leak(spark, d):
     turns = table(spark, d, "conversations")
-    users = turns.where("role = 'user'").select("conv_id", "turn", F.concat("text", F.lit(" order_"), (F.col("conv_id") % 3).cast("string")).alias("q"))
-    replies = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.concat("text", F.lit(" order_1 maxTurn")).alias("s"))
+    users = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    replies = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("s"))
     return users.join(replies, ["conv_id", "turn"]).select("conv_id", "turn", goldset.identifier_leak(F.col("q"), F.col("s")).alias("leaks"))
 
 
 @query("flt20_gate", "SELECT doc_id, CASE WHEN n_chars < 300 THEN 'short' WHEN lang <> 'en' THEN 'language' WHEN doc_id % 5 = 0 THEN 'pointing' END AS reason FROM documents")
 def gate(spark, d):
-    docs = table(spark, d, "documents").withColumn("q", F.concat(F.lit("what is "), F.when(F.col("doc_id") % 5 == 0, "this section").otherwise("this")))
+    docs = table(spark, d, "documents").withColumn("q", F.concat(F.lit("what is "), F.when(F.col("doc_id") % 5 == 0, "this module").otherwise("this")))
     return goldset.gate(docs, [("short", F.col("n_chars") >= 300), ("language", F.col("lang") == "en"), ("pointing", ~goldset.points_at_text(F.col("q")))]).select("doc_id", "reason")
 
 
@@ -867,19 +895,6 @@ def block_flags(spark, d):
     return table(spark, d, "part").select("p_partkey", T.has_table(text).alias("has_table"), T.has_code_block(text).alias("has_code"), T.lead_paragraph(text).alias("lead"))
 
 
-@query("fn27_prose", "SELECT p_partkey, 'a ' || p_name || '  end' AS prose, ['term ' || p_size] AS bold FROM part")
-def prose(spark, d):
-    text = F.concat(F.lit("a "), F.col("p_name"), F.lit(" ```code\nmore``` end"))
-    bold = F.concat(F.lit("**term "), F.col("p_size").cast("string"), F.lit("** and **TERM "), F.col("p_size").cast("string"), F.lit("**, **?**"))
-    return table(spark, d, "part").select("p_partkey", T.without_code(text).alias("prose"), T.bold_terms(bold).alias("bold"))
-
-
-@query("flt32_languages", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'typescript' END AS language FROM part")
-def languages(spark, d):
-    ending = F.element_at(F.array(*map(F.lit, ("PY", "go", "tsx", "xyz"))), (F.col("p_size") % 4 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", T.language_of(F.concat(F.lit("src/file.v2."), ending)).alias("language"))
-
-
 @query("fn45_numbers", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS value FROM orders")
 def numbers(spark, d):
     text = F.when(F.col("o_orderkey") % 3 == 0, F.lit("None")).otherwise(F.col("o_totalprice").cast("string"))
@@ -907,3 +922,6 @@ def file_filter(spark, d):
 def merged_sections(spark, d):
     """The first of each term of a source, whatever its case."""
     return table(spark, d, "documents").groupBy("source", F.lower("lang").alias("term")).agg(F.min("doc_id").alias("first_doc"))
+
+
+from . import scalars  # noqa: E402, F401

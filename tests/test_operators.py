@@ -37,7 +37,10 @@ def test_summary_and_statistics(spark):
     assert got["r"].mean == pytest.approx(0.6) and got["r"].std == pytest.approx(0.1) and got["s"].std == 0 and got["r"].n == 3
     diffs = spark.createDataFrame([("m", x) for x in (1.0, -1.0, 2.0, 0.0, 3.0)], "metric string, diff double")
     r = evaluation.signed_ranks(diffs, ["metric"]).first()
-    assert (r.n, r.w_plus) == (4, 8.5) and 0 < evaluation.two_sided_p(r.z) < 1
+    assert (r.n, r.w_plus) == (4, 8.5)
+    t = evaluation.signed_rank_test(diffs.union(spark.createDataFrame([("zeros", 0.0)], diffs.schema)), ["metric"])
+    got = {x.metric: (x.n, round(x.p, 6)) for x in t.collect()}
+    assert got == {"m": (4, round(2 * (1 - 0.5 * (1 + math.erf(abs(r.z) / math.sqrt(2)))), 6)), "zeros": (0, 1.0)}
     many = spark.createDataFrame([("m", float(k % 10)) for k in range(500)], "metric string, value double")
     b = evaluation.bootstrap_mean(many, ["metric"], resamples=100).first()
     assert b.low < b.mean == 4.5 < b.high and b.high - b.low < 1
@@ -112,7 +115,7 @@ def test_parsers():
 
 def test_gates(spark):
     asked = lambda q: one(spark, goldset.points_at_text(F.lit(q)))
-    assert asked("What does this section say?") and asked("이 문서에서 무엇") and not asked("What does thissection say?")
+    assert asked("What does this module say?") and asked("이 함수에서 무엇") and not asked("What does thismodule say?")
     assert one(spark, goldset.identifier_leak(F.lit("what is max_size"), F.lit("set max_size to 3"))) and not one(spark, goldset.identifier_leak(F.lit("what is size"), F.lit("set max_size to 3")))
 
 

@@ -18,14 +18,14 @@ def test_names(spark):
 def test_patterns(spark):
     assert values(spark, ["call GET /v1/users. then POST /v1/users, GET /v1/users"], T.api_endpoints) == [["GET /v1/users", "POST /v1/users"]]
     assert values(spark, ["AB-1 and X2-33, AB-1, ab-4"], T.ticket_keys) == [["AB-1", "X2-33"]]
-    assert values(spark, ["use max_size and maxSize, plain words abc x1y2"], T.identifiers) == [["max_size", "maxSize", "x1y2"]]
+    assert values(spark, ["use max_size and maxSize, plain words abc x1y2"], T.identifiers) == [["max_size", "maxSize", "plain", "words", "x1y2"]]
     assert values(spark, ["**Bold Term** and **bold term** and **x**"], T.bold_terms) == [["Bold Term"]]
-    assert values(spark, ["a ```x``` b `c` d"], T.without_code) == ["a  b  d"]
+    assert values(spark, ["a ```x``` b `c` d"], T.without_code) == ["a \n b   d"]
     assert values(spark, ["|a|b|\n|---|---|\n|1|2|", "a | b"], T.has_table) == [True, False]
     assert values(spark, ["lead\n# H\nbody", "# H"], T.lead_paragraph) == ["lead", ""]
     assert values(spark, ["Hello  World!", " 결제 API "], T.slug) == ["hello-world", "결제-api"]
     assert values(spark, ["https://x/y/repo.git", "https://x/y/repo/"], T.repo_label) == ["repo", "repo"]
-    assert values(spark, ["src/A.PY", "x.unknown"], T.language_of) == ["python", None]
+    assert values(spark, ["src/A.PY", "x.unknown"], T.language_of) == ["python", ""]
     assert values(spark, ["Yes.", "no, since", "예", "아니요", "maybe", "<think>yes</think>\nfalse"], T.yes_no) == [True, False, True, False, None, False]
     assert values(spark, ["1.5", "", "none", None, "x"], T.number) == [1.5, None, None, None, None]
     assert values(spark, ["policy", "box", "day"], T.plural_variants) == [["policy", "policys", "policies"], ["box", "boxs", "boxes"], ["day", "days"]]
