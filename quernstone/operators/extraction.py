@@ -2,49 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import graphtext as G
 from ..functions import text as T
 
 
-def _related(rows: DataFrame, doc_col: str, title: Column, found: Column, kind: str, relation: str) -> DataFrame:
-    named = rows.select(doc_col, title.alias("source"), F.posexplode(found).alias("ordinal", "target"))
-    return named.select(doc_col, "source", "target", F.lit(kind).alias("entity_type"), F.lit(relation).alias("relation_type"), "ordinal")
+def _related(rows: DataFrame, doc_col: str, title: Column, found: Column, kind: str, relation: str, label: Column, order: int) -> DataFrame:
+    named = rows.where(title != "").select(doc_col, title.alias("source"), label.alias("label"), F.col("_unit"), F.posexplode(found).alias("ordinal", "target"))
+    return named.select(doc_col, "source", "target", F.lit(kind).alias("entity_type"), F.lit(relation).alias("relation_type"), "label", F.struct("_unit", F.lit(order).alias("o"), "ordinal").alias("ordinal"))
+
 
+def body_relations(docs: DataFrame, doc_col: str, title_col: str, text_col: str, bold: bool = False, headers: bool = False, label_col: str | None = None, unit_col: str | None = None) -> DataFrame:
+    """(document, source, target, entity_type, relation_type, label): API endpoints, tickets outside of code and, if asked for, bold terms and table headers of texts.
 
-def body_relations(docs: DataFrame, doc_col: str, title_col: str, text_col: str, bold: bool = False) -> DataFrame:
-    """(document, source, target, entity_type, relation_type): API endpoints, tickets and, if asked for, bold terms of a text."""
-    title, body = F.col(title_col), F.col(text_col)
-    out = _related(docs, doc_col, title, T.api_endpoints(body), "api", "documents").union(_related(docs, doc_col, title, T.ticket_keys(body), "ticket", "mentions"))
-    if bold:
-        out = out.union(_related(docs, doc_col, title, T.bold_terms(T.without_code(body)), "concept", "mentions"))
-    return first_spelling(out, doc_col)
+    Rows are the units of documents, in the order of ``unit_col``; ``label_col``, a
+    unit's place, labels the first relation to each target.  Documents without a title
+    have none.
+    """
+    title, body, prose = F.col(title_col), F.col(text_col), T.without_code(F.col(text_col))
+    rows = docs.withColumn("_unit", F.lit(0) if unit_col is None else F.col(unit_col))
+    label = F.lit("") if label_col is None else F.coalesce(F.col(label_col), F.lit(""))
+    kinds = [(T.api_endpoints(body), "api", "documents"), (T.ticket_keys(prose), "ticket", "mentions_ticket")]
+    kinds = ([(T.bold_terms(prose), "concept", "mentions")] if bold else []) + kinds[:1] + ([(T.table_headers(body), "concept", "has_attribute")] if headers else []) + kinds[1:]
+    return first_spelling(reduce(DataFrame.union, (_related(rows, doc_col, title, found, kind, relation, label, k) for k, (found, kind, relation) in enumerate(kinds))), doc_col)
 
 
 def link_relations(links: DataFrame, doc_col: str) -> DataFrame:
-    """Relations of (document, source, ordinal, kind, target, target_id) links: pages are referenced, people and tickets mentioned, files attached.
+    """Relations of (document, source, ordinal, kind, target, target_id[, in_section]) links: pages are referenced, people and tickets mentioned, files attached.
 
-    A target without a name is called by its kind and id; other kinds are passed over.
+    A page without a title is called by its id; other kinds of links are passed
+    over.  The first link to each target labels the relation with its section.
     """
-    kinds = {"page": ("document", "references"), "user": ("person", "mentions"), "jira": ("ticket", "mentions"), "attachment": ("attachment", "has_attachment")}
     kind = F.col("kind")
-    pick = lambda k: F.coalesce(*(F.when(kind == name, v[k]) for name, v in kinds.items()))
-    name = F.coalesce(F.when(F.trim("target") != "", F.trim("target")), F.concat(kind, F.lit(":"), F.col("target_id")))
-    rows = links.where(kind.isin(*kinds)).select(doc_col, "source", name.alias("target"), pick(0).alias("entity_type"), pick(1).alias("relation_type"), "ordinal")
-    return first_spelling(rows.where("target is not null"), doc_col)
+    pick = lambda k: F.coalesce(*(F.when(kind == name, v[k]) for name, v in G.LINKS.items()))
+    name = G.link_target(kind, F.trim("target"), F.col("target_id"))
+    label = G.link_label(F.col("in_section")) if "in_section" in links.columns else F.lit("")
+    rows = links.where(G.link_kept(kind) & (F.coalesce("source", F.lit("")) != "")).select(doc_col, "source", name.alias("target"), pick(0).alias("entity_type"), pick(1).alias("relation_type"), label.alias("label"), "ordinal")
+    return first_spelling(rows.where("target <> ''"), doc_col)
 
 
 def first_spelling(relations: DataFrame, doc_col: str) -> DataFrame:
-    """One relation of each kind to a target of a document, whatever its case; the first spelling stays."""
+    """One relation of each kind to a target of a document, whatever its case; the first spelling and label stay."""
     key = [doc_col, F.lower("source").alias("_s"), F.lower("target").alias("_t"), "entity_type", "relation_type"]
-    first = relations.groupBy(*key).agg(F.min(F.struct("ordinal", "source", "target")).alias("m"))
-    return first.select(doc_col, "m.source", "m.target", "entity_type", "relation_type")
-
-
-def code_relations(symbols: DataFrame, path_col: str) -> DataFrame:
-    """(path, source, target, relation_type) of (path, kind, name): a module contains its functions and classes, a class its methods."""
-    parent = F.regexp_extract("name", r"^(.*)\.[^.]+$", 1)
-    module, own = F.col(path_col), F.concat(F.col(path_col), F.lit("::"), F.col("name"))
-    source = F.when(parent != "", F.concat(module, F.lit("::"), parent)).otherwise(module)
-    return symbols.where("kind <> 'file'").select(path_col, source.alias("source"), own.alias("target"), F.lit("contains").alias("relation_type")).distinct()
+    first = relations.groupBy(*key).agg(F.min(F.struct("ordinal", "source", "target", "label")).alias("m"))
+    return first.select(doc_col, "m.source", "m.target", "entity_type", "relation_type", "m.label")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 MINUTES = "yyyy-MM-dd HH:mm"
 
 
@@ -63,13 +65,17 @@ def next_watermark(started: Column, complete: Column, retry_state_known: Column,
 
 
 def subtree(pages: DataFrame, root: object, max_depth: int = 20) -> DataFrame:
-    """(id, parent_id, depth) of what is below a page, by a recursive query bounded in depth; the least depth of each."""
-    view = f"pages_{abs(hash((id(pages), str(root))))}"
-    pages.select("id", "parent_id").createOrReplaceTempView(view)
-    spark = pages.sparkSession
-    found = spark.sql(
-        f"WITH RECURSIVE t(id, parent_id, depth) AS (SELECT id, parent_id, 1 FROM {view} WHERE parent_id = :root "
-        f"UNION ALL SELECT p.id, p.parent_id, t.depth + 1 FROM {view} p JOIN t ON p.parent_id = t.id WHERE t.depth < {int(max_depth)}) SELECT * FROM t",
-        args={"root": root},
-    )
-    return found.groupBy("id").agg(F.min_by("parent_id", "depth").alias("parent_id"), F.min("depth").alias("depth"))
+    """(id, parent_id, depth) of what is below a page, with the least depth of each and the smallest parent there.
+
+    Level by level: only pages not seen before go on, so a page with several
+    parents is walked once and a cycle ends, however many pages there are.
+    """
+    edges = pages.select("id", "parent_id").where(F.col("id") != F.lit(root))
+    front = checkpointed(edges.where(F.col("parent_id") == F.lit(root)).select("id", "parent_id").distinct().groupBy("id").agg(F.min("parent_id").alias("parent_id")).withColumn("depth", F.lit(1)))
+    seen, depth = front, 1
+    while depth < max_depth and not front.isEmpty():
+        depth += 1
+        below = edges.join(front.select(F.col("id").alias("parent_id")), "parent_id").groupBy("id").agg(F.min("parent_id").alias("parent_id"))
+        front = checkpointed(below.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.union(front)
+    return seen.select("id", "parent_id", "depth")

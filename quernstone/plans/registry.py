@@ -658,28 +658,11 @@ def char_windows(spark, d):
     return chunking.windows(table(spark, d, "documents"), "doc_id", "text", 500, 100)
 
 
-@query("exp18_links", "SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*?\\bhref=\"([^\"]*)\"', 1) AS links FROM pages")
-def links(spark, d):
-    return table(spark, d, "pages").select("page_id", parsing.links(F.col("html")).alias("links"))
-
-
-@query("exp16_headings", "SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))) AS titles, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
-def headings(spark, d):
-    html = F.col("html")
-    return table(spark, d, "pages").select("page_id", F.transform(F.filter(parsing.headings(html), lambda x: x["level"] == 1), lambda x: x["title"]).alias("titles"), parsing.page_title(html).alias("title"))
-
-
 @query("exp22_visible_text", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
 def visible_text(spark, d):
     return table(spark, d, "pages").select("page_id", parsing.visible_text(F.col("html")).alias("text"))
 
 
-@query("exp01_markdown_chunks")
-def markdown_chunks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n## Part\n\n"))).alias("text"))
-    return chunking.markdown_chunks(docs, "doc_id", "text")
-
-
 # ---------------------------------------------------------------- lookups, listings, maintenance
 
 
@@ -812,49 +795,6 @@ def assembled_context(spark, d):
 # ---------------------------------------------------------------- extraction
 
 
-@query("exp26_code_symbols", "SELECT 'src/' || p_partkey || '.py' AS path, 'method' AS kind, 'C' || p_size || '.run' AS name, 'def run(self, n)' AS signature, 2 AS line FROM part UNION ALL SELECT 'src/' || p_partkey || '.py', 'function', 'main', 'def main()', 4 FROM part")
-def code_symbols(spark, d):
-    return parsing.code_symbols(_sources(spark, d), "path", "content")
-
-
-def _sources(spark, d):
-    body = F.concat(F.lit("class C"), F.col("p_size").cast("string"), F.lit(":\n    def run(self, n):\n        return n\ndef main(): pass\n"))
-    return table(spark, d, "part").select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
-
-
-@query("grf05_code_relations", "SELECT 'src/' || p_partkey || '.py' AS path, 'src/' || p_partkey || '.py::C' || p_size AS source, 'src/' || p_partkey || '.py::C' || p_size || '.run' AS target, 'contains' AS relation_type FROM part UNION ALL SELECT 'src/' || p_partkey || '.py', 'src/' || p_partkey || '.py', 'src/' || p_partkey || '.py::main', 'contains' FROM part")
-def code_relations(spark, d):
-    from ..operators import extraction
-
-    return extraction.code_relations(parsing.code_symbols(_sources(spark, d), "path", "content"), "path")
-
-
-@query("grf03_body_relations", """
-SELECT p_partkey, p_name AS source, 'GET /v1/parts/' || p_size AS target, 'api' AS entity_type, 'documents' AS relation_type FROM part
-UNION ALL SELECT p_partkey, p_name, 'AB-' || p_size, 'ticket', 'mentions' FROM part
-""")
-def body_relations(spark, d):
-    from ..operators import extraction
-
-    size = F.col("p_size").cast("string")
-    text = F.concat(F.lit("call GET /v1/parts/"), size, F.lit(", see AB-"), size, F.lit(" and AB-"), size, F.lit("."))
-    return extraction.body_relations(table(spark, d, "part").withColumn("body", text), "p_partkey", "p_name", "body")
-
-
-@query("flt15_hangul_leak", "SELECT p_partkey, p_size % 2 = 0 AS leaks FROM part")
-def hangul_leak(spark, d):
-    question = F.when(F.col("p_size") % 2 == 0, "결제한도서비스란 무엇인가").otherwise("서비스란 무엇인가")
-    return table(spark, d, "part").select("p_partkey", goldset.hangul_leak(question, F.lit("결제한도서비스는 중요하다")).alias("leaks"))
-
-
-@query("exp08_extraction_units")
-def extraction_units(spark, d):
-    from ..operators import units
-
-    text = F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n## Part\n")))
-    return units.extraction_units(table(spark, d, "documents").select("doc_id", "source", text.alias("text")), "doc_id", "source", "text")
-
-
 _PRINT = """
 WITH h AS (SELECT sha256({row}) AS h FROM {table}),
 b AS (SELECT ('0x' || substr(h, 1, 8))::BIGINT % 1024 AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1)
@@ -924,4 +864,4 @@ def merged_sections(spark, d):
     return table(spark, d, "documents").groupBy("source", F.lower("lang").alias("term")).agg(F.min("doc_id").alias("first_doc"))
 
 
-from . import scalars  # noqa: E402, F401
+from . import scalars, texts  # noqa: E402, F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,13 @@ from pyspark.sql import DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to ``spark.checkpoint.dir``, so that plans of loops stay short and survive lost executors.
 
-    Where the session names no folder (tests on one machine) a temporary one is set.
+    Where the session names no folder and runs on one machine, as in tests, a
+    temporary one is set; a cluster without one is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quernstone-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="quernstone-"))
     return df.checkpoint()

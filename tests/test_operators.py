@@ -93,24 +93,28 @@ def test_sync(spark):
     assert {r.id: r.reason for r in plan} == {1: "new", 2: "changed", 3: "retry", 4: "removed"}
     pages = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 9)], "id int, parent_id int")
     assert {r.id: r.depth for r in sync.subtree(pages, 0).collect()} == {1: 1, 2: 2, 3: 3}
+    looped = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 2), (4, 3), (1, 4), (0, 4)], "id int, parent_id int")
+    assert sorted((r.id, r.parent_id, r.depth) for r in sync.subtree(looped, 0).collect()) == [(1, 0, 1), (2, 1, 2), (3, 1, 2), (4, 2, 3)]
+    assert sync.subtree(looped, 99).collect() == []
 
 
 def test_chunks():
     text = "# Project\nintro\n## Architecture\nx\n### Backend\ny\n## Deployment\n```\n# no heading\n```"
-    assert [" > ".join(p) for p, _ in chunking.sections(text)] == ["Project", "Project > Architecture", "Project > Architecture > Backend", "Project > Deployment"]
-    assert chunking.blocks("a\nb\n\n| x |\n|---|\nc\n```\nd\n\ne\n```") == [("a\nb", False), ("| x |\n|---|", True), ("c", False), ("```\nd\n\ne\n```", True)]
+    assert [" > ".join(x.path) for x in chunking.sections(text)] == ["Project", "Project > Architecture", "Project > Architecture > Backend", "Project > Deployment", "no heading"]
+    assert chunking.blocks("a\nb\n\n| x | y |\n|---|---|\nc\n```\nd\n\ne\n```") == [("a\nb", False), ("| x | y |\n|---|---|", True), ("c", False), ("```\nd\n\ne\n```", True)]
     out = chunking.packed([("a" * 100, False)], 30, 10)
-    assert all(len(x) <= 30 for x in out) and out[0] == "a" * 30
+    assert [c.tokens for c in out] == [30, 30, 30, 30, 20] and out[0].content == "a" * 30
     with pytest.raises(ValueError):
         chunking.packed([], 10, 10)
 
 
 def test_parsers():
     source = "import os\nfrom .a import b\nclass C:\n    def run(self, x): pass\ndef helper(): pass\n"
-    symbols, imports = parsing.python_symbols(source)
-    assert [(k, n) for k, n, _, _ in symbols] == [("method", "C.run"), ("function", "helper")] and imports == ["os", ".a"]
-    assert parsing.python_symbols("def (") == ([], [])
-    assert [(k, n) for k, n, _, _ in parsing.brace_symbols("export class A {\n}\nfunc (s *S) Run(x int) {\n}\n")] == [("class", "A"), ("function", "Run")]
+    code = parsing.python_code(source)
+    assert [(x.kind, x.parent, x.name) for x in code.symbols] == [("method", "C", "run"), ("function", "", "helper")] and code.imports == ["os", "a"]
+    assert [x.kind for x in parsing.file_code("def (", "x.py").symbols] == ["module"]
+    assert [(x.kind, x.name) for x in parsing.brace_symbols("export class A {\n}\n", "typescript")] == [("class", "A")]
+    assert [(x.kind, x.parent, x.name) for x in parsing.brace_symbols("func (s *S) Run(x int) {\n}\n", "go")] == [("method", "S", "Run")]
 
 
 def test_gates(spark):
