@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import Store, ranked
+from ._common import Store, join_hot, ranked
 
 MIN_WORDS = 50
 
@@ -54,13 +54,13 @@ def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     return forward.union(backward).distinct()
 
 
-def repeated_stretches(lines: DataFrame, min_words: int) -> DataFrame:
+def repeated_stretches(store: Store, lines: DataFrame, min_words: int) -> DataFrame:
     """The lines that can be in a repeated run: maximal stretches of lines that all occur twice, with enough words."""
-    twice = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = store.put(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "twice")
     in_order = W.partitionBy("uid").orderBy("pos")
     stretch = W.partitionBy("uid", "g")
     before = stretch.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    rows = lines.join(twice, ["h1", "h2"]).withColumn("g", F.col("pos") - F.row_number().over(in_order))
+    rows = join_hot(lines, twice, ["h1", "h2"], "n").withColumn("g", F.col("pos") - F.row_number().over(in_order))
     rows = rows.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumn("_all", F.sum("words").over(stretch))
     return rows.where(F.col("_all") >= min_words).drop("_all")
 
@@ -71,7 +71,7 @@ def later_copies(store: Store, rows: DataFrame, min_words: int) -> DataFrame:
     longest = runs.agg(F.max("len")).first()[0] or 0
     named, depth = None, 1
     first = ranked(store, rows.groupBy("h1", "h2").agg(F.count("*").alias("n")), [F.col("h1"), F.col("h2")], "rank-1", F.col("n"), "r")
-    ranks = store.put(rows.join(first, ["h1", "h2"]).select("uid", "pos", "r"), "suffixes-1") if longest else None
+    ranks = store.put(join_hot(rows, first, ["h1", "h2"], "n").select("uid", "pos", "r"), "suffixes-1") if longest else None
     while depth <= longest:
         here = runs.where((F.col("len") >= depth) & (F.col("len") < 2 * depth))
         at = ranks.select("uid", F.col("pos").alias("s"), F.col("r").alias("r1"))
@@ -86,14 +86,14 @@ def later_copies(store: Store, rows: DataFrame, min_words: int) -> DataFrame:
         twice = pairs.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1")
         depth *= 2
         order = ranked(store, twice, [F.col("r1"), F.col("r2")], f"rank-{depth}", F.col("n"), "r")
-        ranks = store.put(pairs.join(order, ["r1", "r2"]).select("uid", "pos", "r"), f"suffixes-{depth}")
+        ranks = store.put(join_hot(pairs, order, ["r1", "r2"], "n").select("uid", "pos", "r"), f"suffixes-{depth}")
         store.drop(f"pairs-{depth // 2}", f"rank-{depth}")
     if named is None:
         return runs.select("uid", "s", "len")
     place = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("uid").alias("uid"), F.col("s").alias("s"))
     interval = ["len", "r1", "r2"]
-    earliest = named.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = named.join(earliest, interval).where((F.col("uid") != F.col("first.uid")) | (F.col("s") != F.col("first.s")))
+    earliest = named.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = join_hot(named, store.put(earliest, "earliest"), interval, "n").where((F.col("uid") != F.col("first.uid")) | (F.col("s") != F.col("first.s")))
     return copies.select("uid", "s", "len")
 
 
@@ -122,9 +122,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col("_doc")[text_col]
     split = base.where(text.isNotNull()).select(F.col("_uid").alias("uid"), F.col("_doc")[id_col].alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     lines = store.put(split.select("uid", "id", F.col("pos").cast("long").alias("pos"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), words_of(F.col("line")).alias("words")), "lines")
-    rows = store.put(repeated_stretches(lines, min_words), "rows")
+    rows = store.put(repeated_stretches(store, lines, min_words), "rows")
     deleted = store.put(merged(later_copies(store, rows, min_words)).select(F.col("uid").alias("_uid"), "deleted"), "deleted")
-    store.drop("lines", "rows", "runs", *(f"{t}-{1 << k}" for k in range(40) for t in ("named", "suffixes", "rank")))
+    store.drop("lines", "rows", "runs", "twice", "earliest", *(f"{t}-{1 << k}" for k in range(40) for t in ("named", "suffixes", "rank")))
     store.release()
     parts = F.split(text, "\n")
     gone = lambda x, i: F.exists("deleted", lambda d: (i >= d["first"]) & (i <= d["last"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 GROUP_BYTES = 1 << 20
@@ -10,6 +12,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _WORD = np.zeros(256, bool)
 _WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = True
+#: Spaces, punctuation and signs beyond ASCII, and scripts that put no spaces between words.
+_BREAKS = re.compile("[\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b9\u00bb-\u00bf\u1680\u2000-\u206f\u2190-\u2bff\u3000-\u303f\ufe30-\ufe4f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -27,14 +32,21 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def spaced(text: str) -> str:
+    """The text in lower case with spaces for breaks beyond ASCII and around each letter of a script without spaces."""
+    text = text.lower()
+    return text if text.isascii() else _UNSPACED.sub(r" \g<0> ", _BREAKS.sub(" ", text))
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, number of the text) of every word, in order.
 
-    A word is a run of ASCII letters and digits and of characters beyond ASCII, in
-    lower case.  Hashes are differences of running sums of bytes times powers.
+    A word is a run of ASCII letters and digits and of characters beyond ASCII that are
+    no spaces or punctuation, in lower case; in scripts that put no spaces between
+    words each letter is one.  Hashes are differences of running sums of bytes times powers.
     """
     hashes, owners, group, first, size = [], [], [], 0, 0
-    raws = [t.lower().encode() for t in texts]
+    raws = [spaced(t).encode() for t in texts]
 
     def flush() -> None:
         data = np.frombuffer(b"\0" + b"\0".join(group) + b"\0", np.uint8)
