@@ -41,7 +41,7 @@ def test_relations(spark):
     docs = spark.createDataFrame([(1, "Pay", "see GET /v1/pay, AB-1 and ab AB-1, **Key Term**")], "id int, title string, text string")
     got = {(r.target, r.entity_type, r.relation_type) for r in extraction.body_relations(docs, "id", "title", "text", bold=True).collect()}
     assert got == {("GET /v1/pay", "api", "documents"), ("AB-1", "ticket", "mentions_ticket"), ("Key Term", "concept", "mentions")}
-    links = spark.createDataFrame([(1, "P", 0, "page", "Home", None), (1, "P", 1, "page", "HOME", None), (1, "P", 2, "page", " ", "77"), (1, "P", 3, "url", "x", None), (1, "P", 4, "user", "kim", None)], "id int, source string, ordinal int, kind string, target string, target_id string")
+    links = spark.createDataFrame([(1, "P", 0, "page", "Home", None), (1, "P", 1, "page", "HOME", None), (1, "P", 2, "page", " ", "77"), (1, "P", 3, "url", "x", None), (1, "P", 4, "user", None, "kim")], "id int, source string, ordinal int, kind string, target string, target_id string")
     assert {(r.target, r.relation_type) for r in extraction.link_relations(links, "id").collect()} == {("Home", "references"), ("page:77", "references"), ("kim", "mentions_user")}
 
 
