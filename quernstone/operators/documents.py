@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +97,15 @@ def subgroup(source_type: Column, url: Column, author: Column, space: Column) ->
     known = lambda c: F.when(c != "", c)
     code = F.coalesce(known(repo_label(url)), known(author), F.lit("(저장소 미상)"))
     return F.when(source_type.isin(*CODE_SOURCES), code).when(source_type.isin(*PAGE_SOURCES), F.coalesce(known(space), F.lit("(스페이스 미상)")))
+
+
+def sheet(rows: DataFrame) -> DataFrame:
+    """The rows as text for a sheet: lists with commas, nulls empty."""
+    kind = dict(rows.dtypes)
+    return rows.select(*(F.coalesce(F.array_join(F.col(c).cast("array<string>"), ",") if kind[c].startswith("array") else F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns))
+
+
+def embedded_once(rows: DataFrame, text: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows with what ``embed`` adds to their texts, each different text being sent once; blank texts are left out."""
+    asked = rows.where(F.trim(text) != "")
+    return asked.join(embed(asked.select(text).distinct()), text)

@@ -48,6 +48,16 @@ def merge_entities(mentions: DataFrame) -> DataFrame:
     )
 
 
+def merge_log(mentions: DataFrame) -> DataFrame:
+    """The mentions with their key and ``merge_method``: new for the first of a node, exact if spelt as that one, else normalized."""
+    norm = normalized_name(F.col("entity_name"))
+    rows = mentions.withColumn("entity_type", canonical(F.col("entity_type"), ENTITY_ALIASES)).withColumn("normalized_name", F.when(norm == "", F.col("entity_name")).otherwise(norm))
+    first = rows.groupBy("normalized_name", "entity_type").agg(F.min(F.struct("document_id", "ordinal", "entity_name")).alias("_first"))
+    at = (F.col("document_id") == F.col("_first.document_id")) & (F.col("ordinal") == F.col("_first.ordinal"))
+    method = F.when(at, "new").when(F.col("entity_name") == F.col("_first.entity_name"), "exact").otherwise("normalized")
+    return rows.join(first, ["normalized_name", "entity_type"]).withColumn("merge_method", method).drop("_first")
+
+
 def merge_groups(mentions: DataFrame, min_variants: int = 2) -> DataFrame:
     """Nodes with several spellings or documents, most first."""
     return merge_entities(mentions).where(F.greatest("n_variants", "n_documents") >= min_variants)

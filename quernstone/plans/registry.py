@@ -162,12 +162,6 @@ def cascade(spark, d):
     return documents.cascade(gone, {"items": (table(spark, d, "lineitem"), "l_orderkey")})["items"].select("l_orderkey", "l_linenumber")
 
 
-@query("join04_lineage", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 10")
-def lineage(spark, d):
-    parts = table(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return table(spark, d, "lineitem").join(parts, "l_partkey").select("l_orderkey", "l_linenumber", "p_name")
-
-
 @query("flt12_pending", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 0 ELSE 1 END AS turn FROM orders WHERE o_orderstatus IN ('O', 'P')")
 def pending(spark, d):
     return table(spark, d, "orders").where(F.col("o_orderstatus").isin("O", "P")).select("o_orderkey", F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("turn"))
@@ -178,12 +172,6 @@ def storage_method(spark, d):
     return table(spark, d, "documents").select("doc_id", documents.storage_method(F.col("n_chars") > 1000, F.col("doc_id") % 2 == 0).alias("method"))
 
 
-@query("join07_unlabelled", "SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL OR toxic = 1")
-def unlabelled(spark, d):
-    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").withColumn("_l", F.lit(1)), "doc_id", "left")
-    return rows.where("_l is null or toxic = 1").select("doc_id", "quality", "toxic")
-
-
 # ---------------------------------------------------------------- text functions
 
 
@@ -666,21 +654,6 @@ def visible_text(spark, d):
 # ---------------------------------------------------------------- lookups, listings, maintenance
 
 
-@query("src02_document", "SELECT doc_id, lang, source FROM documents WHERE doc_id = 17")
-def document(spark, d):
-    return table(spark, d, "documents").where("doc_id = 17").select("doc_id", "lang", "source")
-
-
-@query("src04_chunks_of_document", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 ORDER BY turn")
-def chunks_of_document(spark, d):
-    return table(spark, d, "conversations").where("conv_id = 3").orderBy("turn").select("conv_id", "turn", "role")
-
-
-@query("src07_links_by_node", "SELECT l_suppkey AS node_id, list_sort(list(DISTINCT l_partkey)) AS document_ids FROM lineitem WHERE l_suppkey % 10 = 1 GROUP BY l_suppkey")
-def links_by_node(spark, d):
-    return table(spark, d, "lineitem").where("l_suppkey % 10 = 1").groupBy(F.col("l_suppkey").alias("node_id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("document_ids"))
-
-
 @query("src12_changed_files", """
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'created' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change_type
 FROM (SELECT p_partkey AS id, p_size AS h FROM part WHERE p_partkey % 10 <> 0) a FULL JOIN (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN p_size + 1 ELSE p_size END AS h FROM part WHERE p_partkey % 8 <> 0) b ON a.id = b.id
@@ -692,21 +665,6 @@ def changed_files(spark, d):
     return documents.detect_changes(parts.where("id % 10 <> 0"), now, ["id"]).where("change_type <> 'unchanged'").select("id", "change_type")
 
 
-@query("src15_modified_since", "SELECT event_id FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-20 00:00:00'")
-def modified_since(spark, d):
-    return table(spark, d, "events").where("event_type = 'view' and ts >= timestamp'2024-01-20 00:00:00'").select("event_id")
-
-
-@query("src28_counts", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
-def counts(spark, d):
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
-
-
-@query("src39_membership", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 7")
-def membership(spark, d):
-    return table(spark, d, "lineitem").where("l_suppkey = 7").select("l_partkey").distinct()
-
-
 @query("top05_newest_first", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
 def newest_first(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(100).select("o_orderkey", "o_orderdate")
@@ -722,14 +680,6 @@ def graph_cleanup(spark, d):
     return documents.orphans(links, "document_id", "node_id", F.col("document_id").isin(3, 5)).select("node_id")
 
 
-@query("snk26_replace_retries", """
-SELECT user_id AS target_id, event_type AS page_id, arg_max(event_id, ts * INTERVAL '0' SECOND + ts) AS last_event FROM events GROUP BY 1, 2
-""".replace("ts * INTERVAL '0' SECOND + ts", "(ts, event_id)"))
-def replace_retries(spark, d):
-    """One retry a page of each target: the last row wins."""
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("target_id"), F.col("event_type").alias("page_id")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
-
-
 @query("flt33_failed_rows", "SELECT event_type, count(*) AS n, count(value) AS n_ok, round((count(*) - count(value)) / count(*)::DOUBLE, 6) AS failure_rate, round(avg(value), 6) AS mean FROM (SELECT event_type, CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END AS value FROM events) GROUP BY event_type")
 def failed_rows(spark, d):
     value = F.when(F.col("event_id") % 13 != 0, F.col("value"))
@@ -864,4 +814,4 @@ def merged_sections(spark, d):
     return table(spark, d, "documents").groupBy("source", F.lower("lang").alias("term")).agg(F.min("doc_id").alias("first_doc"))
 
 
-from . import scalars, texts  # noqa: E402, F401
+from . import scalars, storage, texts  # noqa: E402, F401
