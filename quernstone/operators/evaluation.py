@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
 from ..functions import ranking as R
+from ..sources.shared import checkpointed
 
 
 def measures(results: DataFrame, retrieved: str, relevant: str, k: int) -> DataFrame:
@@ -47,12 +48,17 @@ def hit_changes(baseline: DataFrame, treatment: DataFrame, key: str) -> DataFram
 def signed_ranks(diffs: DataFrame, by: list[str]) -> DataFrame:
     """by, n, w_plus and z of the signed-rank statistic: zeros left out, mean ranks for ties, no correction for them.
 
-    Equal sizes are counted first, so ranks come from running sums over the
-    distinct sizes of a group, not over its rows.
+    Equal sizes are counted first; ranks come from running sums within range
+    partitions of the sizes and the sums of those before, so no group is sorted by one task.
     """
     sizes = diffs.where("diff <> 0").groupBy(*by, F.abs("diff").alias("size")).agg(F.count("*").alias("n"), F.sum((F.col("diff") > 0).cast("long")).alias("up"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = sizes.withColumn("rank", before + (F.col("n") + 1) / 2)
+    parts = max(1, int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = W.partitionBy(*by, "_p")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    local = checkpointed(sizes.repartitionByRange(parts, *by, "size").withColumn("_p", F.spark_partition_id()).withColumn("_here", zero(F.sum("n").over(own.orderBy("size").rowsBetween(W.unboundedPreceding, -1)))))
+    totals = local.groupBy(*by, "_p").agg(F.sum("n").alias("_c"))
+    offsets = totals.select(*by, "_p", zero(F.sum("_c").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1))).alias("_before"))
+    ranked = local.join(offsets, [*by, "_p"]).withColumn("rank", F.col("_before") + F.col("_here") + (F.col("n") + 1) / 2)
     got = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"))
     n = F.col("n").cast("double")
     return got.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
@@ -134,13 +140,75 @@ def bootstrap_mean(values: DataFrame, by: list[str], resamples: int = 1000, alph
     return means.groupBy(*by).agg(at(F.lit(alpha / 2)).alias("low"), at(F.lit(1 - alpha / 2)).alias("high")).join(values.groupBy(*by).agg(F.avg("value").alias("mean"), F.count("value").alias("n")), by)
 
 
-def bootstrap_exact(values: list[float], resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> tuple[float, float, float]:
-    """(mean, low, high) of one bounded list by resampling with replacement."""
-    rng, n = random.Random(seed), len(values)
+def resampled(values: list[float], resamples: int = 1000, alpha: float = 0.05, seed: int = 42, effect: float = 0.0) -> dict[str, float]:
+    """Mean, deviation, percentile interval of the mean, and how often it exceeds 0 and ``effect``, of one list by resampling with replacement."""
+    n = len(values)
     if not n:
-        return 0.0, 0.0, 0.0
+        return dict.fromkeys(("mean", "std", "low", "high", "p_improve", "p_effect", "cohen_d"), 0.0) | {"n": 0}
+    rng, mean = random.Random(seed), math.fsum(values) / n
     means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
-    return sum(values) / n, means[int(alpha / 2 * resamples)], means[min(int((1 - alpha / 2) * resamples), resamples - 1)]
+    std = math.sqrt(math.fsum((x - mean) ** 2 for x in values) / (n - 1)) if n > 1 else 0.0
+    low, high = max(0, int(alpha / 2 * resamples)), min(resamples - 1, int((1 - alpha / 2) * resamples))
+    above = lambda x: sum(m > x for m in means) / resamples
+    return {"mean": mean, "std": std, "low": means[low], "high": means[high], "p_improve": above(0.0), "p_effect": above(effect), "cohen_d": mean / std if std > 0 else 0.0, "n": n}
+
+
+STATISTICS = "n long, mean double, std double, low double, high double, p_improve double, p_effect double, cohen_d double"
+
+
+def bootstrap(values: DataFrame, by: list[str], order: str, resamples: int = 1000, alpha: float = 0.05, seed: int = 42, effect: float = 0.0) -> DataFrame:
+    """by and the columns of ``STATISTICS`` of each group, whose values are resampled in the order of ``order``.
+
+    A group is the results of one evaluation set, thousands of values at most;
+    ``bootstrap_mean`` takes groups of any size.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = resampled(group.sort_values(order)["value"].astype(float).tolist(), resamples, alpha, seed, effect)
+        return pd.DataFrame([{b: group[b].iloc[0] for b in by} | found])[[*by, *(c.split()[0] for c in STATISTICS.split(", "))]]
+
+    names = ", ".join(f"`{b}` {values.schema[b].dataType.simpleString()}" for b in by)
+    return values.where("value is not null").select(*by, order, "value").groupBy(*by).applyInPandas(run, f"{names}, {STATISTICS}")
+
+
+def compared(baseline: DataFrame, treatment: DataFrame, key: str, settings: tuple[DataFrame, DataFrame] | None = None, effect: float = 0.0) -> DataFrame:
+    """metric, the statistics of the paired differences and the p of their signed ranks; no rows if the runs' settings differ."""
+    diffs = paired(baseline, treatment, key)
+    if settings is not None and not differing(*settings).isEmpty():
+        diffs = diffs.limit(0)
+    found = bootstrap(diffs.withColumnRenamed("diff", "value"), ["metric"], key, effect=effect)
+    return found.join(signed_rank_test(diffs, ["metric"]).select("metric", "p"), "metric")
+
+
+def means_by_mode(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """mode, n, how many failed, the share of these, and the mean of each metric over the rows that have it."""
+    failed = F.sum(F.coalesce(F.col("failed"), F.lit(False)).cast("int"))
+    return rows.groupBy("mode").agg(F.count("*").alias("n"), failed.alias("n_failed"), (failed / F.count("*")).alias("failure_rate"), *(F.avg(m).alias(m) for m in metrics))
+
+
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """The row of the sweep with the greatest f1, of equal ones that with the least threshold."""
+    return sweep.orderBy(F.desc("f1"), "threshold").limit(1)
+
+
+def inconsistent(settings: DataFrame) -> DataFrame:
+    """(key, n): settings (run, key, value) that have several values over the runs."""
+    return settings.groupBy("key").agg(F.count_distinct(F.coalesce("value", F.lit("\x00"))).alias("n")).where("n > 1")
+
+
+def judged(samples: DataFrame, by: list[str]) -> DataFrame:
+    """by, median (the mean of two middle scores rounded half to even), mean, std, least, greatest and number of scores of 0 or more; -1 if there is none."""
+    good = F.when(F.col("score") >= 0, F.col("score"))
+    scores = F.array_sort(F.collect_list(good))
+    n = F.size(scores)
+    middle = lambda k: F.get(scores, k.cast("int")).cast("double")
+    half = F.floor(n / 2)
+    median = F.when(n == 0, -1).when(n % 2 == 1, middle(half)).otherwise(F.bround((middle(half - 1) + middle(half)) / 2, 0)).cast("int")
+    spread = lambda c: F.when(n > 1, c)
+    return samples.groupBy(*by).agg(
+        median.alias("median"), n.alias("n"), (F.count("*") - F.count(good)).alias("n_failed"), spread(F.avg(good)).alias("mean"), spread(F.stddev_samp(good)).alias("std"),
+        spread(F.min(good)).cast("double").alias("least"), spread(F.max(good)).cast("double").alias("greatest"),
+    )
 
 
 def threshold_sweep(pairs: DataFrame, score: str, positive: Column, thresholds: list[float]) -> DataFrame:
@@ -161,3 +229,40 @@ def threshold_sweep(pairs: DataFrame, score: str, positive: Column, thresholds:
 def median_score(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median by group, the mean of two middle values rounded half to even."""
     return values.groupBy(*by).agg(F.bround(F.median(value), 0).cast("long").alias("median"), F.count("*").alias("n"))
+
+
+def _placed(retrieved: Column, group: Column) -> Column:
+    """The member of a group that was retrieved first, or else the smallest."""
+    present = F.filter(retrieved, lambda d: F.array_contains(group, d))
+    return F.coalesce(F.get(present, F.lit(0)), F.array_min(group))
+
+
+def representatives(retrieved: Column, groups: Column) -> Column:
+    """The documents that stand for groups of equivalent ones, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(groups, lambda g: _placed(retrieved, g))))
+
+
+def reduced(retrieved: Column, groups: Column) -> Column:
+    """The retrieved documents with members of a group as the one that stands for it, at its first place only."""
+    of = lambda d: F.filter(groups, lambda g: F.array_contains(g, d))
+    named = F.transform(retrieved, lambda d: F.coalesce(F.get(F.transform(F.slice(F.reverse(of(d)), 1, 1), lambda g: _placed(retrieved, g)), F.lit(0)), d))
+    grouped = F.flatten(groups)
+    return F.filter(named, lambda d, i: ~F.array_contains(grouped, d) | (F.array_position(named, d) == i + 1))
+
+
+def colliding_roles(roles: DataFrame) -> DataFrame:
+    """(left, right): roles that have the same model at the same place."""
+    other = roles.select(F.col("role").alias("right"), "endpoint", "model")
+    return roles.select(F.col("role").alias("left"), "endpoint", "model").join(other, ["endpoint", "model"]).where("left < right").select("left", "right")
+
+
+def configured_roles(roles: DataFrame, system: str = "system") -> DataFrame:
+    """(role, configured): whether each role has a model of its own, not the system's."""
+    own = roles.where(F.col("role") == system).select("endpoint", "model", F.lit(True).alias("_same"))
+    return roles.where(F.col("role") != system).join(own, ["endpoint", "model"], "left").select("role", F.col("_same").isNull().alias("configured"))
+
+
+def canonical_row(*columns: Column) -> Column:
+    """Values as a JSON list without spare space; nulls are null."""
+    text = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(""))
+    return F.concat(F.lit("["), F.concat_ws(",", *(F.when(c.isNull(), "null").otherwise(text(c)) for c in columns)), F.lit("]"))

@@ -109,3 +109,66 @@ def frequent_stems(docs: DataFrame, text: str, least: int = 5, most: int = 500)
     """(stem, n) of Hangul stems that occur at least ``least`` times, the ``most`` most frequent."""
     stems = docs.select(F.explode(all_stems(F.col(text))).alias("stem"))
     return stems.groupBy("stem").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(most)
+
+
+def question_fault(question: Column, source: Column, answerable: Column, unique_source: Column, generic: Column, stop: list[str] | None = None) -> Column:
+    """Why a question is no good, null if it is: the first of the gates that it fails, a judge's answer that cannot be read being one."""
+    return (
+        F.when(answerable.isNull(), "parse_error").when(~answerable, "not_answerable").when(identifier_leak(question, source), "leakage").when(hangul_leak(question, source, stop), "korean_leakage")
+        .when(points_at_text(question), "demonstrative").when(unique_source.isNull(), "parse_error").when(~unique_source, "non_unique_source").when(F.coalesce(generic, F.lit(False)), "generic")
+    )
+
+
+def kept(reason: Column, equivalents: Column) -> Column:
+    """Whether a question stays: it passed, or only its source is not unique and others with the answer are known."""
+    return reason.isNull() | ((reason == "non_unique_source") & (F.size(equivalents) > 0))
+
+
+def gated_units(units: DataFrame, doc: str, order: str, least: int = 200, most: int | None = None) -> DataFrame:
+    """Units for a model: long enough, first parts only, at most so many of a document."""
+    rows = units.where((F.col("tokens") >= least) & ((F.col("parts") <= 1) | (F.col("part") == 0)))
+    return rows if most is None else rows.withColumn("_n", F.row_number().over(W.partitionBy(doc).orderBy(order))).where(F.col("_n") <= most).drop("_n")
+
+
+def merged_questions(rows: DataFrame, doc: str, order: list[str], text: str, most: int = 50) -> DataFrame:
+    """Questions of four characters or more, the first of each of a document whatever its case, at most so many of a document."""
+    asked = rows.withColumn("question", F.trim(text)).where(F.length("question") >= 4)
+    first = asked.groupBy(doc, F.lower("question").alias("_q")).agg(F.min(F.struct(*order, "question")).alias("m")).select(doc, "m.*")
+    return first.withColumn("_n", F.row_number().over(W.partitionBy(doc).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+
+
+def batches(rows: DataFrame, doc: str, order: str, cost: str, budget: int) -> DataFrame:
+    """Adds ``batch``: sections in order, a new one where the next would not fit; what is too large alone is a batch of its own.
+
+    A fold over each document's (order, cost) pairs.
+    """
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c"))))
+    zero = F.struct(F.lit(-1).alias("b"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        fresh = (a["b"] < 0) | (x["c"] > budget) | (a["used"] + x["c"] > budget)
+        batch = F.when(fresh, a["b"] + 1).otherwise(a["b"])
+        used = F.when(x["c"] > budget, F.lit(budget + 1).cast("long")).when(fresh, x["c"]).otherwise(a["used"] + x["c"])
+        return F.struct(batch.alias("b"), used.alias("used"), F.concat(a["out"], F.array(batch)).alias("out"))
+
+    folded = rows.groupBy(doc).agg(items.alias("_i")).select(doc, F.explode(F.arrays_zip(F.transform("_i", lambda x: x["o"]).alias("o"), F.aggregate("_i", zero, step)["out"].alias("b"))).alias("z"))
+    return rows.join(folded.select(doc, F.col("z.o").alias(order), F.col("z.b").alias("batch")), [doc, order])
+
+
+def equivalent_candidates(found: DataFrame, doc: str, similarity: str, order: list[str], source: object, most: int = 3, least: float = 0.6) -> DataFrame:
+    """The best row of each document but the source's own that is similar enough, the most similar documents first."""
+    rows = found.where(F.col(doc).isNotNull() & (F.col(doc) != F.lit(source)) & (F.col(similarity) >= least))
+    best = rows.withColumn("_n", F.row_number().over(W.partitionBy(doc).orderBy(F.desc(similarity), *order))).where("_n = 1").drop("_n")
+    return best.orderBy(F.desc(similarity), doc).limit(most)
+
+
+def graph_items(rows: DataFrame) -> DataFrame:
+    """Gold items of graph questions: the documents of an entity, as one group if they are several, and what names and explains it without giving the source away."""
+    docs = F.array_sort(F.array_distinct("docs"))
+    none = F.array().cast("array<array<bigint>>")
+    return rows.select("query", "name", docs.alias("relevant_doc_ids"), F.when(F.size(docs) > 1, F.array(docs)).otherwise(none).alias("groups"), sound_aliases(F.col("aliases"), F.col("name"), F.col("source")).alias("aliases"), sound_evidence(F.col("evidence"), F.col("source")).alias("evidence"))
+
+
+def cross_document_items(rows: DataFrame) -> DataFrame:
+    """Gold items of questions over two documents, each of which is a group of its own."""
+    return rows.select("query", F.array_sort(F.array_distinct(F.array("src", "dst"))).alias("relevant_doc_ids"), F.array(F.array("src"), F.array("dst")).alias("groups"))

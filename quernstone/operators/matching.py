@@ -2,53 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import vectors as V
 from ..functions.text import alnum_name, match_name
 
 THRESHOLD = 0.65
 NORMALIZED_SCORE = 0.9
-TIERS = ("exact", "alias", "normalized", "embedding")
+TIERS = ("exact", "alias", "normalize", "embedding")
 
 
-def tiered(expected: DataFrame, retrieved: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(query_id, gold, tier, name, score): the best match of each expected entity, none if it has none.
+def _low(name: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(name, F.lit(""))))
+
+
+def _best(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """The best of the scored candidates of each key: the first tier, then the greatest score, then the first in rank."""
+    order = F.struct(F.col("_tier"), (-F.col("score")).alias("s"), F.col("rank"))
+    best = scored.where("_tier is not null").groupBy(*keys).agg(F.min_by(F.struct("_tier", "name", "rank", "score"), order).alias("_m"))
+    return best.select(*keys, F.get(F.array(*map(F.lit, TIERS)), F.col("_m._tier")).alias("tier"), "_m.name", F.col("_m.rank").alias("rank"), "_m.score")
+
+
+def tiered(expected: DataFrame, retrieved: DataFrame, threshold: float = THRESHOLD, strict: bool = False) -> DataFrame:
+    """(query_id, gold, tier, name, rank, score): the best match of each expected entity, tier none if it has none.
 
     Both sides have query_id; expected has (gold, type, aliases, vector), retrieved
     (name, type, vector, rank).  Name and type equal is exact, an alias equal to the
     name next, then equal normalised names of one type, then a cosine of at least
-    ``threshold`` whatever the types.  Several expected entities may match one
-    retrieved.  Lists are those of one query, so the join stays within it.
+    ``threshold`` whatever the types; ``strict`` has the first alone.  Several expected
+    entities may match one retrieved.  Lists are those of one query, so the join stays within it.
     """
     pair = expected.join(retrieved.select("query_id", "name", F.col("type").alias("_type"), F.col("vector").alias("_vector"), "rank"), "query_id")
-    same, low = F.col("type") == F.col("_type"), F.lower("name")
+    same, low = F.trim(F.coalesce("type", F.lit(""))) == F.trim(F.coalesce("_type", F.lit(""))), _low(F.col("name"))
     cosine = V.cosine(F.col("vector"), F.col("_vector"))
-    aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower)
-    tier = F.when((F.lower("gold") == low) & same, 0).when(F.array_contains(aliases, low) & same, 1).when((match_name(F.col("gold")) == match_name(F.col("name"))) & same, 2).when(cosine >= threshold, 3)
+    aliases = F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), _low), lambda a: a != "")
+    norm = match_name(F.col("gold"))
+    tier = F.when((_low(F.col("gold")) == low) & same, 0)
+    if not strict:
+        tier = tier.when(F.array_contains(aliases, low) & same, 1).when((norm != "") & (norm == match_name(F.col("name"))) & same, 2).when(cosine >= threshold, 3)
     score = F.when(tier < 2, 1.0).when(tier == 2, NORMALIZED_SCORE).otherwise(cosine)
-    scored = pair.withColumns({"_tier": tier, "score": score}).where("_tier is not null")
-    best = scored.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "gold").orderBy("_tier", F.desc("score"), "rank"))).where("_n = 1")
-    named = best.select("query_id", "gold", F.element_at(F.array(*map(F.lit, TIERS)), F.col("_tier") + 1).alias("tier"), "name", "score")
-    return expected.select("query_id", "gold").join(named, ["query_id", "gold"], "left").withColumns({"tier": F.coalesce("tier", F.lit("none")), "score": F.coalesce("score", F.lit(0.0))})
+    found = _best(pair.withColumns({"_tier": tier, "score": score}), ["query_id", "gold"])
+    return expected.select("query_id", "gold").join(found, ["query_id", "gold"], "left").withColumns({"tier": F.coalesce("tier", F.lit("none")), "score": F.coalesce("score", F.lit(0.0))})
 
 
-def tier_counts(matches: DataFrame) -> DataFrame:
-    return matches.groupBy("tier").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+def tiered_relations(expected: DataFrame, retrieved: DataFrame, threshold: float = THRESHOLD, strict: bool = False) -> DataFrame:
+    """(query_id, source, target, type, tier, rank, score): the best match of each expected relation.
 
+    Equal ends and type are exact; else, of relations between the same ends, that whose description is
+    nearest, if its cosine reaches ``threshold``.  Both sides have (query_id, source, target, type, vector),
+    retrieved a rank; an expected relation without a vector has exact matches only.
+    """
+    ends = lambda df: df.withColumns({"_s": _low(F.col("source")), "_t": _low(F.col("target"))})
+    kind = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    other = ends(retrieved).select("query_id", "_s", "_t", F.col("type").alias("_type"), F.col("vector").alias("_vector"), "rank", F.col("type").alias("name"))
+    pair = ends(expected).join(other, ["query_id", "_s", "_t"])
+    cosine = V.cosine(F.col("vector"), F.col("_vector"))
+    tier = F.when(kind(F.col("type")) == kind(F.col("_type")), 0)
+    tier = tier if strict else tier.when(cosine >= threshold, 3)
+    keys = ["query_id", "source", "target", "type"]
+    found = _best(pair.withColumns({"_tier": tier, "score": F.when(tier == 0, 1.0).otherwise(cosine)}), keys).drop("name")
+    return expected.select(*keys).join(found, keys, "left").withColumns({"tier": F.coalesce("tier", F.lit("none")), "score": F.coalesce("score", F.lit(0.0))})
 
-def calibration_pairs(nodes: DataFrame, prefix: int = 4) -> DataFrame:
-    """(left, right, kind): positives of one type whose alphanumeric names agree, hard negatives that only share a beginning.
 
-    Pairs meet by equal name or equal beginning, never all with all.
-    """
-    rows = nodes.select("id", "entity_type", alnum_name(F.col("entity_name")).alias("norm")).where("norm <> ''").withColumn("start", F.substring("norm", 1, prefix))
-    other = rows.select(F.col("id").alias("right"), "entity_type", F.col("norm").alias("_norm"), "start")
-    pairs = rows.join(other, ["entity_type", "start"]).where("id < right")
-    kind = F.when(F.col("norm") == F.col("_norm"), "positive").otherwise("hard_negative")
-    return pairs.select(F.col("id").alias("left"), "right", kind.alias("kind"))
+def report(matches: DataFrame, key: Column) -> DataFrame:
+    """query_id, matched (keys of matched expected items in the order of what they match, each once), surface (those not matched by embedding), indices, and the scores' mean, least and greatest."""
+    there = F.col("tier") != "none"
+    row = F.struct("rank", key.alias("k"), F.col("tier").alias("t"))
+    found = F.array_sort(F.collect_list(F.when(there, row)))
+    keys = lambda rows: F.array_distinct(F.transform(rows, lambda r: r["k"]))
+    score = F.when(there, F.col("score"))
+    return matches.groupBy("query_id").agg(
+        keys(found).alias("matched"), keys(F.filter(found, lambda r: r["t"] != "embedding")).alias("surface"), F.array_sort(F.collect_set(F.when(there, F.col("rank")))).alias("indices"),
+        F.coalesce(F.avg(score), F.lit(0.0)).alias("mean_score"), F.coalesce(F.min(score), F.lit(0.0)).alias("least_score"), F.coalesce(F.max(score), F.lit(0.0)).alias("greatest_score"),
+    )
+
+
+def tier_counts(matches: DataFrame) -> DataFrame:
+    return matches.groupBy("tier").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
 
 
 def alias_pairs(nodes: DataFrame, prefix: int = 4) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import vectors as V
+from ..functions.text import display_name
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str, vector_col: str, where: Column | None = None) -> DataFrame:
@@ -98,3 +103,40 @@ def graph_branch(seeds: DataFrame, edges: DataFrame, node_docs: DataFrame) -> Da
     near = edges.select(F.col("src").alias("id"), F.col("dst").alias("node")).union(edges.select(F.col("dst").alias("id"), F.col("src").alias("node")))
     reached = seeds.select(F.col("id").alias("node"), F.lit(1).alias("s")).union(near.join(seeds.select("id"), "id", "left_semi").select("node", F.lit(0).alias("s")))
     return reached.groupBy("node").agg(F.max("s").alias("s")).join(node_docs, "node").groupBy("document_id").agg((F.max("s") == 1).alias("is_seed"))
+
+
+def unembedded(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, text) of named nodes without a vector, called as they are shown."""
+    return nodes.where("entity_name <> ''").join(known.select("id"), "id", "left_anti").select("id", display_name(F.col("entity_name")).alias("text"))
+
+
+def embedded(rows: DataFrame, text: str, embed: Callable[[list[str]], list], batch: int = 100, tries: int = 3, pause: float = 1.0) -> DataFrame:
+    """The rows with the ``vector`` of their text, null where the model gave none or failed ``tries`` times.
+
+    ``embed`` takes up to ``batch`` texts; after a failure a task waits ``pause`` seconds, twice as
+    long each time.  Texts that are blank have no vector.
+    """
+    names = rows.columns
+
+    def vectors(texts: list[str]) -> list:
+        for k in range(tries):
+            try:
+                return embed(texts)
+            except Exception:  # noqa: BLE001 a model's client may raise anything
+                if k + 1 < tries:
+                    time.sleep(pause * 2**k)
+        return [None] * len(texts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            own = part[text].fillna("")
+            asked = [i for i, t in enumerate(own) if t.strip()]
+            found: list = [None] * len(part)
+            for at in range(0, len(asked), batch):
+                some = asked[at : at + batch]
+                for i, v in zip(some, vectors([own.iloc[i] for i in some]), strict=True):
+                    found[i] = v
+            yield part.assign(vector=found)[[*names, "vector"]]
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{ddl}, vector array<double>")

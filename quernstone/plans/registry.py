@@ -146,9 +146,9 @@ def stale_prune(spark, d):
     return documents.without(table(spark, d, "orders").select("o_orderkey"), live, ["o_orderkey"])
 
 
-@query("join08_orphan_refcount", "SELECT l_partkey, count(DISTINCT l_suppkey) AS n_owners FROM lineitem GROUP BY l_partkey HAVING bool_and(l_suppkey % 5 <> 0)")
+@query("join08_orphan_refcount", "SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_owners FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_suppkey % 5 <> 0)")
 def orphan_refcount(spark, d):
-    return documents.orphans(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", F.col("l_suppkey") % 5 != 0)
+    return documents.orphans(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", F.col("l_suppkey") % 5 != 0)
 
 
 @query("snk22_relational_division", "SELECT l_orderkey, count(*) AS n_sources FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_partkey % 2 = 0)")
@@ -338,21 +338,13 @@ def degree(spark, d):
 
 
 @query("join13_disjoint_seeds", """
-WITH p AS (SELECT DISTINCT l_partkey AS node, l_orderkey % 40 AS document_id FROM lineitem WHERE l_partkey < 60),
-e AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM (SELECT DISTINCT node FROM p) a JOIN (SELECT DISTINCT node FROM p) b ON b.node = a.node + 7)
-SELECT src, dst, (SELECT min(document_id) FROM p WHERE node = src) AS src_doc, (SELECT min(document_id) FROM p WHERE node = dst) AS dst_doc FROM e
-WHERE NOT EXISTS (SELECT 1 FROM p x JOIN p y ON x.document_id = y.document_id WHERE x.node = src AND y.node = dst) ORDER BY src, dst LIMIT 25
+WITH p AS (SELECT DISTINCT l_partkey AS node, l_orderkey AS document_id FROM lineitem),
+e AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM (SELECT DISTINCT node FROM p) a JOIN (SELECT DISTINCT node FROM p) b ON b.node = a.node + 7),
+s AS (SELECT DISTINCT src, dst FROM e JOIN p x ON x.node = src JOIN p y ON y.node = dst AND y.document_id = x.document_id),
+m AS (SELECT node, min(document_id) AS doc FROM p GROUP BY node)
+SELECT e.src, e.dst, a.doc AS src_doc, b.doc AS dst_doc FROM e ANTI JOIN s ON s.src = e.src AND s.dst = e.dst JOIN m a ON a.node = e.src JOIN m b ON b.node = e.dst
 """)
 def disjoint_seeds(spark, d):
-    docs = table(spark, d, "lineitem").where("l_partkey < 60").select(F.col("l_partkey").alias("node"), (F.col("l_orderkey") % 40).alias("document_id")).distinct()
-    nodes = docs.select("node").distinct()
-    edges = nodes.select(F.col("node").alias("src"), (F.col("node") + 7).alias("dst")).join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return graph.disjoint_seeds(edges, docs, 25).select("src", "dst", "src_doc", "dst_doc")
-
-
-@query("join13_whole_disjoint_seeds")
-def whole_disjoint_seeds(spark, d):
-    """All parts and orders; ``join13_disjoint_seeds`` with its SQL is on a small part of them."""
     docs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("document_id")).distinct()
     nodes = docs.select("node").distinct()
     edges = nodes.select(F.col("node").alias("src"), (F.col("node") + 7).alias("dst")).join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
@@ -367,15 +359,6 @@ def schema_summary(spark, d):
     return graph.schema_summary(table(spark, d, "part").select(F.col("p_brand").alias("entity_type"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("entity_name")), 5)
 
 
-@query("agg25_fingerprint", """
-WITH h AS (SELECT sha256(n_nationkey::VARCHAR || chr(31) || n_name) AS h FROM nation),
-b AS (SELECT ('0x' || substr(h, 1, 8))::BIGINT % 16 AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS n_rows FROM b
-""")
-def fingerprint(spark, d):
-    return graph.fingerprint(table(spark, d, "nation"), ["n_nationkey", "n_name"], 16)
-
-
 # ---------------------------------------------------------------- retrieval
 
 
@@ -549,12 +532,6 @@ def median_score(spark, d):
     return evaluation.median_score(table(spark, d, "events").where("value is not null"), ["user_id"], "value")
 
 
-@query("agg09_bootstrap_interval")
-def bootstrap_interval(spark, d):
-    values = table(spark, d, "events").where("value is not null").select("event_type", "value")
-    return evaluation.bootstrap_mean(values, ["event_type"])
-
-
 # ---------------------------------------------------------------- gold sets
 
 
@@ -671,61 +648,21 @@ def newest_first(spark, d):
 
 
 @query("snk19_graph_cleanup", """
-WITH l AS (SELECT DISTINCT l_partkey AS node_id, l_suppkey AS document_id FROM lineitem)
+WITH l AS (SELECT DISTINCT l_orderkey AS node_id, l_suppkey AS document_id FROM lineitem)
 SELECT DISTINCT node_id FROM l WHERE document_id IN (3, 5) AND node_id NOT IN (SELECT node_id FROM l WHERE document_id NOT IN (3, 5))
 """)
 def graph_cleanup(spark, d):
     """Nodes of deleted documents that no other document links to."""
-    links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node_id"), F.col("l_suppkey").alias("document_id"))
+    links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node_id"), F.col("l_suppkey").alias("document_id"))
     return documents.orphans(links, "document_id", "node_id", F.col("document_id").isin(3, 5)).select("node_id")
 
 
-@query("flt33_failed_rows", "SELECT event_type, count(*) AS n, count(value) AS n_ok, round((count(*) - count(value)) / count(*)::DOUBLE, 6) AS failure_rate, round(avg(value), 6) AS mean FROM (SELECT event_type, CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END AS value FROM events) GROUP BY event_type")
-def failed_rows(spark, d):
-    value = F.when(F.col("event_id") % 13 != 0, F.col("value"))
-    got = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(value).alias("n_ok"), F.avg(value).alias("m"))
-    return got.select("event_type", "n", "n_ok", F.round((F.col("n") - F.col("n_ok")) / F.col("n"), 6).alias("failure_rate"), F.round("m", 6).alias("mean"))
-
-
-@query("set05_processing_queue", "SELECT DISTINCT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'created' WHEN o_orderstatus = 'P' THEN 'updated' ELSE 'failed' END AS first_bucket FROM orders WHERE o_orderstatus IN ('O', 'P') OR o_orderkey % 29 = 0")
-def processing_queue(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
-    tag = lambda where, t, n: orders.where(where).select("id", F.struct(F.lit(n).alias("n"), F.lit(t).alias("t")).alias("b"))
-    every = tag("o_orderstatus = 'O'", "created", 0).union(tag("o_orderstatus = 'P'", "updated", 1)).union(tag("id % 29 = 0", "failed", 2))
-    return every.groupBy("id").agg(F.min("b")["t"].alias("first_bucket"))
-
-
-@query("agg08_tier_counts", """
-SELECT tier, count(*) AS n FROM (SELECT CASE WHEN e.l = r.l THEN 'exact' ELSE 'none' END AS tier FROM (SELECT p_partkey AS q, lower(p_brand) AS l FROM part) e JOIN (SELECT p_partkey AS q, lower(CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'zzz' END) AS l FROM part) r USING (q)) GROUP BY tier
-""")
-def tier_counts(spark, d):
-    from ..operators import matching
-
-    parts = table(spark, d, "part")
-    none = F.lit(None)
-    expected = parts.select(F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("gold"), F.lit("t").alias("type"), none.cast("array<string>").alias("aliases"), none.cast("array<double>").alias("vector"))
-    got = parts.select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("zzz").alias("name"), F.lit("t").alias("type"), none.cast("array<double>").alias("vector"), F.lit(1).alias("rank"))
-    return matching.tier_counts(matching.tiered(expected, got)).select("tier", "n")
-
-
 @query("join15_calibration_pairs", """
 WITH n AS (SELECT p_partkey AS id, p_brand AS t, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS s FROM part)
-SELECT a.id AS "left", b.id AS "right", CASE WHEN a.s = b.s THEN 'positive' ELSE 'hard_negative' END AS kind FROM n a JOIN n b ON a.t = b.t AND substr(a.s, 1, 6) = substr(b.s, 1, 6) AND a.id < b.id WHERE a.s <> ''
-""")
-def calibration_pairs(spark, d):
-    from ..operators import matching
-
-    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("entity_type"), F.col("p_name").alias("entity_name"))
-    return matching.calibration_pairs(nodes, 6)
-
-
-@query("join15_whole_calibration_pairs", """
-WITH n AS (SELECT p_partkey AS id, p_brand AS t, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS s FROM part)
 SELECT a.id AS "left", b.id AS "right", CASE WHEN a.t <> b.t THEN 'type_drift' WHEN a.s = b.s THEN 'positive' ELSE 'alias' END AS kind FROM n a JOIN n b ON a.id < b.id AND a.s <> '' AND b.s <> ''
   AND (a.s = b.s OR a.t = b.t AND (contains(a.s, b.s) OR contains(b.s, a.s) OR length(a.s) >= 4 AND length(b.s) >= 4 AND substr(a.s, 1, 4) = substr(b.s, 1, 4)))
 """)
-def whole_calibration_pairs(spark, d):
-    """All kinds but unrelated pairs; ``join15_calibration_pairs`` with its SQL has beginnings of six only."""
+def calibration_pairs(spark, d):
     from ..operators import matching
 
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("entity_type"), F.col("p_name").alias("entity_name"))
@@ -747,11 +684,27 @@ def assembled_context(spark, d):
 
 _PRINT = """
 WITH h AS (SELECT sha256({row}) AS h FROM {table}),
-b AS (SELECT ('0x' || substr(h, 1, 8))::BIGINT % 1024 AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS n_rows FROM b
+s AS (SELECT count(*) AS n_rows, """ + ", ".join(f"coalesce(sum(('0x' || substr(h, {at}, 8))::BIGINT), 0)::VARCHAR AS s{k}" for k, at in enumerate(range(1, 65, 8))) + """ FROM h)
+SELECT sha256(concat_ws(',', n_rows::VARCHAR, s0, s1, s2, s3, s4, s5, s6, s7)) AS fingerprint, n_rows FROM s
 """
 
 
+
+@query("agg25_fingerprint", _PRINT.format(row="p_partkey::VARCHAR || chr(31) || p_name || chr(31) || p_brand", table="part"))
+def graph_fingerprint(spark, d):
+    return graph.fingerprint(table(spark, d, "part"), ["p_partkey", "p_name", "p_brand"])
+
+
+@query("agg30_edge_fingerprint", _PRINT.format(row="l_partkey::VARCHAR || chr(31) || l_suppkey || chr(31) || l_returnflag", table="lineitem"))
+def edge_fingerprint(spark, d):
+    return graph.fingerprint(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey", "l_returnflag"])
+
+
+@query("agg28_combined_fingerprint", f"SELECT a.fingerprint AS vectors, b.fingerprint AS corpus, sha256(a.fingerprint || ',' || b.fingerprint) AS fingerprint FROM ({_PRINT.format(row='vec_id::VARCHAR', table='embeddings')}) a, ({_PRINT.format(row='doc_id::VARCHAR', table='documents')}) b")
+def combined_fingerprint(spark, d):
+    return graph.combined(vectors=graph.fingerprint(table(spark, d, "embeddings"), ["vec_id"]), corpus=graph.fingerprint(table(spark, d, "documents"), ["doc_id"]))
+
+
 @query("agg26_vector_fingerprint", _PRINT.format(row="vec_id::VARCHAR || chr(31) || label", table="embeddings"))
 def vector_fingerprint(spark, d):
     return graph.fingerprint(table(spark, d, "embeddings"), ["vec_id", "label"])
@@ -762,13 +715,6 @@ def corpus_fingerprint(spark, d):
     return graph.fingerprint(table(spark, d, "documents").withColumn("content_hash", T.content_hash(F.col("text"))), ["doc_id", "content_hash"])
 
 
-@query("flt28_config_differences", "SELECT a.n_nationkey, a.n_name AS key FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey WHERE a.n_regionkey IS DISTINCT FROM CASE WHEN b.n_nationkey % 4 = 0 THEN NULL ELSE b.n_regionkey END")
-def config_differences(spark, d):
-    a = table(spark, d, "nation")
-    b = a.select("n_nationkey", F.when(F.col("n_nationkey") % 4 != 0, F.col("n_regionkey")).alias("other"))
-    return a.join(b, "n_nationkey").where(~F.col("n_regionkey").eqNullSafe(F.col("other"))).select("n_nationkey", F.col("n_name").alias("key"))
-
-
 # ---------------------------------------------------------------- more text functions
 
 
@@ -803,15 +749,4 @@ def entity_search(spark, d):
     return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("flt01_file_filter", "SELECT page_id FROM pages WHERE lower(url) LIKE '%.html' AND octet_length(encode(html)) <= 4 * 1024")
-def file_filter(spark, d):
-    return table(spark, d, "pages").where(F.lower("url").endswith(".html") & (F.octet_length("html") <= 4 * 1024)).select("page_id")
-
-
-@query("win12_merged_sections", "SELECT source, lower(lang) AS term, min(doc_id) AS first_doc FROM documents GROUP BY source, lower(lang)")
-def merged_sections(spark, d):
-    """The first of each term of a source, whatever its case."""
-    return table(spark, d, "documents").groupBy("source", F.lower("lang").alias("term")).agg(F.min("doc_id").alias("first_doc"))
-
-
-from . import scalars, storage, texts  # noqa: E402, F401
+from . import evaluate, graphs, scalars, storage, syncs, texts  # noqa: E402, F401

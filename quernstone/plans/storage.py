@@ -28,15 +28,15 @@ def _edges(spark, d):
 
 
 def _members(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("target_id"), F.col("l_partkey").alias("page_id")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("target_id"), F.col("l_orderkey").alias("page_id")).distinct()
 
 
 def _pages(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("source_id"), F.lit("page").alias("source_type"), F.when(F.col("p_size") < 10, "failed").otherwise("completed").alias("status"), (F.col("p_size") % 2 == 0).alias("degraded"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("source_id"), F.lit("page").alias("source_type"), F.when(F.col("o_orderpriority") == "1-URGENT", "failed").otherwise("completed").alias("status"), (F.col("o_orderstatus") == "F").alias("degraded"))
 
 
 _L = "(SELECT DISTINCT l_partkey AS node_id, l_suppkey AS document_id FROM lineitem)"
-_M = "(SELECT DISTINCT l_suppkey AS target_id, l_partkey AS page_id FROM lineitem)"
+_M = "(SELECT DISTINCT l_suppkey AS target_id, l_orderkey AS page_id FROM lineitem)"
 
 # ---------------------------------------------------------------- lookups
 
@@ -347,19 +347,19 @@ def reverse_lineage(spark, d):
     return tables.lineage(docs, edges, "source_doc_id", "doc_id").select("of_id", "id", "title")
 
 
-@query("join06_failed_members", "SELECT DISTINCT p_partkey AS id FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_suppkey = 4 AND p_size < 10")
+@query("join06_failed_members", "SELECT DISTINCT o_orderkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_suppkey = 4 AND o_orderpriority = '1-URGENT'")
 def failed_members(spark, d):
     return tables.members_in(_pages(spark, d), _members(spark, d), 4, "page", F.col("status") == "failed")
 
 
-@query("join07_degraded_members", "SELECT DISTINCT p_partkey AS id FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_suppkey = 4 AND p_size >= 10 AND p_size % 2 = 0")
+@query("join07_degraded_members", "SELECT DISTINCT o_orderkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_suppkey = 4 AND o_orderpriority <> '1-URGENT' AND o_orderstatus = 'F'")
 def degraded_members(spark, d):
     return tables.members_in(_pages(spark, d), _members(spark, d), 4, "page", F.col("degraded") & (F.col("status") == "completed"))
 
 
-@query("join09_node_of_entity", "SELECT p_brand, min(p_partkey) AS id FROM part WHERE regexp_replace(lower(p_name), '[\\s_-]+', '', 'g') LIKE 'a%' GROUP BY p_brand")
+@query("join09_node_of_entity", "SELECT p_brand, min(p_partkey) AS id FROM part WHERE regexp_replace(lower(p_name), '[\\s_-]+', '', 'g') LIKE '%e%' GROUP BY p_brand")
 def node_of_entity(spark, d):
-    named = table(spark, d, "part").withColumn("key", T.normalized_name(F.col("p_name"))).where("key like 'a%'")
+    named = table(spark, d, "part").withColumn("key", T.normalized_name(F.col("p_name"))).where("key like '%e%'")
     return named.groupBy("p_brand").agg(F.min("p_partkey").alias("id"))
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +45,11 @@ def test_summary_and_statistics(spark):
     many = spark.createDataFrame([("m", float(k % 10)) for k in range(500)], "metric string, value double")
     b = evaluation.bootstrap_mean(many, ["metric"], resamples=100).first()
     assert b.low < b.mean == 4.5 < b.high and b.high - b.low < 1
-    assert evaluation.bootstrap_exact([1.0, 1.0]) == (1.0, 1.0, 1.0)
+    assert evaluation.resampled([1.0, 1.0])["low"] == 1.0 and evaluation.resampled([])["n"] == 0
+    rng, values = random.Random(42), [0.1, 0.5, 0.7]
+    means = sorted(sum(values[rng.randrange(3)] for _ in range(3)) / 3 for _ in range(1000))
+    found = evaluation.resampled(values)
+    assert (found["low"], found["high"]) == (means[25], means[975])
 
 
 def test_upsert_versions(spark):
