@@ -119,13 +119,14 @@ def differing(baseline: DataFrame, treatment: DataFrame, keys: tuple[str, ...] =
     return both.where(~F.col("baseline").eqNullSafe(F.col("treatment")))
 
 
-def bootstrap_mean(values: DataFrame, by: list[str], resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def bootstrap_mean(values: DataFrame, by: list[str], row: str, resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean of each group, from ``resamples`` Poisson resamples.
 
-    Every row is in a resample as often as a Poisson number drawn from its hash
-    says, so resamples are sums of rows and groups may have any size.
+    Every row is in a resample as often as a Poisson number drawn from the hash of
+    its id ``row`` says, so resamples are sums of rows, groups may have any size, and the
+    result is the same however rows are dealt out.
     """
-    keyed = values.select(*by, "value", F.monotonically_increasing_id().alias("_row"))
+    keyed = values.where("value is not null").select(*by, "value", F.col(row).alias("_row"))
     drawn = keyed.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     u = (F.pmod(F.xxhash64(F.lit(seed), "_row", "_b"), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     bounds, p, total = [], math.exp(-1), 0.0

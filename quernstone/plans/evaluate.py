@@ -75,6 +75,11 @@ rows("join20_match_pairs", "gold string, type string, tier string, retrieved int
 rows("agg18_frequent_stems", "text string", [("결제팀은 결제팀과 주문봇",), ("결제팀이",), (None,)], "stem, n", [("결제팀", 3)], lambda df: goldset.frequent_stems(df, "text", 2, 10))
 
 
+@query("agg09_interval_of_any_size")
+def interval_of_any_size(spark, d):
+    return evaluation.bootstrap_mean(table(spark, d, "events").select("event_type", "event_id", "value"), ["event_type"], "event_id")
+
+
 @query("agg23_graph_counts", "SELECT (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM lineitem) AS edges")
 def graph_counts(spark, d):
     return table(spark, d, "part").agg(F.count("*").alias("nodes")).join(table(spark, d, "lineitem").agg(F.count("*").alias("edges")))

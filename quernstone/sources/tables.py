@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import excluded
+
 #: Each table as DDL; ``evolve`` in operators.documents adds columns that older files lack.
 SCHEMAS = {
     "documents": "id long, source_type string, source_id string, title string, original_content string, raw_content string, content_hash string, storage_method string, status string, llm_degraded boolean, llm_degraded_detail string, version int, source_version int, url string, author string, created_at timestamp, updated_at timestamp",
@@ -21,9 +23,8 @@ SCHEMAS = {
     "sync_fetch_retries": "target_id long, page_id string, attempts int, last_error string, updated_at timestamp",
     "gold_items": "id string, query string, relevant_doc_ids array<long>, relevant_doc_groups array<array<long>>, difficulty string, mode string, notes string",
 }
-#: Endings that uploads may have, and folders that no scan enters.
+#: Endings that uploads may have.
 UPLOADS = ("md", "txt", "html")
-SKIPPED_FOLDERS = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".vscode")
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
@@ -40,7 +41,7 @@ def text_files(spark: SparkSession, path: str, endings: tuple[str, ...] = UPLOAD
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     folders = F.split("path", "/")
-    rows = files.where(ending.isin(*endings) & ~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_FOLDERS))))
+    rows = files.where(ending.isin(*endings) & ~excluded(F.col("path")))
     rows = rows if limit_kb is None else rows.where(F.col("length") <= limit_kb * 1024)
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return rows.select(F.element_at(folders, -1).alias("source_id"), "path", text.alias("content")).where("content is not null").withColumn("content_hash", F.sha2("content", 256))

@@ -42,8 +42,8 @@ def test_summary_and_statistics(spark):
     t = evaluation.signed_rank_test(diffs.union(spark.createDataFrame([("zeros", 0.0)], diffs.schema)), ["metric"])
     got = {x.metric: (x.n, round(x.p, 6)) for x in t.collect()}
     assert got == {"m": (4, round(2 * (1 - 0.5 * (1 + math.erf(abs(r.z) / math.sqrt(2)))), 6)), "zeros": (0, 1.0)}
-    many = spark.createDataFrame([("m", float(k % 10)) for k in range(500)], "metric string, value double")
-    b = evaluation.bootstrap_mean(many, ["metric"], resamples=100).first()
+    many = spark.createDataFrame([("m", k, float(k % 10)) for k in range(500)], "metric string, k int, value double")
+    b = evaluation.bootstrap_mean(many, ["metric"], "k", resamples=100).first()
     assert b.low < b.mean == 4.5 < b.high and b.high - b.low < 1
     assert evaluation.resampled([1.0, 1.0])["low"] == 1.0 and evaluation.resampled([])["n"] == 0
     rng, values = random.Random(42), [0.1, 0.5, 0.7]
@@ -135,16 +135,18 @@ def test_disjoint_seeds_over_all_parts(spark, tmp_path):
     spark.createDataFrame(lines, "l_partkey long, l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     docs = {p: {o for q, o in lines if q == p} for p, _ in lines}
     want = {(p, p + 7, min(docs[p]), min(docs[p + 7])) for p in docs if p + 7 in docs and not docs[p] & docs[p + 7]}
-    got = registry.QUERIES["join13_whole_disjoint_seeds"][0](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["join13_disjoint_seeds"][0](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want and max(r.src for r in got) > 60
 
 
-def test_bootstrap_query_takes_all_resamples(spark, tmp_path, monkeypatch):
+def test_bootstrap_of_any_size(spark, monkeypatch, tmp_path):
     from quernstone.plans import registry
 
     seen, own = [], evaluation.bootstrap_mean
-    monkeypatch.setattr(evaluation, "bootstrap_mean", lambda values, by, resamples=1000, **k: seen.append(resamples) or own(values, by, resamples, **k))
-    rows = [("a", float(k % 10)) for k in range(50)] + [("a", None)]
-    spark.createDataFrame(rows, "event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
-    r = registry.QUERIES["agg09_bootstrap_interval"][0](spark, str(tmp_path)).first()
+    monkeypatch.setattr(evaluation, "bootstrap_mean", lambda values, by, row, resamples=1000, **k: seen.append(resamples) or own(values, by, row, resamples, **k))
+    rows = [("a", k, float(k % 10)) for k in range(50)] + [("a", 99, None)]
+    spark.createDataFrame(rows, "event_type string, event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    r = registry.QUERIES["agg09_interval_of_any_size"][0](spark, str(tmp_path)).first()
     assert seen == [1000] and r.n == 50 and r.low < r.mean < r.high
+    again = spark.createDataFrame(rows, "event_type string, event_id long, value double").repartition(7)
+    assert own(again, ["event_type"], "event_id").first() == r

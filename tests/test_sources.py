@@ -1,3 +1,4 @@
+import pytest
 import math
 
 from pyspark.sql import functions as F
@@ -13,7 +14,11 @@ def test_paging_rule():
 
     assert list(paged.pages(server(25, 10, True), 20, 100)) == list(range(25))
     assert list(paged.pages(server(25, 100, False), 10, 100)) == list(range(25))
-    assert list(paged.pages(server(25, 100, True), 10, 12)) == list(range(12))
+    assert list(paged.pages(server(25, 100, True), 10, 12, partial=True)) == list(range(12))
+    assert list(paged.pages(server(25, 100, False), 10, 25)) == list(range(25))
+    for total in (True, False):
+        with pytest.raises(paged.CutOff):
+            list(paged.pages(server(25, 100, total), 10, 12))
     assert list(paged.pages(server(0, 10, True), 10, 12)) == []
 
 
@@ -52,7 +57,7 @@ def test_tiers(spark):
     e = spark.createDataFrame([(1, "Auth", "class", ["login"], [1.0, 0.0]), (1, "Pay Hub", "class", None, [0.0, 1.0]), (1, "Bill", "class", None, [0.6, 0.8]), (1, "Gone", "class", None, [-1.0, 0.0])], "query_id int, gold string, type string, aliases array<string>, vector array<double>")
     r = spark.createDataFrame([(1, "Login", "class", [0.5, 0.5], 1), (1, "pay-hub", "class", [0.0, 1.0], 2), (1, "other", "team", [0.9, 0.1], 3)], "query_id int, name string, type string, vector array<double>, rank int")
     got = {x.gold: (x.tier, x.name) for x in matching.tiered(e, r).collect()}
-    assert got == {"Auth": ("alias", "Login"), "Pay Hub": ("normalized", "pay-hub"), "Bill": ("embedding", "Login"), "Gone": ("none", None)}
+    assert got == {"Auth": ("alias", "Login"), "Pay Hub": ("normalize", "pay-hub"), "Bill": ("embedding", "Login"), "Gone": ("none", None)}
     nodes = spark.createDataFrame([(1, "t", "auth service"), (2, "t", "Auth-Service"), (3, "t", "authority"), (4, "u", "auth service")], "id int, entity_type string, entity_name string")
     assert sorted(tuple(x) for x in matching.calibration_pairs(nodes).collect()) == [(1, 2, "positive"), (1, 3, "hard_negative"), (2, 3, "hard_negative")]
 
