@@ -59,7 +59,7 @@ def test_tiers(spark):
     got = {x.gold: (x.tier, x.name) for x in matching.tiered(e, r).collect()}
     assert got == {"Auth": ("alias", "Login"), "Pay Hub": ("normalize", "pay-hub"), "Bill": ("embedding", "Login"), "Gone": ("none", None)}
     nodes = spark.createDataFrame([(1, "t", "auth service"), (2, "t", "Auth-Service"), (3, "t", "authority"), (4, "u", "auth service")], "id int, entity_type string, entity_name string")
-    assert sorted(tuple(x) for x in matching.calibration_pairs(nodes).collect()) == [(1, 2, "positive"), (1, 3, "hard_negative"), (2, 3, "hard_negative")]
+    assert sorted(tuple(x) for x in matching.alias_pairs(nodes).collect()) == [(1, 2, "positive"), (1, 3, "alias"), (1, 4, "type_drift"), (2, 3, "alias"), (2, 4, "type_drift")]
 
 
 def test_assembled_context(spark):
