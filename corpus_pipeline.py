@@ -19,13 +19,24 @@ from quernstone.llm import langid, lines, minhash, packing
 from quernstone.llm._common import Store
 
 
+def _apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that an operator reads, and all others in one that no operator names."""
+    rest = [F.col(c) for c in docs.columns if c not in needed] or [F.lit(None).alias("none")]
+    return docs.select(*needed, F.struct(*rest).alias("_others"))
+
+
+def _whole(rows: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    return rows.select(*(F.col(c) if c in needed else F.col("_others")[c].alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with a posterior of at least a half; declared tags stay as they are.
 
     Null texts and texts without letters go, as their language is unknown; rows
     that repeat all stay or all go; of languages equally likely the first by alphabet counts.
     """
-    return langid.identify_documents(docs).where("kept").select(*docs.columns)
+    needed = ("text", "lang", "source")
+    return _whole(langid.identify_documents(_apart(docs, *needed)).where("kept"), docs, *needed)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +45,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents are in the order of their ids, null ids last; of repeated rows one keeps
     its lines.  ``n_chars`` is counted anew where lines went.  Null texts stay.
     """
-    rows = lines.dedup_lines(docs).where("n_deleted = 0 or n_deleted < n_lines")
+    needed = ("doc_id", "text", "n_chars")
+    rows = lines.dedup_lines(_apart(docs, *needed)).where("n_deleted = 0 or n_deleted < n_lines")
     length = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumn("n_chars", length).select(*docs.columns)
+    return _whole(rows.withColumn("n_chars", length), docs, *needed)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that with the smallest id; of rows with one id one stays, null ids come last."""
-    return minhash.near_duplicates(docs).where("kept").select(*docs.columns)
+    needed = ("doc_id", "text")
+    return _whole(minhash.near_duplicates(_apart(docs, *needed)).where("kept"), docs, *needed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
