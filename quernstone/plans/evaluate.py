@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking as R
 from ..functions import text as T
 from ..operators import evaluation, goldset, tables
-from .registry import cases, query, table
-from .texts import rows
+from .base import cases, query, rows, table
 
 _RANKED = "x array<long>, y array<long>, z int"
 cases("win06_precision", _RANKED, [([1, 2, 3], [1], 3), ([1], [1], 5), ([], [1], 2), ([4, 4], [4], 2)], "precision", [0.333333, 0.2, 0.0, 1.0], lambda x, y, z: dict(precision=F.round(_at(R.precision_at_k, x, y, z), 6)))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extraction, graph, matching, retrieval
-from .registry import query, table
-from .texts import rows
+from .base import query, rows, table
 
 _NODE = "id long, entity_name string, entity_type string, description string"
 _NODES = [(1, "Auth Service", "system", "checks tokens"), (2, "f.py::auth-service", "function", None), (3, "f.py::K.AuthService", "method", ""), (4, "Store", "system", None), (5, "Team X", "team", None), (6, "Lone", "", None)]

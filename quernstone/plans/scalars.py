@@ -9,7 +9,7 @@ from ..functions import graphtext as G
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import documents, evaluation, goldset, graph, sync
-from .registry import cases, query, table
+from .base import cases, query, table
 
 S = "x string"
 

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents, tables
-from .registry import query, table
-from .texts import rows
+from .base import query, rows, table
 
 
 def _links(spark, d):

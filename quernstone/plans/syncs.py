@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assembly, indexing, sync
 from ..streaming.periodic import Periodic, run_all
-from .registry import cases
-from .texts import rows
+from .base import cases, rows
 
 _T = datetime.datetime
 _PAGE = "id int, parent_id int, space string, last_modified timestamp, content_hash string, listed boolean, old string, retry boolean"

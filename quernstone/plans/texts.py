@@ -8,21 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunking, extraction, pages, parsing, units
-from .registry import QUERIES, literal, query, table
-
-
-def rows(name: str, schema: str, given: list[tuple], columns: str, want: list[tuple], make: Callable[[DataFrame], DataFrame]) -> None:
-    """A query over a literal table, whose rows, worked out by hand, are its oracle."""
-    values = ", ".join("(" + ", ".join(map(literal, w)) + ")" for w in want)
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return make(spark.createDataFrame(given, schema)).select(*columns.split(", "))
-
-    QUERIES[name] = (run, f"SELECT * FROM (VALUES {values}) AS t({', '.join(f'{chr(34)}{c}{chr(34)}' for c in columns.split(', '))})")
+from .base import query, rows, table
 
 
 # ---------------------------------------------------------------- chunks

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -21,3 +22,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="quernstone-"))
     return df.checkpoint()
+
+
+def put_texts(rows: DataFrame) -> str:
+    """Writes small files (path, text) below a new folder next to the checkpoints, and says where."""
+    spark = rows.sparkSession
+    checkpointed(rows.limit(0))
+    base = f"{spark.sparkContext.getCheckpointDir()}/texts-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    for row in rows.collect():
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{row.path}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out = fs.create(path)
+        out.write(bytearray(row.text.encode()))
+        out.close()
+    return base

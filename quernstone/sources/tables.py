@@ -57,3 +57,16 @@ def result_sheet(spark: SparkSession, path: str) -> DataFrame:
 def gold_set(spark: SparkSession, path: str) -> DataFrame:
     """Gold items of JSON lines; optional fields may be missing."""
     return spark.read.schema(SCHEMAS["gold_items"]).json(path)
+
+
+def product_scopes(configs: DataFrame, config: str) -> DataFrame:
+    """(name, display_name, paths, exclude) of the products of repositories' settings in JSON."""
+    spec = F.from_json(F.get_json_object(config, "$.products"), "map<string, struct<display_name: string, paths: array<string>, exclude: array<string>>>")
+    none = F.array().cast("array<string>")
+    return configs.select(F.explode(spec).alias("name", "s")).select("name", F.coalesce("s.display_name", "name").alias("display_name"), F.coalesce("s.paths", none).alias("paths"), F.coalesce("s.exclude", none).alias("exclude"))
+
+
+def repositories(configs: DataFrame, config: str) -> DataFrame:
+    """(url, branch) of the repositories of settings in JSON; one without an address is left out, a branch without a name is main."""
+    spec = F.from_json(F.get_json_object(config, "$.repositories"), "array<struct<url: string, branch: string>>")
+    return configs.select(F.explode(spec).alias("r")).where("r.url <> ''").select("r.url", F.coalesce("r.branch", F.lit("main")).alias("branch"))
