@@ -152,6 +152,12 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[
         at = end
 
 
+def released(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task, after which Arrow gives unused memory back: idle Python workers stay small."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+
+
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, one row a key whose ``n`` says how many rows of ``left`` have it at most.
 

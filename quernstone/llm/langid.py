@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Store, join_hot
+from ._common import Store, join_hot, released, slices
 
 #: Bound of the fit: about so many different texts of each language are read.
 LABEL_TEXTS = 5_000
@@ -105,7 +105,7 @@ def fit(labelled: DataFrame, text: Column, label: Column, label_texts: int = LAB
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             by: dict[str, list[str]] = {}
             for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(x, []).append(t)
@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, text: Column, label: Column, label_texts: int = LAB
                     own += np.bincount(bucket, minlength=BUCKETS)
         yield from packed(seen)
 
-    counts = rows.distinct().mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.distinct().mapInArrow(lambda batches: released(count(batches)), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     labels = tuple(sorted(texts))
     table = np.full((BUCKETS, len(labels) + 1), smoothing)
     got = counts.toPandas()
@@ -154,7 +154,7 @@ def identify(rows: DataFrame, model: TextModel, text_col: str = "text", declared
     send = spark.sparkContext.broadcast(model)  # languages times BUCKETS numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             n, total = send.value.score([t or "" for t in batch.column(0).to_pylist()])
             scaled = total * np.minimum(1, EFFECTIVE_GRAMS / np.maximum(n, 1))[:, None]
             arrays = [pa.ListArray.from_arrays(pa.array(np.arange(0, scaled.size + 1, len(labels)), pa.int32()), pa.array(v.ravel())) for v in (scaled, _posterior(scaled))]
@@ -166,7 +166,7 @@ def identify(rows: DataFrame, model: TextModel, text_col: str = "text", declared
     names = source.columns[1:]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
     store = Store(spark, "languages")
-    scored = store.put(source.mapInArrow(score, f"{ddl}, _n long, _score array<double>, _p array<double>"), "scored")
+    scored = store.put(source.mapInArrow(lambda batches: released(score(batches)), f"{ddl}, _n long, _score array<double>, _p array<double>"), "scored")
 
     known = scored.where("_n > 0")
     added = lambda c: F.array(*(F.sum(F.col(c)[k]) for k in ks))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import Store
+from ._common import Store, released
 
 CAPACITY = 2048
 CACHE_UNITS = 400_000
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     source = docs.select(id_col, text_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, {ddl}")
+    return source.mapInArrow(lambda batches: released(run(batches)), f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, {ddl}")
 
 
 def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
