@@ -68,10 +68,10 @@ class Store:
             fs, path = cls._open.pop(base)._at("")
             fs.delete(path, True)
 
-    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
-        """Writes and rereads a table; ``by`` gives each value of a column a folder, ``name/column=value`` to ``drop``."""
+    def put(self, df: DataFrame, name: str, *by: str, append: bool = False) -> DataFrame:
+        """Writes and rereads a table; ``by`` gives each value of a column a folder, ``name/column=value`` to ``drop``; ``append`` adds to what is there."""
         path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).mode("append" if append else "error").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

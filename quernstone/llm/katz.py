@@ -33,6 +33,7 @@ ORDER = 3
 #: Counts above K are not discounted.
 K = 5
 HOT = 50_000
+ASKED_PARTS = 8
 #: Kinds of rows: chunks and their word lists, and for order k, as 10 k + kind, what is asked, answered, counted and summed.
 CHUNK, LISTED = 0, 1
 ASK, ANSWER, COUNTED, ASKED, CONTEXTS, SUMMED = range(2, 8)
@@ -159,11 +160,15 @@ def backoff(upper: Discounts, lower: Discounts, lower_size: np.ndarray | float,
 
 def context_sums(at: np.ndarray, total: np.ndarray, lower: np.ndarray, contexts: int) -> np.ndarray:
     """The ``sums`` of ``backoff`` for contexts 0..n from grams: which context each has, its count and that of its shorter gram."""
-    sums, seen = np.zeros((contexts, 2 * K + 2), np.int64), total > 0
-    for k, value in enumerate((total, lower)):
-        for r in range(1, K + 1):
-            sums[:, k * (K + 1) + r - 1] = np.bincount(at[seen & (value == r)], minlength=contexts)
-        sums[:, k * (K + 1) + K] = np.bincount(at, weights=np.where(seen & (value > K), value, 0), minlength=contexts)
+    sums, seen = np.zeros((contexts, 2 * K + 2), np.int64), np.flatnonzero(total > 0)
+    own = at[seen]
+    for k, value in enumerate((total[seen], lower[seen])):
+        small = np.minimum(value, K + 1)
+        counts = np.bincount(own * (K + 2) + small, minlength=contexts * (K + 2)).reshape(contexts, K + 2)
+        sums[:, k * (K + 1) : k * (K + 1) + K] = counts[:, 1 : K + 1]
+        large = np.flatnonzero(small > K)
+        if len(large):
+            sums[:, k * (K + 1) + K] = np.bincount(own[large], weights=value[large], minlength=contexts)
     return sums
 
 
@@ -184,9 +189,12 @@ def _chunks(id_type: pa.DataType, chunk_bytes: int):
 
         def out() -> pa.RecordBatch:
             flat = [w for _, own in held for w in (*own, b"")]
-            words = sorted({*flat, b""}, key=lambda w: (zlib.crc32(w), w))
-            place = {w: k for k, w in enumerate(words)}
-            at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+            seen = list(dict.fromkeys([b"", *flat]))
+            order = np.argsort(np.fromiter(map(zlib.crc32, seen), np.int64, len(seen)), kind="stable")
+            place = {w: k for k, w in enumerate(seen)}
+            rank = np.empty(len(seen), np.int64)
+            rank[order] = np.arange(len(seen))
+            at, words = rank[np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))], [seen[k] for k in order.tolist()]
             ids = pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], id_type)], ["id"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as writer:
@@ -413,11 +421,9 @@ def _answer(order: int, buckets: int, last: bool):
         v, w, n = np.concatenate([np.cumsum(x) for x in parts[0]]), np.concatenate(parts[1]), np.concatenate(parts[2])
         shorter, spread = np.divmod(np.concatenate(parts[3]), 2)
         del parts
-        sort = np.lexsort((w, v))
-        new = np.concatenate([[True], (v[sort][1:] != v[sort][:-1]) | (w[sort][1:] != w[sort][:-1])])
-        gram = np.empty(len(sort), np.int64)
-        gram[sort] = np.cumsum(new) - 1
-        first, shorter = sort[new], np.maximum.reduceat(shorter[sort], np.flatnonzero(new))
+        first, gram = ordered(v, w)
+        said = np.bincount(gram, weights=shorter > 0)
+        shorter = (np.bincount(gram, weights=shorter) / np.maximum(said, 1)).round().astype(np.int64)  # all that say it say the same
         total = np.bincount(gram, weights=n).astype(np.int64)
         alone = np.bincount(gram) == 1
         context, at = np.unique(v[first], return_inverse=True)
@@ -579,9 +585,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gathered = chunks.union(_of(level, 10 + ANSWER))
     sums = []
     for k in range(2, order + 1):
+        # asked in full, then answered part by part, so that what was shuffled for the one is gone before the other
         asked = gathered.groupBy("chunk").applyInArrow(_ask(k, buckets, hot), PARTS)
-        by = ["bucket", F.when(F.col("bucket") < 0, F.col("chunk"))]
-        level = store.put(asked.groupBy(*by).applyInArrow(_answer(k, buckets, k == order), PARTS), f"order-{k}")
+        asked = store.put(asked.withColumn("part", F.pmod("bucket", F.lit(ASKED_PARTS))), f"asked-{k}", "part")
+        store.release()
+        for part in range(ASKED_PARTS):
+            by = ["bucket", F.when(F.col("bucket") < 0, F.col("chunk"))]
+            own = asked.where(F.col("part") == part).drop("part")
+            level = store.put(own.groupBy(*by).applyInArrow(_answer(k, buckets, k == order), PARTS), f"order-{k}", append=True)
+            store.drop(f"asked-{k}/part={part}")
+        store.release()
         discounts.append(Discounts.of(_figures(level, 10 * k + COUNTED).tolist() or [0] * (K + 1)))
         gathered = gathered.union(_of(level, 10 * k + ANSWER))
         sums.append(_summed(level, k))
