@@ -263,6 +263,17 @@ def configured_roles(roles: DataFrame, system: str = "system") -> DataFrame:
     return roles.where(F.col("role") != system).join(own, ["endpoint", "model"], "left").select("role", F.col("_same").isNull().alias("configured"))
 
 
+def role_models(roles: DataFrame, system: str = "system") -> DataFrame:
+    """(role, endpoint, model) of each role: what was asked for, else its own setting, else the system's.
+
+    ``roles`` has (role, endpoint, model, endpoint_override, model_override); empty is missing.
+    """
+    known = lambda c: F.when(F.col(c) != "", F.col(c))
+    base = roles.where(F.col("role") == system).select(F.col("endpoint").alias("_e"), F.col("model").alias("_m"))
+    own = roles.where(F.col("role") != system).join(base)  # one row
+    return own.select("role", F.coalesce(known("endpoint_override"), known("endpoint"), "_e").alias("endpoint"), F.coalesce(known("model_override"), known("model"), "_m").alias("model"))
+
+
 def canonical_row(*columns: Column) -> Column:
     """Values as a JSON list without spare space; nulls are null."""
     text = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(""))

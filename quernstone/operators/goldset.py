@@ -39,9 +39,11 @@ def candidates(docs: DataFrame, text: str, kind: str, kinds: list[str] | None, l
 
 
 def round_robin(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """The first n rows when groups take turns, each in its order."""
+    """The first n rows when groups take turns, each in its order; parts of a group are cut to n before they meet."""
+    here = F.row_number().over(W.partitionBy(F.spark_partition_id(), by).orderBy(order))
+    few = rows.withColumn("_here", here).where(F.col("_here") <= n).drop("_here")
     turn = F.row_number().over(W.partitionBy(by).orderBy(order))
-    return rows.withColumn("turn", turn).orderBy("turn", by).limit(n)
+    return few.withColumn("turn", turn).orderBy("turn", by).limit(n)
 
 
 def frequent_words(docs: DataFrame, text: str, least: int, most: int, pattern: str = r"([A-Za-z]+)") -> DataFrame:

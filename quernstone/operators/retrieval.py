@@ -37,8 +37,12 @@ def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, id_col: str,
     """(query_id, id, similarity, rank): the k nearest of every query row, itself left out.
 
     Both sides are dealt into blocks; each pair of blocks multiplies two matrices
-    and keeps k rows a query, so no task holds more than two blocks.
+    and keeps k rows a query, so no task holds more than two blocks.  Vectors that
+    are null, empty or zero, or have null or non-finite components, are near to nothing.
+    Vectors have one length.
     """
+    sound = lambda v: F.coalesce(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    queries, vectors = (df.where(sound(F.col(vector_col))) for df in (queries, vectors))
     import numpy as np
     import pyarrow as pa
 
@@ -53,7 +57,7 @@ def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, id_col: str,
         sides = [table.filter(pa.array(flag)), table.filter(pa.array(~flag))]
         out = {"query_id": [], "id": [], "similarity": []}
         if len(sides[0]) and len(sides[1]):
-            (a, b), (x, y) = ([t.column("id").to_numpy() for t in sides], [np.asarray(t.column("v").to_pylist()) for t in sides])
+            (a, b), (x, y) = ([t.column("id").to_numpy() for t in sides], [t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t in sides])
             unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
             s = unit(x) @ unit(y).T
             for i in range(len(a)):

@@ -69,6 +69,7 @@ rows("flt20_gated_questions", "id int, question string, source string, answerabl
     (6, "the above code", "text", True, True, False), (7, "x", "t", True, None, False), (8, "x", "t", True, False, False), (9, "x", "t", True, True, True),
 ], "id, reason", [(1, None), (2, "parse_error"), (3, "not_answerable"), (4, "leakage"), (5, "korean_leakage"), (6, "demonstrative"), (7, "parse_error"), (8, "non_unique_source"), (9, "generic")], lambda df: df.select("id", goldset.question_fault(F.col("question"), F.col("source"), F.col("answerable"), F.col("unique_source"), F.col("generic")).alias("reason")))
 rows("udf30_colliding_roles", "role string, endpoint string, model string", [("generator", "e", "m"), ("judge", "e", "m"), ("system", "e", "other")], "left, right", [("generator", "judge")], lambda df: evaluation.colliding_roles(df))
+rows("udf50_role_models", "role string, endpoint string, model string, endpoint_override string, model_override string", [("system", "e", "m", None, None), ("judge", "", "j", None, None), ("generator", "g", "", "o", "")], "role, endpoint, model", [("judge", "e", "j"), ("generator", "o", "m")], evaluation.role_models)
 rows("udf51_configured_roles", "role string, endpoint string, model string", [("judge", "e", "m2"), ("generator", "e", "m"), ("system", "e", "m")], "role, configured", [("judge", True), ("generator", False)], lambda df: evaluation.configured_roles(df))
 rows("join20_match_pairs", "gold string, type string, tier string, retrieved int, score double", [("A", "t", "exact", 0, 1.0), ("B", "t", None, None, None)], "gold, type, retrieved, tier, score", [("A", "t", 0, "exact", 1.0)], lambda df: df.where("tier is not null"))
 rows("agg18_frequent_stems", "text string", [("결제팀은 결제팀과 주문봇",), ("결제팀이",), (None,)], "stem, n", [("결제팀", 3)], lambda df: goldset.frequent_stems(df, "text", 2, 10))

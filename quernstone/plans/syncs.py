@@ -101,6 +101,49 @@ def _cycles(df):
 for _name in ("str09_periodic_cycles", "str22_cycle_after_failure"):
     rows(_name, "id int", [(1,)], "ran, stopped, errors", [(True, True, ["ValueError: first"])], _cycles)
 
+def _locked(df):
+    """A run that is asked for while one is running is refused, and one after it is not."""
+    import threading
+
+    begun, go = threading.Event(), threading.Event()
+
+    def cycle():
+        begun.set()
+        go.wait(10)
+
+    periodic = Periodic(cycle, 60.0)
+    first = threading.Thread(target=periodic.once)
+    first.start()
+    begun.wait(10)
+    refused = not periodic.once()
+    go.set()
+    first.join()
+    return df.select(F.lit(refused).alias("refused"), F.lit(periodic.once()).alias("after"), F.lit(periodic.runs).alias("runs"))
+
+
+for _name in ("str19_one_run_at_a_time", "str20_runs_counted", "udf35_locked_target"):
+    rows(_name, "id int", [(1,)], "refused, after, runs", [(True, True, 2)], _locked)
+
+
+def _reconfigured(df):
+    import time
+
+    periodic = Periodic(lambda: None, 60.0, delay=60.0)
+    periodic.start()
+    periodic.delay = 0.0
+    periodic.reconfigure(0.01)
+    for _ in range(500):
+        if periodic.runs >= 2:
+            break
+        time.sleep(0.01)
+    periodic.reconfigure(0)
+    runs = periodic.runs
+    time.sleep(0.05)
+    return df.select(F.lit(runs >= 2).alias("faster"), F.lit(periodic.runs == runs).alias("off"))
+
+
+rows("str21_reconfigured_cycles", "id int", [(1,)], "faster, off", [(True, True)], _reconfigured)
+
 # ---------------------------------------------------------------- indexing
 
 _DOCUMENT = "id long, source_type string, title string, original_content string, raw_content string"

@@ -150,3 +150,25 @@ def test_bootstrap_of_any_size(spark, monkeypatch, tmp_path):
     assert seen == [1000] and r.n == 50 and r.low < r.mean < r.high
     again = spark.createDataFrame(rows, "event_type string, event_id long, value double").repartition(7)
     assert own(again, ["event_type"], "event_id").first() == r
+
+
+def test_nearest_passes_over_unsound_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(r.query_id, r.rank): r.id for r in retrieval.nearest_for_all(df, df, 1, "id", "v").collect()}
+    assert got == {(1, 1): 2, (2, 1): 1, (7, 1): 2}
+    assert retrieval.nearest_for_all(df.where("id = 3"), df, 1, "id", "v").collect() == []
+
+
+def test_models_are_tried_again_and_failures_are_null(spark):
+    from quernstone.operators import models
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "boom")], "id int, p string").coalesce(1)
+
+    def model(prompts):
+        if "boom" in prompts:
+            raise OSError("busy")
+        return [p * 2 for p in prompts]
+
+    assert {r.id: r.answer for r in models.asked(df, "p", model, batch=1, tries=2, pause=0.0).collect()} == {1: "aa", 2: None, 3: None}
+    assert models.asked(df.limit(0), "p", model).collect() == []
