@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -153,9 +154,11 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[
 
 
 def released(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a task, after which Arrow gives unused memory back: idle Python workers stay small."""
+    """The rows of a task, after which memory that is free goes back to the system: idle Python workers stay small."""
     yield from rows
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
