@@ -143,3 +143,40 @@ def test_planted_pairs_are_found(spark, similarity):
         docs.append((2 * k + 1, " ".join(copy)))
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(got[2 * k + 1] == 2 * k for k in range(60))
+
+
+def test_large_buckets_lose_no_link(spark):
+    """All share a passage; pairs share little more, so at this threshold most bands of eight registers miss them."""
+    rng = random.Random(5)
+    words = ["w%d" % k for k in range(5000)]
+    common = rng.choices(words, k=64)
+    docs = []
+    for k in range(30):
+        own = rng.choices(words, k=36)
+        docs.append((2 * k, " ".join(common + own)))
+        docs.append((2 * k + 1, " ".join(common + own[:14] + rng.choices(words, k=22))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = dict(brute(docs, 0.55))
+    assert sum(want[2 * k + 1] == 2 * k for k in range(30)) > 20 and len(set(want.values())) >= 30
+    for listed in (256, 4):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(minhash, "LISTED", listed, raising=False)
+            assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df, threshold=0.55, block=1).collect()} == want
+
+
+def test_bounds_hold_for_all_pairs():
+    rng = np.random.default_rng(4)
+    for size in (3, 40, 3000):
+        for kept in (0.2, 0.7, 0.95):
+            a = rng.integers(0, 2**63, size, dtype=np.uint64)[rng.integers(0, size, size)]
+            b = np.where(rng.random(size) < kept, a, rng.integers(0, 2**63, size, dtype=np.uint64))
+            x, y = (np.unique(v, return_counts=True) for v in (a, b))
+            exact = minhash.probability_jaccard(x, y)
+            p, q = minhash.folded(np.concatenate([a, b]), np.repeat([0, 1], size), 2)
+            assert exact <= minhash.bound(p, q) + 1e-6 <= minhash._common(p[None], q)[0] + 1e-5
+            assert minhash._common(p[None], q)[0] <= minhash._common(p.reshape(1, -1, 8).sum(axis=2), q.reshape(-1, 8).sum(axis=1))[0] + 1e-5
+            frequent = np.sort(rng.choice(x[0], max(1, len(x[0]) // 3), replace=False))
+            (i, rest_x), (j, rest_y) = (minhash.prefix(v, n / n.sum(), frequent, np.arange(len(frequent)) + 2, 0.8) for v, n in (x, y))
+            shares = [dict(zip(v[at].tolist(), (n[at] / n.sum()).tolist(), strict=True)) for (v, n), at in ((x, i), (y, j))]
+            met = sum(min(s, shares[1].get(k, 0)) for k, s in shares[0].items())
+            assert max(rest_x, rest_y) < 0.6 + 1e-9 and exact <= met + max(rest_x, rest_y) + 1e-9
