@@ -189,12 +189,12 @@ def _chunks(id_type: pa.DataType, chunk_bytes: int):
 
         def out() -> pa.RecordBatch:
             flat = [w for _, own in held for w in (*own, b"")]
-            seen = list(dict.fromkeys([b"", *flat]))
+            coded = pa.array([b"", *flat], pa.large_binary()).dictionary_encode()
+            seen = coded.dictionary.to_pylist()
             order = np.argsort(np.fromiter(map(zlib.crc32, seen), np.int64, len(seen)), kind="stable")
-            place = {w: k for k, w in enumerate(seen)}
             rank = np.empty(len(seen), np.int64)
             rank[order] = np.arange(len(seen))
-            at, words = rank[np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))], [seen[k] for k in order.tolist()]
+            at, words = rank[coded.indices.to_numpy()[1:]], [seen[k] for k in order.tolist()]
             ids = pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], id_type)], ["id"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as writer:
@@ -291,6 +291,13 @@ def ordered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sort[new], back
 
 
+def distinct(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different values, which of these each is) of sorted values."""
+    new = np.ones(len(sorted_values), bool)
+    new[1:] = sorted_values[1:] != sorted_values[:-1]
+    return sorted_values[new], np.cumsum(new) - 1
+
+
 @dataclass
 class Longer:
     """Grams of a chunk before their counts are known: context, word and shorter gram of each (places in the chunk), its bucket (-1: no other chunk has the context) and its count in the chunk's training texts."""
@@ -426,7 +433,7 @@ def _answer(order: int, buckets: int, last: bool):
         shorter = (np.bincount(gram, weights=shorter) / np.maximum(said, 1)).round().astype(np.int64)  # all that say it say the same
         total = np.bincount(gram, weights=n).astype(np.int64)
         alone = np.bincount(gram) == 1
-        context, at = np.unique(v[first], return_inverse=True)
+        context, at = distinct(v[first])
         sums = context_sums(at, total, shorter, len(context))
         seen = total > 0
         number = np.maximum(np.cumsum(seen) - 1, 0) * buckets + bucket
@@ -436,7 +443,7 @@ def _answer(order: int, buckets: int, last: bool):
         rows, answer, uses = [], total * 4 + alone * 2 + heavy[at], np.bincount(at, weights=total, minlength=len(context)).astype(np.int64)
         for chunk, s, e in zip(chunks, np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
             own = gram[s:e]
-            held, to = np.unique(at[own], return_inverse=True)
+            held, to = distinct(at[own])  # a chunk asks in the order of the numbers
             # sums for the weights of contexts before a gram never seen, less what the chunk's own grams tell: nothing if they are all that follows
             unseen = np.bincount(to, weights=total[own] == 0) > 0
             more = np.flatnonzero(unseen & (uses[held] > np.bincount(to, weights=total[own])) & ~hot[held])
@@ -535,6 +542,11 @@ def _summed(level: DataFrame, order: int) -> DataFrame:
     return wanted.mapInArrow(packed, PARTS)
 
 
+def _passes(gathered: DataFrame, n: int) -> list[DataFrame]:
+    """What is gathered for chunks, in parts that have whole chunks."""
+    return [gathered.where(F.pmod(F.xxhash64("chunk"), F.lit(n)) == k) for k in range(n)] if n > 1 else [gathered]
+
+
 def count_tables(store: Store, order: int) -> list[DataFrame]:
     """The stored counts of training texts for each order: (chunk, bucket, a, b, c).
 
@@ -585,10 +597,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gathered = chunks.union(_of(level, 10 + ANSWER))
     sums = []
     for k in range(2, order + 1):
-        # asked in full, then answered part by part, so that what was shuffled for the one is gone before the other
-        asked = gathered.groupBy("chunk").applyInArrow(_ask(k, buckets, hot), PARTS)
-        asked = store.put(asked.withColumn("part", F.pmod("bucket", F.lit(ASKED_PARTS))), f"asked-{k}", "part")
-        store.release()
+        # asked in passes over the chunks, more of them the more is known, then answered part by part, so that what was shuffled for the one is gone before the other
+        for some in _passes(gathered, k - 1):
+            asked = some.groupBy("chunk").applyInArrow(_ask(k, buckets, hot), PARTS)
+            asked = store.put(asked.withColumn("part", F.pmod("bucket", F.lit(ASKED_PARTS))), f"asked-{k}", "part", append=True)
+            store.release()
         for part in range(ASKED_PARTS):
             by = ["bucket", F.when(F.col("bucket") < 0, F.col("chunk"))]
             own = asked.where(F.col("part") == part).drop("part")

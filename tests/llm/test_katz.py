@@ -103,6 +103,18 @@ def test_scores(spark, order, chunk_bytes, hot):
         assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_chunks_are_gathered_in_passes(spark, monkeypatch):
+    """From order 3 on, asks are made of a part of the chunks at once, and no text is lost or scored twice."""
+    stored, put = [], Store.put
+    monkeypatch.setattr(Store, "put", lambda self, df, name, *by, append=False: (stored.append(name), put(self, df, name, *by, append=append))[1])
+    docs = corpus()
+    got = katz.score_documents(frame(spark, docs), order=4, chunk_bytes=400, hot=20).collect()
+    assert [stored.count(f"asked-{k}") for k in (2, 3, 4)] == [1, 2, 3]
+    key = lambda r: (str(r[0]), r[2], r[5])
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(scores(docs, 4), key=key), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
+
+
 def test_longer_contexts_tell_more_where_texts_have_them(spark):
     rng = random.Random(3)
     docs = []
