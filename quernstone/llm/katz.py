@@ -17,9 +17,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,17 +53,18 @@ def loosen(packed: bytes) -> bytes:
 
 def pack(numbers: np.ndarray) -> bytes:
     """Whole numbers, byte plane by byte plane, in as many planes as the largest needs."""
-    numbers = np.ascontiguousarray(numbers, "<i8")
-    planes = numbers.view(np.uint8).reshape(-1, 8).T
     wide = 8 if len(numbers) and numbers.min() < 0 else max(1, -(-int(numbers.max()).bit_length() // 8)) if len(numbers) else 1
+    narrow = np.ascontiguousarray(numbers, next(f"<i{n}" if n == 8 else f"<u{n}" for n in (1, 2, 4, 8) if n >= wide))
+    planes = narrow.view(np.uint8).reshape(-1, narrow.itemsize).T
     return bytes([wide]) + squeeze(planes[:wide].tobytes())
 
 
 def unpack(packed: bytes) -> np.ndarray:
     planes = np.frombuffer(loosen(packed[1:]), np.uint8).reshape(packed[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : packed[0]] = planes.T
-    return out.view("<i8").ravel()
+    out = planes[0].astype("<i8")
+    for k in range(1, packed[0]):
+        out |= planes[k].astype("<i8") << 8 * k
+    return out
 
 
 def places(at: np.ndarray, size: int) -> bytes:
@@ -80,9 +83,12 @@ def unplaced(packed: bytes) -> tuple[np.ndarray, int]:
     return np.argsort(-often, kind="stable")[unpack(packed[cut:])], len(often)
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words between ASCII white space, with A-Z in lower case."""
-    return text.encode().lower().split()
+def tokens(texts: pa.Array) -> pa.ListArray:
+    """The words of each text between ASCII white space, with A-Z in lower case, then its end, the empty word; null is empty."""
+    text = pa.scalar("", pa.large_string())
+    words = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), text)))
+    ended = pc.binary_join_element_wise(words, pa.scalar(" ", pa.large_string()), text)
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(words, text), text, ended))
 
 
 def held_out(doc_id: object) -> bool:
@@ -172,6 +178,14 @@ def context_sums(at: np.ndarray, total: np.ndarray, lower: np.ndarray, contexts:
     return sums
 
 
+def sums_of(some: np.ndarray, at: np.ndarray, total: np.ndarray, lower: np.ndarray, contexts: int) -> np.ndarray:
+    """The rows of ``context_sums`` of some contexts, in their order."""
+    place = np.full(contexts, -1)
+    place[some] = np.arange(len(some))
+    own = np.flatnonzero((place >= 0)[at])
+    return context_sums(place[at[own]], total[own], lower[own], len(some))
+
+
 def count_figures(total: np.ndarray) -> np.ndarray:
     return np.asarray([int((total == r).sum()) for r in range(1, K + 2)])
 
@@ -188,28 +202,33 @@ def _chunks(id_type: pa.DataType, chunk_bytes: int):
         task, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out() -> pa.RecordBatch:
-            flat = [w for _, own in held for w in (*own, b"")]
-            coded = pa.array([b"", *flat], pa.large_binary()).dictionary_encode()
-            seen = coded.dictionary.to_pylist()
+            id_array = pa.concat_arrays([part.column(0).cast(id_type) for part in held])
+            words_by_text = tokens(pa.concat_arrays([part.column(1) for part in held]))
+            coded = pa.concat_arrays([pa.array([""], pa.large_string()), words_by_text.flatten()]).dictionary_encode()
+            seen = coded.dictionary.cast(pa.large_binary()).to_pylist()
             order = np.argsort(np.fromiter(map(zlib.crc32, seen), np.int64, len(seen)), kind="stable")
             rank = np.empty(len(seen), np.int64)
             rank[order] = np.arange(len(seen))
             at, words = rank[coded.indices.to_numpy()[1:]], [seen[k] for k in order.tolist()]
-            ids = pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], id_type)], ["id"])
+            ids = pa.RecordBatch.from_arrays([id_array], ["id"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as writer:
                 writer.write_batch(ids)
-            n = np.asarray([len(own) + 1 for _, own in held])
-            trained = np.repeat([not held_out(i) for i, _ in held], n)
+            n = pc.list_value_length(words_by_text).to_numpy().astype(np.int64)
+            trained = np.repeat([not held_out(i) for i in id_array.to_pylist()], n)
             counts = np.bincount(at[trained], minlength=len(words))
             row = task << 32 | nth
             rows = [(LISTED, row, -1, squeeze(b"\n".join(words)), pack(counts), None, None), (CHUNK, row, -1, None, places(at, len(words)), pack(n), squeeze(sink.getvalue().to_pybytes()))]
             return _rows(rows).to_batches()[0]
 
         for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append((doc_id, tokens(text or "")))
-                size += len(text or "") + 1
+            upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy().astype(np.int64) + 1)])
+            at = 0
+            while at < batch.num_rows:
+                end = min(int(np.searchsorted(upto, upto[at] + chunk_bytes - size)), batch.num_rows)
+                held.append(batch.slice(at, end - at))
+                size += int(upto[end] - upto[at])
+                at = end
                 if size >= chunk_bytes:
                     yield out()
                     nth, held, size = nth + 1, [], 0
@@ -229,6 +248,10 @@ class Grams:
     alone: np.ndarray
     heavy: np.ndarray
 
+    @cached_property
+    def ranks(self) -> np.ndarray:
+        return ranks(self.gid)
+
 
 class Chunk:
     """A chunk's tokens, opened."""
@@ -249,16 +272,17 @@ class Chunk:
         before[self.starts] = 0 if order == 2 else -1
         ok = np.flatnonzero((before >= 0) & (lower.count[before] > 0))
         context, word = before[ok], self.at[ok]
-        scattered, salt = mix(words.gid.astype(np.uint64)), lower.gid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        spread = np.maximum(1, -(-lower.count // hot)).astype(np.uint64)[context]
-        part = scattered[word]
-        if len(spread) and spread.max() > 1:
-            part = part % spread
-        else:
-            part = np.uint64(0)
-        bucket = (mix(salt[context] + part) % np.uint64(buckets)).astype(np.int64)
-        bucket[lower.alone[context]] = -1
-        first, back = ordered(bucket + 1, ranks(lower.gid)[context], ranks(words.gid)[word])
+        salt = lower.gid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        home = (mix(salt) % np.uint64(buckets)).astype(np.int64)
+        home[lower.alone] = -1
+        bucket = home[context]
+        spread = (lower.count > hot) & ~lower.alone
+        if spread.any():
+            to = np.flatnonzero(spread[context])
+            over = context[to]
+            part = mix(words.gid[word[to]].astype(np.uint64)) % (-(-lower.count // hot)).astype(np.uint64)[over]
+            bucket[to] = (mix(salt[over] + part) % np.uint64(buckets)).astype(np.int64)
+        first, back = ordered(bucket + 1, lower.ranks[context], words.ranks[word])
         at = np.full(len(self.at), -1)
         at[ok] = back
         local = np.bincount(back[self.trained[ok]], minlength=len(first))
@@ -291,6 +315,12 @@ def ordered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sort[new], back
 
 
+def flagged(at: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, bool)
+    out[at] = True
+    return out
+
+
 def distinct(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the different values, which of these each is) of sorted values."""
     new = np.ones(len(sorted_values), bool)
@@ -350,22 +380,23 @@ def _answer_words(buckets: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
         bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
-        own = [loosen(a).split(b"\n") for a in table.column("a").to_pylist()]
-        words = sorted({w for x in own for w in x})
-        place = {w: k for k, w in enumerate(words)}
-        at = [np.fromiter(map(place.__getitem__, x), np.int64, len(x)) for x in own]
-        total = np.zeros(len(words), np.int64)
-        for k, b in zip(at, table.column("b").to_pylist(), strict=True):
-            total[k] += unpack(b)
+        own = [loosen(a) for a in table.column("a").to_pylist()]
+        sizes, raw = [x.count(b"\n") + 1 for x in own], b"\n".join([*own, b""])
+        # words with the line break that ends each, where they lie
+        cut = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1]).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(raw)]).dictionary_encode()
+        at = coded.indices.to_numpy()
+        total = np.bincount(at, weights=np.concatenate([unpack(b) for b in table.column("b").to_pylist()])).astype(np.int64)
         order = np.argsort(-total, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        words, total, at = [words[k] for k in order], total[order], [rank[k] for k in at]
-        alone = np.bincount(np.concatenate(at), minlength=len(words)) == 1
+        words, total, at = b"".join(coded.dictionary.take(pa.array(order)).to_pylist())[:-1], total[order], rank[at]
+        alone, at = np.bincount(at) == 1, np.split(at, np.cumsum(sizes)[:-1])
         rows = [(10 + ANSWER, c, bucket, pack(total[k] * 4 + alone[k] * 2), None, pack(k * buckets + bucket), None) for c, k in zip(chunks, at, strict=True)]
         figures = [int(total.sum()), int((total > 0).sum()), *count_figures(total), int(total[total > K].sum())]
-        return _rows([*rows, (10 + COUNTED, None, bucket, squeeze(b"\n".join(words)), pack(total), None, pack(np.asarray(figures)))])
+        return _rows([*rows, (10 + COUNTED, None, bucket, squeeze(words), pack(total), None, pack(np.asarray(figures)))])
 
     return run
 
@@ -445,10 +476,11 @@ def _answer(order: int, buckets: int, last: bool):
             own = gram[s:e]
             held, to = distinct(at[own])  # a chunk asks in the order of the numbers
             # sums for the weights of contexts before a gram never seen, less what the chunk's own grams tell: nothing if they are all that follows
-            unseen = np.bincount(to, weights=total[own] == 0) > 0
-            more = np.flatnonzero(unseen & (uses[held] > np.bincount(to, weights=total[own])) & ~hot[held])
-            rest = sums[held] - context_sums(to, total[own], shorter[own], len(held))
-            rows.append((10 * order + ANSWER, chunk, bucket, pack(answer[own]), pack(rest[more].T.ravel()), None if last else pack(np.diff(number[own], prepend=0)), None))
+            here = total[own]
+            unseen = flagged(to[here == 0], len(held))
+            more = np.flatnonzero(unseen & (uses[held] > np.bincount(to, weights=here)) & ~hot[held])
+            rest = sums[held[more]] - sums_of(more, to, here, shorter[own], len(held))
+            rows.append((10 * order + ANSWER, chunk, bucket, pack(answer[own]), pack(rest.T.ravel()), None if last else pack(np.diff(number[own], prepend=0)), None))
             if hot[held].any():
                 rows.append((10 * order + ASKED, chunk, bucket, None, None, None, context[held[hot[held]]].tobytes()))
         if hot.any():
@@ -479,24 +511,29 @@ def _score(order: int, buckets: int, hot: int, words: Unigrams, discounts: list[
         size: np.ndarray | float = words.size
         for k in range(2, order + 1):
             lower, new, grams = got.grams[k - 2], got.longer[k - 2], got.grams[k - 1]
-            sums = context_sums(new.context, grams.count, lower.count[new.shorter], len(lower.count))
-            by_context = lambda x: np.bincount(new.context, weights=x, minlength=len(lower.count))  # noqa: B023, E731
-            uses, unseen, heavy = by_context(grams.count), by_context(grams.count == 0) > 0, by_context(grams.heavy) > 0
-            weighed = np.ones(len(lower.count), bool)
+            contexts = len(lower.count)
+            uses = np.bincount(new.context, weights=grams.count, minlength=contexts)
+            unseen, heavy, discounted = (flagged(new.context[x], contexts) for x in (grams.count == 0, grams.heavy, (grams.count > 0) & (grams.count <= K)))
+            heavy |= lower.alone & (uses > 0) & ~discounted
+            # weights are asked of contexts before a gram never seen, and sizes of all: the count, and one more where nothing is discounted
+            weighed = np.flatnonzero(unseen | (lower.count > hot))
+            place = np.full(contexts, -1)
+            place[weighed] = np.arange(len(weighed))
+            sums = sums_of(weighed, new.context, grams.count, lower.count[new.shorter], contexts)
             asked = ((s, e) for bucket, s, e in _runs(new.bucket) if bucket >= 0)
             for (s, e), (_, b) in zip(asked, sorted(got.pick(10 * k + ANSWER, "bucket", "b")), strict=True):
                 held = new.context[s:e][np.concatenate([[True], new.context[s + 1 : e] != new.context[s : e - 1]])]
                 more = held[unseen[held] & (lower.count[held] > uses[held]) & (lower.count[held] <= hot)]
-                sums[more] += unpack(b).reshape(2 * K + 2, -1).T
-                weighed[held] = unseen[held] | (lower.count[held] > hot)
+                sums[place[more]] += unpack(b).reshape(2 * K + 2, -1).T
             if summed := got.pick(10 * k + SUMMED, "d"):
                 rows = np.asarray([np.frombuffer(x, np.int64) for (x,) in summed])
-                by_id = np.argsort(lower.gid)
-                sums[by_id[np.searchsorted(lower.gid[by_id], rows[:, 0])]] = rows[:, 1:]
+                spread = np.flatnonzero(lower.count > hot)  # grams never seen have numbers of others
+                by_id = spread[np.argsort(lower.gid[spread])]
+                sums[place[by_id[np.searchsorted(lower.gid[by_id], rows[:, 0])]]] = rows[:, 1:]
             # the size of the context without its first word
-            shorter = size if k == 2 else size[got.longer[k - 3].shorter]
-            full, weight = backoff(discounts[k - 1], discounts[k - 2], shorter, np.maximum(lower.count, 1), sums)
-            size = np.where(weighed, full, lower.count + heavy)
+            shorter = size if k == 2 else size[got.longer[k - 3].shorter[weighed]]
+            size, weight = (np.maximum(lower.count, 1) + heavy).astype(float), np.zeros(contexts)
+            size[weighed], weight[weighed] = backoff(discounts[k - 1], discounts[k - 2], shorter, np.maximum(lower.count[weighed], 1), sums)
             known = np.flatnonzero(new.at >= 0)
             at = new.at[known]
             c, context = grams.count[at], new.context[at]

@@ -6,6 +6,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quernstone.llm import katz
@@ -179,3 +180,34 @@ def test_ordered_keys_of_any_size():
         assert [rows[i] for i in first] == sorted(set(rows)) and [rows[first[k]] for k in back] == rows
     assert [len(x) for x in katz.ordered(np.zeros(0, int), np.zeros(0, int))] == [0, 0]
     assert katz.ranks(np.asarray([30, -1, 7])).tolist() == [2, 0, 1]
+
+
+def test_texts_are_split_many_at_once():
+    texts = ["  The\tthe \n", "", None, " \x0b\x0c\r", "É\xa0é\x1cA\x85b  İ", "x\x00y Z", "end"]
+    got = katz.tokens(pa.array(texts)).to_pylist()
+    assert got == [[w or "" for w in toks(t)] for t in texts]
+
+
+def test_words_of_a_partition_are_counted_where_they_lie():
+    lists = [[b"", b"a", "é".encode()], [b""], [b"", b"b", b"a"]]
+    counts = [[3, 0, 1], [2], [1, 0, 7]]
+    rows = [(10 + katz.ASK, c, 4, katz.squeeze(b"\n".join(w)), katz.pack(np.asarray(n)), None, None) for c, w, n in zip((9, 2, 5), lists, counts, strict=True)]
+    made = [katz._answer_words(6)(katz._rows(x)).to_pylist() for x in (rows, rows[::-1])]
+    assert made[0] == made[1]  # numbers do not depend on the order in which messages come
+    *answers, counted = made[0]
+    words, total = katz.loosen(counted["a"]).split(b"\n"), katz.unpack(counted["b"]).tolist()
+    assert dict(zip(words, total, strict=True)) == {b"": 6, b"a": 7, b"b": 0, "é".encode(): 1}
+    for x in answers:
+        own = lists[{9: 0, 2: 1, 5: 2}[x["chunk"]]]
+        assert [words[k // 6] for k in katz.unpack(x["c"]).tolist()] == own
+        assert katz.unpack(x["a"]).tolist() == [total[words.index(w)] * 4 + 2 * (w in (b"b", "é".encode())) for w in own]
+
+
+def test_sums_are_made_only_for_contexts_that_need_them(monkeypatch):
+    rng = np.random.default_rng(2)
+    at, total, lower = rng.integers(0, 40, 500), rng.integers(0, 9, 500), rng.integers(1, 30, 500)
+    every, some, sizes, plain = katz.context_sums(at, total, lower, 40), np.asarray([7, 3, 39]), [], katz.context_sums
+    monkeypatch.setattr(katz, "context_sums", lambda *x: (sizes.append((len(x[0]), x[3])), plain(*x))[1])
+    assert (katz.sums_of(some, at, total, lower, 40) == every[some]).all()
+    assert sizes == [(int(np.isin(at, some).sum()), 3)]
+    assert katz.sums_of(some[:0], at, total, lower, 40).shape == (0, 2 * katz.K + 2)
