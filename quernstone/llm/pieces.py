@@ -20,8 +20,8 @@ CACHE_UNITS = 1_000_000
 GROUP_CHARS = 4 << 20
 #: Longer units go through the agenda one by one; the others are merged side by side.
 LONG = 200
-#: So many units' agendas step together at most, which bounds their arrays.
-TOGETHER = 20_000
+#: So many units' agendas of so many characters in all step together at most, which bounds their arrays.
+TOGETHER, TOGETHER_CHARS = 20_000, 1 << 20
 #: Steps of an agenda are told apart up to so many; a unit that is not long has less.
 GAPS = 1024
 DROPOUT, SEED = 0.1, 1
@@ -38,6 +38,29 @@ def _mix(x: int) -> int:
     return x ^ x >> 31
 
 
+class Growing:
+    """An array to which others are added."""
+
+    def __init__(self, dtype: type):
+        self.room, self.n = np.zeros(1 << 10, dtype), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.room):
+            self.room = np.concatenate([self.all, np.zeros(max(self.n, len(x)), self.room.dtype)])
+        self.room[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one after another."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)
+
+
 class PieceModel:
     """The merges of a SentencePiece BPE model with byte fallback and identity normalisation.
 
@@ -99,9 +122,10 @@ class PieceModel:
 
     def _slots(self, keys: np.ndarray) -> None:
         """An open hash table of the merges, at most a quarter full."""
-        size = 1 << (len(keys) * 4).bit_length()
-        self._mask, self._key, self._at = np.uint64(size - 1), np.full(size, -1, np.int64), np.zeros(size, np.int32)
-        todo, slot = np.arange(len(keys)), mix(keys.astype(np.uint64)) & self._mask
+        bits = (len(keys) * 4).bit_length()
+        self._shift, self._mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        self._key, self._at = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
         while len(todo):
             free = self._key[slot] < 0
             self._key[slot[free]] = keys[todo[free]]
@@ -109,17 +133,20 @@ class PieceModel:
             self._at[slot[done]] = todo[done]
             todo, slot = todo[~done], (slot[~done] + np.uint64(1)) & self._mask
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return keys.view(np.uint64) * np.uint64(_A) >> self._shift
+
     def _look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair among the merges, -1 for none."""
-        key = left.astype(np.int64) << 32 | right.astype(np.int64)
-        out, todo = np.full(len(key), -1, np.int32), np.flatnonzero((left >= 0) & (right >= 0))
-        slot = mix(key[todo].astype(np.uint64)) & self._mask
+        out, todo = np.full(len(left), -1, np.int32), np.flatnonzero((left >= 0) & (right >= 0))
+        key = left[todo].astype(np.int64) << 32 | right[todo]
+        slot = self._slot(key)
         while len(todo):
             there = self._key[slot]
-            hit = there == key[todo]
+            hit = there == key
             out[todo[hit]] = self._at[slot[hit]]
-            on = ~hit & (there >= 0)
-            todo, slot = todo[on], (slot[on] + np.uint64(1)) & self._mask
+            on = np.flatnonzero(~hit & (there >= 0))
+            todo, key, slot = todo[on], key[on], (slot[on] + np.uint64(1)) & self._mask
         return out
 
     @staticmethod
@@ -137,13 +164,15 @@ class PieceModel:
         return [self.bytes[b] for b in char.encode()]
 
     def _clear(self) -> None:
-        """Forgets all nodes: each has its unit, skipped steps, ids, and how many steps it has after the last skip."""
+        """Forgets all units and nodes.
+
+        A unit has its characters, after a space.  A node has its unit, its ids, how many
+        steps it has after the last skip, its parent and the steps between their skips.
+        """
         self._first: dict[str, int] = {}
         self._child: dict[int, int] = {}
-        self._unit: list[str] = []
-        self._skips: list[tuple[int, ...]] = []
-        self._ids: list[bytes] = []
-        self._left = np.zeros(0, np.int32)
+        self._code, self._ids = Growing(np.uint32), Growing(np.uint32)
+        self._code_start, self._code_size, self._unit, self._start, self._size, self._left, self._parent, self._gap = (Growing(np.int64) for _ in range(8))
 
     def segment(self, unit: str, variant: int) -> list[int]:
         """The ids of one unit as an occurrence whose key is of the variant and the unit."""
@@ -198,105 +227,150 @@ class PieceModel:
         """``segment`` of many (variant, unit), as little-endian 32-bit bytes."""
         return self._occurrences([u for _, u in units], np.asarray([self._key_of(u, v) for v, u in units], np.uint64))
 
-    def _add(self, units: list[str], skips: list[tuple[int, ...]]) -> range:
-        """Makes nodes: agendas of units of one length take steps together."""
-        n, by_length = len(self._ids), {}
-        for k, u in enumerate(units):
-            by_length.setdefault(len(u), []).append(k)
-        ids, left = [b""] * len(units), np.zeros(len(units), np.int32)
-        for own in by_length.values():
-            for at in range(0, len(own), TOGETHER):
-                part = own[at : at + TOGETHER]
-                found, steps = self._segment_equal([units[k] for k in part], [skips[k] for k in part])
-                for k, x, s in zip(part, found, steps.tolist(), strict=True):
-                    ids[k], left[k] = x, s - (skips[k][-1] + 1 if skips[k] else 0)
-        self._unit += units
-        self._skips += skips
-        self._ids += ids
-        self._left = np.concatenate([self._left, left])
-        return range(n, len(self._ids))
-
-    def _occurrences(self, units: list[str], keys: np.ndarray) -> list[bytes]:
-        """The ids of occurrences of units by their keys; nodes are kept in a bounded cache."""
-        if len(self._ids) > CACHE_UNITS:
+    def _add(self, unit: np.ndarray, parent: np.ndarray, gap: np.ndarray, depth: int) -> range:
+        """Makes nodes of as many skips: agendas of units of one length take steps together."""
+        skips = np.zeros((len(unit), depth), np.int64)
+        node, own = parent, gap
+        for k in range(depth - 1, -1, -1):
+            skips[:, k] = own + 1
+            node, own = self._parent.all[node], self._gap.all[node]
+        skips = np.cumsum(skips, axis=1) - 1
+        sizes = self._code_size.all[unit]
+        order = np.argsort(sizes, kind="stable")
+        count, steps, made = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64), []
+        edges = np.flatnonzero(np.diff(sizes[order], prepend=-1)).tolist()
+        for a, e in zip(edges, [*edges[1:], len(unit)], strict=True):
+            size = int(sizes[order[a]])
+            most = max(1, min(TOGETHER, TOGETHER_CHARS // size))
+            for at in range(a, e, most):
+                part = order[at : min(at + most, e)]
+                codes = self._code.all[self._code_start.all[unit[part]][:, None] + np.arange(size)]
+                ids, count[part], steps[part] = self._segment_rows(codes, skips[part])
+                made.append(ids)
+        start, n = np.zeros(len(unit), np.int64), self._unit.n
+        start[order] = self._ids.n + np.cumsum(count[order]) - count[order]
+        self._ids.add(np.concatenate(made))
+        for own, x in ((self._unit, unit), (self._start, start), (self._size, count), (self._left, steps - (skips[:, -1] + 1 if depth else 0)), (self._parent, parent), (self._gap, gap)):
+            own.add(x)
+        return range(n, self._unit.n)
+
+    def _add_units(self, units: list[str]) -> None:
+        """Makes units and their nodes of no skip."""
+        size, n = np.asarray([len(u) + 1 for u in units], np.int64), self._code_size.n
+        self._code_start.add(self._code.n + np.cumsum(size) - size)
+        self._code_size.add(size)
+        self._code.add(np.frombuffer((" " + " ".join(units)).encode("utf-32-le"), np.uint32))
+        none = np.full(len(units), -1)
+        self._first.update(zip(units, self._add(np.arange(n, n + len(units)), none, none, 0), strict=True))
+
+    def _nodes(self, units: list[str], keys: np.ndarray) -> np.ndarray:
+        """The nodes of occurrences of units by their keys, -1 for long units; nodes are kept in a bounded cache."""
+        if self._unit.n > CACHE_UNITS:
             self._clear()
         first = self._first
-        if new := [u for u in set(units).difference(first) if len(u) <= LONG]:
-            first.update(zip(new, self._add(new, [()] * len(new)), strict=True))
-        node = np.asarray([first.get(u, -1) for u in units], np.int64)
+        new = set(units).difference(first)
+        long = dict.fromkeys([u for u in new if len(u) > LONG], -1)
+        if len(new) > len(long):
+            self._add_units([u for u in new if u not in long] if long else list(new))
+        node = np.fromiter(map((first | long if long else first).__getitem__, units), np.int64, len(units))
         live, turn = np.flatnonzero(node >= 0) if self.limit else np.zeros(0, np.int64), 0
         while len(live):
             gap = np.searchsorted(self._gaps, mix(keys[live] + np.uint64(turn * _C & (1 << 64) - 1)), side="right")
-            skipped = gap < self._left[node[live]]
+            skipped = gap < self._left.all[node[live]]
             live, gap = live[skipped], gap[skipped]
             want, back = np.unique(node[live] * GAPS + gap, return_inverse=True)
-            wanted = want.tolist()
-            if new := [w for w in wanted if w not in self._child]:
-                parents = [w // GAPS for w in new]
-                skips = [(*s, (s[-1] + 1 if s else 0) + w % GAPS) for s, w in zip((self._skips[k] for k in parents), new, strict=True)]
-                self._child.update(zip(new, self._add([self._unit[k] for k in parents], skips), strict=True))
-            node[live] = np.asarray([self._child[w] for w in wanted], np.int64)[back]
+            found = np.asarray([self._child.get(w, -1) for w in want.tolist()], np.int64)
+            if len(new := want[found < 0]):
+                parents = new // GAPS
+                added = self._add(self._unit.all[parents], parents, new % GAPS, turn + 1)
+                self._child.update(zip(new.tolist(), added, strict=True))
+                found[found < 0] = added
+            node[live] = found[back]
             turn += 1
-        ids = self._ids
-        out = [ids[k] if k >= 0 else b"" for k in node.tolist()]
-        for k in np.flatnonzero(node < 0).tolist():
-            out[k] = np.asarray(self.segment_key(units[k], int(keys[k])), "<u4").tobytes()
-        return out
+        return node
+
+    def _found(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each has) of occurrences of units by their keys."""
+        node = self._nodes(units, keys)
+        ids, start, size = self._ids.all, self._start.all, self._size.all
+        if len(long := np.flatnonzero(node < 0)):
+            more = [np.asarray(self.segment_key(units[k], int(keys[k])), np.uint32) for k in long.tolist()]
+            sizes = np.asarray([len(x) for x in more])
+            node[long] = len(start) + np.arange(len(long))
+            start, size = np.concatenate([start, len(ids) + np.cumsum(sizes) - sizes]), np.concatenate([size, sizes])
+            ids = np.concatenate([ids, *more])
+        own = size[node]
+        return ids[_spans(start[node], own)], own
+
+    @staticmethod
+    def _cut(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=False)]
+
+    def _occurrences(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """The ids of occurrences of units by their keys."""
+        return self._cut(*self._found(units, keys))
 
     def _segment_equal(self, units: list[str], skips: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray]:
-        """(ids, number of steps) of units of equal length of which given steps are skipped: a row a unit, a column a character and one that stands for both ends."""
-        chars = [" " + u for u in units]
-        n, size = len(units), len(chars[0])
-        symbol = np.full((n, size + 1), -3, np.int32)
-        symbol[:, :size] = self._of_char[np.frombuffer("".join(chars).encode("utf-32-le"), np.uint32)].reshape(n, size)
-        after, before = (np.tile(x.astype(np.int32), (n, 1)) for x in (np.append(np.arange(1, size + 1), size), np.append(np.arange(-1, size - 1) % (size + 1), size)))
-        merge = np.full((n, size + 1), -1, np.int32)
+        """(ids, number of steps) of units of equal length of which as many given steps are skipped."""
+        codes = np.frombuffer("".join([" " + u for u in units]).encode("utf-32-le"), np.uint32).reshape(len(units), len(units[0]) + 1)
+        ids, count, steps = self._segment_rows(codes, np.asarray(skips, np.int64).reshape(len(units), -1))
+        return self._cut(ids, count), steps
+
+    def _segment_rows(self, codes: np.ndarray, skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all rows, how many each has, number of steps) of units of equal length of which given steps are skipped: a row a unit, a column a character and one that stands for both ends."""
+        n, size = codes.shape
+        wide = size + 1
+        place = np.arange(n * wide).reshape(n, wide)
+        after, before = place + 1, place - 1
+        after[:, size] = before[:, 0] = place[:, size]
+        symbol = np.full((n, wide), -3, np.int32)
+        symbol[:, :size] = self._of_char[codes]
+        merge = np.full((n, wide), -1, np.int32)
         merge[:, : size - 1] = self._look(symbol[:, : size - 1].ravel(), symbol[:, 1:size].ravel()).reshape(n, size - 1)
         rank = np.where(merge >= 0, self._ranks[merge], _NEVER)
-        alive = np.ones((n, size), bool)
-        skipped = np.full((n, max(map(len, skips))), -1, np.int32)
-        for k, own in enumerate(skips):
-            skipped[k, : len(own)] = own
-        rows, steps, step = np.arange(n), np.zeros(n, np.int32), 0
-
-        def offer(r: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-            found = self._look(symbol[r, i], symbol[r, j])
-            merge[r, i] = found
-            rank[r, i] = np.where(found >= 0, self._ranks[found], _NEVER)
-
-        while len(rows):
-            i = rank[rows].argmin(axis=1)
-            more = rank[rows, i] != _NEVER
+        alive = np.ones((n, wide), bool)
+        alive[:, size] = False
+        by_row, lives = rank, alive
+        after, before, symbol, merge, rank, alive = (x.reshape(-1) for x in (after, before, symbol, merge, rank, alive))
+        rows, steps, step = np.arange(n), np.zeros(n, np.int64), 0
+        while True:
+            i = rows * wide + by_row[rows].argmin(axis=1)
+            more = rank[i] != _NEVER
             rows, i = rows[more], i[more]
-            j, piece, r = after[rows, i], self._merged[merge[rows, i]], rows
+            if not len(rows):
+                break
             steps[rows] += 1
             if skipped.shape[1]:
-                skip = (skipped[r] == step).any(axis=1)
-                rank[r[skip], i[skip]] = _NEVER
-                r, i, j, piece = (x[~skip] for x in (r, i, j, piece))
-            nxt, prv = after[r, j], before[r, i]
-            symbol[r, i], alive[r, j], rank[r, j] = piece, False, _NEVER
-            after[r, i], before[r, nxt] = nxt, i
-            before[r, size] = size
-            offer(r, i, nxt)
-            offer(r, prv, i)
+                skip = (skipped[rows] == step).any(axis=1)
+                rank[i[skip]] = _NEVER
+                i = i[~skip]
+            j = after[i]
+            nxt, prv = after[j], before[i]
+            symbol[i], alive[j], rank[j] = self._merged[merge[i]], False, _NEVER
+            after[i], before[nxt] = nxt, i
+            left, right = np.concatenate([i, prv]), np.concatenate([nxt, i])
+            found = self._look(symbol[left], symbol[right])
+            merge[left] = found
+            rank[left] = np.where(found >= 0, self._ranks[found], _NEVER)
             step += 1
-        count = alive.sum(axis=1)
-        flat = symbol[:, :size][alive]
-        raw, cut = flat.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(count)])
-        out = [raw[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        odd = np.flatnonzero((flat < 0) | (flat >= self.pieces))
-        for k in np.unique(np.searchsorted(cut, odd, side="right") - 1).tolist():
-            ids: list[int] = []
-            for c, x in zip(np.flatnonzero(alive[k]).tolist(), flat[cut[k] : cut[k + 1]].tolist(), strict=True):
-                ids += [x] if 0 <= x < self.pieces else self._spell(chars[k][c])
-            out[k] = np.asarray(ids, "<u4").tobytes()
-        return out, steps
+        count, ids = lives.sum(axis=1), symbol[alive]
+        odd = np.flatnonzero((ids < 0) | (ids >= self.pieces))
+        if len(odd):  # characters that are spelt in bytes
+            spelt, back = np.unique(codes[lives[:, :size]][odd], return_inverse=True)
+            spelling = [self._spell(chr(c)) for c in spelt.tolist()]
+            sizes, own = np.asarray([len(x) for x in spelling]), np.ones(len(ids), np.int64)
+            own[odd] = sizes[back]
+            row, ids = np.repeat(np.arange(n), count), np.repeat(ids, own)
+            count = np.bincount(row, weights=own, minlength=n).astype(np.int64)
+            to = _spans((np.cumsum(own) - own)[odd], own[odd])
+            ids[to] = np.concatenate(spelling)[_spans((np.cumsum(sizes) - sizes)[back], own[odd])]
+        return ids.astype(np.uint32), count, steps
 
     def _joined(self, parts: list[list[str]], keys: np.ndarray) -> list[bytes]:
-        every = self._occurrences([u for own in parts for u in own], keys)
-        cut = np.cumsum([0, *map(len, parts)]).tolist()
-        return [b"".join(every[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        ids, sizes = self._found([u for own in parts for u in own], keys)
+        upto, cut = np.concatenate([[0], np.cumsum(sizes)]), np.cumsum([0, *map(len, parts)])
+        return self._cut(ids, np.diff(upto[cut]))
 
     def encode_all(self, texts: list[str], variants: list[int]) -> list[bytes]:
         """The ids of texts as little-endian 32-bit bytes; a unit is split alike throughout a variant."""
@@ -312,8 +386,7 @@ class PieceModel:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the first piece's leading space was put there by encoding."""
-        surface = self.surface
-        return b"".join([surface[k] for k in np.frombuffer(ids, "<u4").tolist()])[1:].decode()
+        return b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:].decode()
 
 
 def _document(doc_id: object, seed: int) -> int:

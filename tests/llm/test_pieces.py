@@ -95,3 +95,31 @@ def test_long_and_short_agendas_agree_on_keys(monkeypatch, dropped):
     monkeypatch.setattr(pieces, "LONG", -1)
     dropped._clear()
     assert dropped._occurrences(units, keys) == short
+
+
+def test_what_a_merge_offers_is_looked_up_at_once(monkeypatch, dropped):
+    calls, look = [], pieces.PieceModel._look
+    monkeypatch.setattr(pieces.PieceModel, "_look", lambda self, left, right: (calls.append(len(left)), look(self, left, right))[1])
+    units = ["international", "understanding", "日本語テキスト🙂\x00éß▁x"]
+    got, steps = dropped._segment_equal(units, [(1, 3), (0, 2), (0, 1)])
+    assert len({len(u) for u in units}) == 1 and len(calls) == steps.max() + 1
+    assert dropped.decode(got[2]) == units[2] and dropped.decode(got[0]) == units[0]
+
+
+def test_nodes_are_the_same_however_many_step_together(monkeypatch, dropped):
+    texts = [*TEXTS, "understanding " * 40, "日本 語x " * 30, "w" * 300 + " tail", "naïve " + "ab" * 90]
+    documents = list(range(len(texts)))
+    dropped._clear()
+    want = dropped.encode_each(texts, documents)
+    keys = [(u, int(k)) for t, d in zip(texts, documents, strict=True) for u, k in zip(dropped.units(t), pieces.mix(np.uint64(d) + np.arange(len(dropped.units(t)), dtype=np.uint64) * np.uint64(pieces._A)), strict=True)]
+    assert [k for x in want for k in ids(x)] == [k for u, key in keys for k in dropped.segment_key(u, key)]
+    for name, value in (("TOGETHER", 2), ("TOGETHER_CHARS", 30), ("CACHE_UNITS", 3)):
+        monkeypatch.setattr(pieces, name, value)
+        dropped._clear()
+        assert dropped.encode_each(texts, documents) == want
+    assert [dropped.encode_each([t], [d])[0] for t, d in zip(texts, documents, strict=True)] == want
+
+
+def test_spans():
+    assert pieces._spans(np.asarray([5, 0, 9]), np.asarray([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
+    assert pieces._spans(np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
