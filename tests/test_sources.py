@@ -90,3 +90,20 @@ def test_alias_pairs_against_all_with_all(spark):
                     want.add((i, j, "alias"))
     got = [tuple(r) for r in matching.alias_pairs(spark.createDataFrame(nodes, "id int, entity_type string, entity_name string")).collect()]
     assert len(got) == len(want) and set(got) == want and {k for *_, k in want} == {"positive", "alias", "type_drift"}
+
+
+def test_alias_pairs_of_one_group_are_made_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 3)
+    nodes = [(k, "t", "hot bolt") for k in range(20)] + [(k, "t", f"hot b{k}") for k in range(20, 30)] + [(30, "u", "Hot-Bolt"), (31, None, "hotbolt"), (32, None, "hotbowl"), (33, "t", "olt"), (34, "t", "OLT"), (34, "t", "hot bolt")]
+    df = spark.createDataFrame(nodes, "id int, entity_type string, entity_name string")
+    norm = ["".join(c for c in n.lower() if c.isalnum()) for _, _, n in nodes]
+    want = []
+    for (i, t, _), a in zip(nodes, norm, strict=True):
+        for (j, u, _), b in zip(nodes, norm, strict=True):
+            if i < j and a == b:
+                want.append((i, j, "type_drift" if t and u and t != u else "positive"))
+            elif i < j and t and t == u and (a in b or b in a or a[:4] == b[:4] and min(len(a), len(b)) >= 4):
+                want.append((i, j, "alias"))
+    got = matching.alias_pairs(df).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(want)
+    assert len({r.task for r in got if r.kind == "positive" and r.right < 20}) > 3 and len({r.task for r in got if r.right == 33}) > 3
