@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.operators import pages
 
 
 def values(spark, rows, make):
@@ -36,3 +37,9 @@ def test_seed_is_the_hash_modulo(spark):
 
     texts = ["", "a", "결제"]
     assert values(spark, texts, lambda c: T.stable_seed(c, 42)) == [42 + int(hashlib.sha256(t.encode()).hexdigest(), 16) % 10_000_000 for t in texts]
+
+
+def test_references_without_their_end_are_text():
+    found = pages.extract('<h1>a&amp;&amp;&amp</h1><p>x &lt;y &ampz; &am <a href="/q?a=1&copy=2&amp;b=3">t&#39;s &#4</a></p><script>if (a && b) { "&amp" }</script>')
+    assert [s["title"] for s in found["sections"]] == ["a&&&amp"] and found["plain_text"] == "# a&&&amp\n\nx <y &ampz; &am [t's &#4](/q?a=1&copy=2&b=3)"
+    assert pages.html(pages.parse('<b t="&amp">&amp</b><script>a && "&amp"</script>')) == '<b t="&amp;amp">&amp;amp</b><script>a &amp;&amp; "&amp;amp"</script>'
