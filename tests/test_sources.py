@@ -3,7 +3,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from quernstone.operators import assembly, matching
+from quernstone.operators import assembly, matching, pages
 from quernstone.sources import paged, tables
 from quernstone.streaming import incremental
 
@@ -107,3 +107,13 @@ def test_alias_pairs_of_one_group_are_made_in_several_tasks(spark, monkeypatch):
     got = matching.alias_pairs(df).withColumn("task", F.spark_partition_id()).collect()
     assert sorted(tuple(r)[:3] for r in got) == sorted(want)
     assert len({r.task for r in got if r.kind == "positive" and r.right < 20}) > 3 and len({r.task for r in got if r.right == 33}) > 3
+
+
+def test_pages_are_held_in_slices(spark):
+    def make(text):
+        with open("/proc/self/statm") as f:
+            return {"markdown": f.read().split()[1], "html": text * 30}
+
+    df = spark.range(2000).coalesce(1).select("id", F.repeat(F.lit("x"), 10_000).alias("raw"))
+    used = [int(r.markdown) for r in pages._mapped(df, "id", "raw", "html string, markdown string", make).select("markdown").collect()]
+    assert len(used) == 2000 and (max(used) - min(used)) * 4096 < 200 << 20
