@@ -172,3 +172,33 @@ def test_models_are_tried_again_and_failures_are_null(spark):
 
     assert {r.id: r.answer for r in models.asked(df, "p", model, batch=1, tries=2, pause=0.0).collect()} == {1: "aa", 2: None, 3: None}
     assert models.asked(df.limit(0), "p", model).collect() == []
+
+
+def test_judge_is_asked_by_one_worker_and_in_slices(spark):
+    from quernstone.operators import models
+
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "a"), (None, None)], "id long, p string").coalesce(1)
+    assert {tuple(r) for r in models.asked_each(df, {"x": ("p", lambda ps: [p.upper() for p in ps]), "y": ("p", lambda ps: ps)}).collect()} == {(big, "a", "A", "a"), (None, None, None, None)}
+
+    def asks(prompts):
+        return ['[{"q": "Which?", "difficulty": "easy"}]' for _ in prompts]
+
+    def judge(prompts):
+        with open("/proc/self/statm") as f:
+            return [f"yes\n{f.read().split()[1]}"] * len(prompts)
+
+    rows = spark.range(2).select("id", F.lit("alpha").alias("content"), F.array(F.lit("t")).alias("distractors"))
+    made = models.judged(models.questions(rows, asks, 1), judge)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapIn") == 2 and plan.count("ArrowEvalPython") == 1
+    assert [r.reason for r in made.collect()] == ["generic"] * 2
+    # answers of a MB each for prompts of 10 kB: those of a slice of prompts are held, not those of all
+    many = spark.range(2000).coalesce(1).select(F.repeat(F.lit("x"), 10_000).alias("p"))
+
+    def long(prompts):
+        with open("/proc/self/statm") as f:
+            return [f.read().split()[1] + " " * 300_000] * len(prompts)
+
+    used = [int(r.n) for r in models.asked(many, "p", long).select(F.trim("answer").alias("n")).collect()]
+    assert len(used) == 2000 and (max(used) - min(used)) * 4096 < 250 << 20
